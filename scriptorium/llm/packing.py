@@ -152,7 +152,7 @@ def pieces_of(docs: DataFrame, encoder: Callable[[], Callable], end_id: int = 1,
 def pack(pieces: DataFrame, capacity: int = 4096, block_pieces: int = BLOCK_PIECES) -> DataFrame:
     """pieces with sequence_id and offset: every piece once, gapless, at most capacity tokens in a sequence."""
     left, done = pieces.select("doc_id", "piece", "start", "length", "ids_crc32", "row"), []
-    schema = left.schema.add("sequence_id", "long").add("offset", "long").add("sealed", "boolean")
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, row long, sequence_id long, offset long, sealed boolean"
 
     def packer(turn: int, last: bool) -> Callable[[pa.Table], pa.Table]:
         def pack_block(part: pa.Table) -> pa.Table:

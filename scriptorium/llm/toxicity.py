@@ -186,6 +186,7 @@ def fit_field(texts: list[str], toxic: list[int], share: float) -> Field:
     columns, y = columns[pick], y[pick]
     shown, Y = _padded(np.ones(len(y)), sizes) > 0, _padded(y, sizes)
     live = shown.sum(axis=1)
+    field.bias = math.log(max(y.mean(), 1e-6)) - 3  # not learned: a token of unknown features is clean
     theta = np.concatenate((np.zeros(WEIGHTS), [field.bias], field.moves))
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     flat_at = np.concatenate([np.arange(n) * len(sizes) + k for k, n in enumerate(sizes)])
@@ -211,8 +212,9 @@ def fit_field(texts: list[str], toxic: list[int], share: float) -> Field:
         pairs /= np.maximum(pairs.sum(axis=0), 1e-300)
         u, v = Y[:-1], Y[1:]
         gain = [((1 - u) * v * both).sum() - pairs[1].sum(), (u * (1 - v) * both).sum() - pairs[2].sum(), (u * v * both).sum() - pairs[3].sum()]
-        gradient = np.concatenate((sum(np.bincount(columns[:, k], slope, WEIGHTS) for k in range(columns.shape[1])), [slope.sum()], gain))
+        gradient = np.concatenate((sum(np.bincount(columns[:, k], slope, WEIGHTS) for k in range(columns.shape[1])), [0.0], gain))
         gradient -= 0.05 * theta
+        gradient[WEIGHTS] = 0.0
         first, second = 0.9 * first + 0.1 * gradient, 0.99 * second + 0.01 * gradient**2
         theta += 0.2 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
     field.weights, field.bias, field.moves = theta[:WEIGHTS].astype(np.float32), float(theta[WEIGHTS]), theta[WEIGHTS + 1 :]

@@ -39,6 +39,7 @@ def test_stages(spark, folder):
     assert mild.columns == columns
     scored = toxicity.score_documents(docs, toxicity.train(docs, spark.read.parquet(f"{folder}/labels.parquet"))).collect()
     assert Counter(r.doc_id for r in mild.collect()) == Counter(r.doc_id for r in scored if not r.predicted)
+    assert {r.doc_id for r in mild.filter("doc_id = 3000").collect()} == {3000}
     assert {r.doc_id for r in mild.filter("doc_id < 300").collect()} == {i for i in range(300) if i % 6}
     single = stages["near_duplicates"](spark, mild, folder).cache()
     kept = [r.doc_id for r in single.collect()]
