@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import UnitCache, batch, bound_batches, spaced_units, texts_of
+from scriptorium.llm.common import TOKEN_ROWS, UnitCache, batch, bound_batches, texts_of, two_bytes
 
 CHUNK = 32_768
 OVERLAP = 512
@@ -38,7 +38,7 @@ def rank_encoding(path: str, pattern: str):
 @cache
 def rank_encoder(path: str, pattern: str) -> UnitCache:
     found = rank_encoding(path, pattern)
-    return UnitCache(spaced_units, lambda new: map(found.encode_ordinary, new))
+    return UnitCache(lambda new: two_bytes(map(found.encode_ordinary, new)))
 
 
 @cache
@@ -110,20 +110,19 @@ def pieces_of(long: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFr
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """Per row of docs (doc_id, text; null text: empty): doc_id, n_tokens, ids_sha256, decoded_sha256. Rows of equal doc_id stay apart."""
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, TOKEN_ROWS)
     texts = texts_of(docs)
     short, long = texts.filter(F.length("text") <= chunk), texts.filter(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id())
 
     def whole(batches):
         encode, table = rank_encoder(path, pattern), byte_table(path, pattern)
         for b in batches:
-            yield _digest(b.column(0).to_pylist(), encode(b.column(1).to_pylist()), table)
+            yield _digest(b.column(0).to_pylist(), encode(b.column(1)), table)
 
     def encode_pieces(batches):
         encode = rank_encoder(path, pattern)
         for b in batches:
-            names, rows, parts, pieces = (c.to_pylist() for c in b.columns)
-            yield batch(_ENCODED, [names, rows, parts, [x.tobytes() for x in encode(pieces)]])
+            yield batch(_ENCODED, [*b.columns[:3], [x.tobytes() for x in encode(b.column(3))]])
 
     def gather(batches):
         table = byte_table(path, pattern)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import tempfile
 import uuid
 from array import array
@@ -21,13 +22,15 @@ BLANKS = " \t\n\r\x0b\x0c"
 
 #: Rows and bytes of one Arrow batch, so that a worker's memory doesn't follow the length of the texts.
 BATCH_ROWS = 512
+#: Rows where a batch's distinct units are looked up together.
+TOKEN_ROWS = 4096
 BATCH_BYTES = "16m"
 
 
-def bound_batches(spark: SparkSession) -> None:
+def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Keep Arrow batches small in this session, so that a batch of long texts stays within a worker's memory; send this package to the workers."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
@@ -80,55 +83,87 @@ def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+#: Of each byte of UTF-8: 1 blank, 2 letter (or part of one from U+00C0 to U+023F), 3 punctuation, 4 what makes a text odd, 0 the rest.
+_KIND = np.zeros(256, np.uint8)
+_KIND[list(BLANKS.encode())] = 1
+_KIND[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xC9)]] = 2
+_KIND[list(string.punctuation.encode())] = 3
+_KIND[[*range(0x1C, 0x20), *range(0xC0, 0xC3), *range(0xC9, 0x100)]] = 4
+
+
+def unit_starts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where units begin in the joined UTF-8 of texts that begin at starts.
+
+    A unit begins with the blanks before a word, and with punctuation after a letter: there every tokenizer of this package
+    has a boundary, whatever stands around. A text with characters beyond (other scripts, other blanks, odd signs) is one unit.
+    """
+    kind = _KIND[data]
+    begins = np.zeros(len(data), bool)
+    begins[1:] = (kind[1:] == 1) & (kind[:-1] != 1) | (kind[1:] == 3) & (kind[:-1] == 2)
+    odd = kind == 4
+    odd[1:] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))  # the signs for times and division
+    if odd.any():
+        ends = np.append(starts[1:], len(data))
+        for k in np.unique(np.searchsorted(starts, np.flatnonzero(odd), side="right") - 1).tolist():
+            begins[starts[k] : ends[k]] = False
+    begins[starts[starts < len(data)]] = True
+    return np.flatnonzero(begins)
+
+
 class UnitCache:
     """Sub-word ids of whole texts from the ids of their units, each encoded once while it stays in a bounded table.
 
-    ``units`` cuts a text where the tokenizer's own split always has a boundary, so that the ids of the units,
-    one after the other, are the ids of the text. ids must be below 65,536. The table has two generations of
-    ``limit`` units: when the young one is full it takes the old one's place, and units still in use return from there.
+    ids must be below 65,536. ``encode`` gives the ids of new units as bytes, two little-endian ones each. The table has
+    two generations of ``limit`` units: when the young one is full it takes the old one's place, and units still in use return
+    from there. ``fold`` lower-cases A-Z first, for tokenizers that do so.
     """
 
     LONGEST = 64
 
-    def __init__(self, units: Callable[[str], list[str]], encode: Callable[[list[str]], Iterable[list[int]]], limit: int = 300_000):
-        self.units, self.encode, self.limit, self.young, self.old = units, encode, limit, {}, {}
+    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], fold: bool = False, limit: int = 400_000):
+        self.encode, self.fold, self.limit, self.young, self.old = encode, fold, limit, {}, {}
 
-    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
+    def __call__(self, texts: list[str] | pa.StringArray) -> list[np.ndarray]:
         """The ids (uint32, little-endian) of each text."""
-        young, cut = self.young, []
-        for text in texts:
-            found = list(map(young.get, pieces := self.units(text)))
-            cut.append((found, pieces if None in found else None))
-        lacking = {u for found, pieces in cut if pieces for u, ids in zip(pieces, found, strict=True) if ids is None}
-        fresh = {u: ids for u in lacking if (ids := self.old.get(u)) is not None}
-        new = [u for u in lacking if u not in fresh]
-        fresh.update((u, array("H", ids).tobytes()) for u, ids in zip(new, self.encode(new), strict=True))
-        for found, pieces in cut:
-            if pieces:
-                found = [fresh[u] if ids is None else ids for u, ids in zip(pieces, found, strict=True)]
-            yield np.frombuffer(b"".join(found), "<u2").astype("<u4")
-        if len(young) + len(fresh) > self.limit:
-            self.old, self.young = young, {}
-        self.young.update((u, ids) for u, ids in fresh.items() if len(u) <= self.LONGEST)
-
-
-#: Blank characters beside BLANKS: where they meet blanks, a byte-level split may have no boundary.
-_OTHER_BLANKS = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
-#: Letters in every version of Unicode. Between them and ASCII punctuation after them each tokenizer here has a boundary.
-_LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f"
-_WHOLE = rf"[{_LETTERS}]+(?![^{BLANKS}!-/:-@\[-`{{-~])"
-_BLANK_AND_WORD = re.compile(f"[{BLANKS}]*(?:{_WHOLE}|[^{BLANKS}]+)|[{BLANKS}]+").findall
-_WORD = re.compile(f"{_WHOLE}|[^{BLANKS}]+").findall
-
-
-def spaced_units(text: str) -> list[str]:
-    """Units for byte-level tokenizers, which keep blanks: each word with the blanks before it, then what blanks are left."""
-    return [text] if _OTHER_BLANKS.search(text) else _BLANK_AND_WORD(text)
-
-
-def word_units(text: str) -> list[str]:
-    """Units for tokenizers that drop blanks."""
-    return _WORD(text)
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not len(column):
+            return []
+        _, ends, raw = column.buffers()
+        ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1]
+        data = np.frombuffer(raw, np.uint8)[ends[0] : ends[-1]] if raw is not None else np.zeros(0, np.uint8)
+        starts = (ends[:-1] - ends[0]).astype(np.int64)
+        if self.fold:
+            data = data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
+        begins = unit_starts(data, starts)
+        places = np.append(begins, len(data)).astype(np.int32)
+        units = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        ids = pa.array(self._look_up(units.dictionary.to_pylist()), pa.binary()).take(units.indices)
+        flat = np.frombuffer(ids.buffers()[2] or b"", "<u2") if len(ids) else np.zeros(0, "<u2")
+        at = np.frombuffer(ids.buffers()[1], np.int32)[: len(ids) + 1] // 2 if len(ids) else np.zeros(1, np.int32)
+        cuts = at[np.searchsorted(begins, np.append(starts, len(data)))].tolist()
+        return [flat[a:b].astype("<u4") for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def _look_up(self, units: list[bytes]) -> list[bytes]:
+        found = list(map(self.young.get, units))
+        lacking = [k for k, ids in enumerate(found) if ids is None]
+        if not lacking:
+            return found
+        old, new = self.old.get, []
+        for k in lacking:
+            if (ids := old(units[k])) is None:
+                new.append(k)
+            else:
+                found[k] = ids
+        for k, ids in zip(new, self.encode([units[k].decode("utf-8", "surrogatepass") for k in new]), strict=True):
+            found[k] = ids
+        if len(self.young) + len(lacking) > self.limit:
+            self.old, self.young = self.young, {}
+        self.young.update((units[k], found[k]) for k in lacking if len(units[k]) <= self.LONGEST)
+        return found
+
+
+def two_bytes(idss: Iterable[list[int]]) -> Iterator[bytes]:
+    return (array("H", ids).tobytes() for ids in idss)
 
 
 def _json_tokenizer(path: str):
@@ -140,12 +175,38 @@ def _json_tokenizer(path: str):
     return found
 
 
-_OPEN: dict = {}
+#: Between units that are encoded in one call: blanks and a control character that stands in no such unit.
+_BETWEEN = "\n\x01\n"
+_PLAIN = re.compile(f" ?[^{BLANKS}\x01]{{1,64}}").fullmatch
 
 
-def json_encoder(path: str, units: Callable[[str], list[str]]) -> UnitCache:
-    """Cached encoder over a file of the tokenizers library; one for each worker process."""
-    if (path, units) not in _OPEN:
+class _JoinedEncoder:
+    """Ids of units from few calls: plain ones go in one text, and the known ids of the mark between them part them again."""
+
+    def __init__(self, path: str):
         found = _json_tokenizer(path)
-        _OPEN[path, units] = UnitCache(units, lambda new: (e.ids for e in found.encode_batch_fast(new, add_special_tokens=False)))
-    return _OPEN[path, units]
+        self.encode = lambda texts: [e.ids for e in found.encode_batch_fast(texts, add_special_tokens=False)]
+        one, marked, blank = self.encode(["a", f"a{_BETWEEN}a", "a\na"])
+        mark = marked[len(one) : -len(one)]
+        self.size = len(mark)
+        self.at, self.id = next((k, i) for k, i in enumerate(mark) if i not in blank)
+
+    def __call__(self, units: list[str]) -> Iterator[bytes]:
+        plain = list(map(_PLAIN, units))
+        other = two_bytes(self.encode([u for u, p in zip(units, plain, strict=True) if not p]))
+        ids = np.array(self.encode([_BETWEEN.join(u for u, p in zip(units, plain, strict=True) if p)])[0], "<u2")
+        mark = np.flatnonzero(ids == self.id) - self.at
+        start, end = np.append(0, mark + self.size) * 2, np.append(mark, len(ids)) * 2
+        raw = ids.tobytes()
+        parts = map(raw.__getitem__, map(slice, start.tolist(), end.tolist()))
+        return (next(parts) if p else next(other) for p in plain)
+
+
+_OPEN: dict = {}
+
+
+def json_encoder(path: str, fold: bool) -> UnitCache:
+    """Cached encoder over a file of the tokenizers library; one for each worker process. fold: the tokenizer lower-cases."""
+    if (path, fold) not in _OPEN:
+        _OPEN[path, fold] = UnitCache(_JoinedEncoder(path), fold)
+    return _OPEN[path, fold]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import batch, bound_batches, materialize, texts_of
+from scriptorium.llm.common import TOKEN_ROWS, batch, bound_batches, materialize, texts_of
 
 BLOCK_PIECES = 16_384
 #: A sequence at least so full is final in the rounds before the last.
@@ -132,13 +132,13 @@ def pack_lengths(lengths: list[int], capacity: int) -> list[list[int]]:
 
 def pieces_of(docs: DataFrame, encoder: Callable[[], Callable], end_id: int = 1, capacity: int = 4096) -> DataFrame:
     """Per piece of each text (null: empty), with end_id after its ids: doc_id, piece, start, length, ids_crc32, row (a hash of id and text)."""
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, TOKEN_ROWS)
 
     def pieces(batches):
         encode = encoder()
         for b in batches:
             rows = []
-            for name, row, ids in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), encode(b.column(1).to_pylist()), strict=True):
+            for name, row, ids in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), encode(b.column(1)), strict=True):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for k, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start : start + capacity]

@@ -21,11 +21,11 @@ def tokenizer_path(name: str) -> str:
 
 
 def word_encoder(path: str) -> Callable:
-    return partial(common.json_encoder, path, common.word_units)
+    return partial(common.json_encoder, path, True)
 
 
 def byte_encoder(path: str) -> Callable:
-    return partial(common.json_encoder, path, common.spaced_units)
+    return partial(common.json_encoder, path, False)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import batch, bound_batches, texts_of
+from scriptorium.llm.common import TOKEN_ROWS, batch, bound_batches, texts_of
 
 MAGIC = b"RVB1"
 BLOCK_IDS = 2_000_000
@@ -91,7 +91,7 @@ def write_token_files(docs: DataFrame, path: str, encoder: Callable[[], Callable
     Rows of equal doc_id follow each other by the hash of their text; rows without an id come first. encoder() is called on
     the executors and must return a function from texts to arrays of ids. One pass and one shuffle, of the texts.
     """
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, TOKEN_ROWS)
 
     def blocks(batches):
         encode, shard, number, names, kept, n = encoder(), TaskContext.get().partitionId(), 0, [], [], 0
@@ -100,7 +100,7 @@ def write_token_files(docs: DataFrame, path: str, encoder: Callable[[], Callable
             return batch(_BLOCKS, [[shard], [number], [len(names)], [n], [encode_block(names, kept)]])
 
         for b in batches:
-            for name, ids in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist()), strict=True):
+            for name, ids in zip(b.column(0).to_pylist(), encode(b.column(1)), strict=True):
                 names.append(name)
                 kept.append(np.append(ids, np.uint32(end_id)))
                 if (n := n + len(kept[-1])) >= block_ids:
