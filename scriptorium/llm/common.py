@@ -120,7 +120,7 @@ class UnitCache:
 
     LONGEST = 64
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], fold: bool = False, limit: int = 400_000):
+    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], fold: bool = False, limit: int = 180_000):
         self.encode, self.fold, self.limit, self.young, self.old = encode, fold, limit, {}, {}
 
     def __call__(self, texts: list[str] | pa.StringArray) -> list[np.ndarray]:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from scriptorium.llm.common import TOKEN_ROWS, batch, bound_batches, texts_of
 
 MAGIC = b"RVB1"
-BLOCK_IDS = 2_000_000
+BLOCK_IDS = 1_000_000
 _HEAD = struct.Struct("<4sIQI")
 #: Of each control byte: the bytes of its four values.
 _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
