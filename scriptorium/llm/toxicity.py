@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from scriptorium.llm.common import BLANKS, batch, bound_batches, held_remainder, texts_of
 
 #: Bounds of the training sample: labelled rows of either class, and code points of each of their texts.
-SAMPLE_ROWS = 1_200
+SAMPLE_ROWS = 800
 SAMPLE_CHARS = 6_000
 WEIGHTS = 1 << 18
 STEPS = 40
