@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import TOKEN_ROWS, UnitCache, batch, bound_batches, texts_of, two_bytes
+from scriptorium.llm.common import TOKEN_ROWS, UnitCache, batch, bound_batches, texts_of, two_bytes, tidy
 
 CHUNK = 32_768
 OVERLAP = 512
@@ -88,7 +88,7 @@ def pieces_of(long: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFr
                 rows.append((name, row, k, at, text[:chunk], [at + x for x in found if x < overlap] if k else [], [at + x for x in found if chunk <= x < chunk + overlap - MARGIN]))
             yield batch(_CHUNKED, [*zip(*rows, strict=True)] if rows else [[]] * 7)
 
-    seen = cut.repartition("doc_id", "row", "k").mapInArrow(pretokenise, "doc_id long, row long, k long, at long, text string, head array<long>, tail array<long>")
+    seen = cut.repartition("doc_id", "row", "k").mapInArrow(tidy(pretokenise), "doc_id long, row long, k long, at long, text string, head array<long>, tail array<long>")
     order = Window.partitionBy("doc_id", "row").orderBy("k")
     # A chunk's boundaries hold from the point where it met its predecessor on, if the predecessor's hold. After a chunk that
     # met none nothing is certain, so the rest of that text stays in one piece.
@@ -129,7 +129,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, chunk: int = CHUN
         for b in batches:
             yield _digest(b.column(0).to_pylist(), (np.frombuffer(b"".join(x), "<u4") for x in b.column(1).to_pylist()), table)
 
-    pieces = pieces_of(long, pattern, chunk, overlap).mapInArrow(encode_pieces, "doc_id long, row long, part long, ids binary")
+    pieces = pieces_of(long, pattern, chunk, overlap).mapInArrow(tidy(encode_pieces), "doc_id long, row long, part long, ids binary")
     ordered = F.expr("transform(array_sort(collect_list(struct(part, ids))), x -> x.ids)")
-    long = pieces.groupBy("doc_id", "row").agg(ordered.alias("ids")).select("doc_id", "ids").mapInArrow(gather, _DIGEST_DDL)
-    return short.mapInArrow(whole, _DIGEST_DDL).unionByName(long)
+    long = pieces.groupBy("doc_id", "row").agg(ordered.alias("ids")).select("doc_id", "ids").mapInArrow(tidy(gather), _DIGEST_DDL)
+    return short.mapInArrow(tidy(whole), _DIGEST_DDL).unionByName(long)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import re
 import string
@@ -23,7 +26,7 @@ BLANKS = " \t\n\r\x0b\x0c"
 #: Rows and bytes of one Arrow batch, so that a worker's memory doesn't follow the length of the texts.
 BATCH_ROWS = 512
 #: Rows where a batch's distinct units are looked up together.
-TOKEN_ROWS = 4096
+TOKEN_ROWS = 2048
 BATCH_BYTES = "16m"
 
 
@@ -79,6 +82,21 @@ def held_remainder(column: str, modulus: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % modulus
 
 
+def tidy(function: Callable) -> Callable:
+    """function for mapInArrow; after a partition its worker gives free memory back, as idle workers stay beside busy ones."""
+
+    def wrapped(batches):
+        try:
+            yield from function(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
@@ -120,7 +138,7 @@ class UnitCache:
 
     LONGEST = 64
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], fold: bool = False, limit: int = 180_000):
+    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], fold: bool = False, limit: int = 150_000):
         self.encode, self.fold, self.limit, self.young, self.old = encode, fold, limit, {}, {}
 
     def __call__(self, texts: list[str] | pa.StringArray) -> list[np.ndarray]:

@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import batch, bound_batches
+from scriptorium.llm.common import batch, bound_batches, tidy
 
 #: Pages of a host that its wrapper is inferred from, and tokens of each that count.
 WRAPPER_PAGES = 8
 WRAPPER_TOKENS = 4_000
 DEPTH = 60
 #: A host (or share of a host) has so many pages at most in one group, but where that would name more than HOT_HOSTS hosts.
-GROUP_PAGES = 2_000
+GROUP_PAGES = 500
 HOT_HOSTS = 10_000
 #: Sides of an alignment beyond this length are matched in order rather than by the longest common subsequence.
 ALIGN = 300
@@ -405,4 +405,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             wrapper = infer([x for _, _, x in held])
             yield done(held)
 
-    return dealt.mapInArrow(texts, "page_id long, url string, text string, n_chars long")
+    return dealt.mapInArrow(tidy(texts), "page_id long, url string, text string, n_chars long")

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from scriptorium.llm.common import batch, bound_batches, texts_of
+from scriptorium.llm.common import batch, bound_batches, texts_of, tidy
 
 RATE = 8000
 FRAME = 256
@@ -104,7 +104,7 @@ def to_media(docs: DataFrame) -> DataFrame:
             made = [payload_of(x) for x in b.column(1).to_pylist()]
             yield batch(_STORED, [b.column(0), [n for n, _ in made], [to_wav(p) for _, p in made]])
 
-    return texts_of(docs).mapInArrow(store, "doc_id long, n_bytes long, media binary")
+    return texts_of(docs).mapInArrow(tidy(store), "doc_id long, n_bytes long, media binary")
 
 
 def media_features(media: DataFrame) -> DataFrame:
@@ -118,4 +118,4 @@ def media_features(media: DataFrame) -> DataFrame:
                 rows.append((name, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature_string(np.frombuffer(payload, np.uint8))))
             yield batch(_MEDIA, [*zip(*rows, strict=True)] if rows else [[]] * len(_MEDIA))
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(tidy(read), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import TOKEN_ROWS, batch, bound_batches, materialize, texts_of
+from scriptorium.llm.common import TOKEN_ROWS, batch, bound_batches, materialize, texts_of, tidy
 
 BLOCK_PIECES = 16_384
 #: A sequence at least so full is final in the rounds before the last.
@@ -146,7 +146,7 @@ def pieces_of(docs: DataFrame, encoder: Callable[[], Callable], end_id: int = 1,
             if rows:
                 yield batch(_PIECES, [*zip(*rows, strict=True)])
 
-    return texts_of(docs).withColumn("row", F.xxhash64("doc_id", "text")).mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long, row long")
+    return texts_of(docs).withColumn("row", F.xxhash64("doc_id", "text")).mapInArrow(tidy(pieces), "doc_id long, piece int, start long, length long, ids_crc32 long, row long")
 
 
 def pack(pieces: DataFrame, capacity: int = 4096, block_pieces: int = BLOCK_PIECES) -> DataFrame:

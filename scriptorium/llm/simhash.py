@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import batch, bound_batches, drop_path, materialize, scratch_path
+from scriptorium.llm.common import batch, bound_batches, drop_path, materialize, scratch_path, tidy
 
 SHINGLE = 3
 RADIUS = 3
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE, lanes: int = 1) -> DataF
             yield batch(schema, [b.column(0), b.column(1), [simhash(x, words, lanes) for x in b.column(2).to_pylist()]])
 
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.xxhash64(text).alias("row"), text.cast("binary")).mapInArrow(hashed, "doc_id long, row long, fp binary")
+    return docs.select("doc_id", F.xxhash64(text).alias("row"), text.cast("binary")).mapInArrow(tidy(hashed), "doc_id long, row long, fp binary")
 
 
 def unpacked(fps: list[bytes]) -> np.ndarray:
@@ -201,7 +201,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, block
                 home[here] = lives
                 yield batch(asked, [np.full(len(at), k, np.int32), shard.astype(np.int32), b.column(0).take(pa.array(at)), home[at] == shard])
 
-    placed = materialize(distinct.mapInArrow(ask, "block int, shard int, fp binary, home boolean"), "asked")
+    placed = materialize(distinct.mapInArrow(tidy(ask), "block int, shard int, fp binary, home boolean"), "asked")
     # Every shard is a grid of cells: ways askers by sides at home, one by one unless it holds too many.
     sizes = placed.groupBy("block", "shard").agg(F.count("*").alias("n"), F.count_if("home").alias("m"))
     big = sizes.filter((F.col("n") > SHARD_ROWS) | (F.col("m") > SHARD_ROWS)).select("block", "shard", F.ceil(F.col("n") / SHARD_ROWS).cast("int").alias("ways"), F.ceil(F.col("m") / SHARD_ROWS).cast("int").alias("sides"))

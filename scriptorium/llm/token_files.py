@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import TOKEN_ROWS, batch, bound_batches, texts_of
+from scriptorium.llm.common import TOKEN_ROWS, batch, bound_batches, texts_of, tidy
 
 MAGIC = b"RVB1"
 BLOCK_IDS = 1_000_000
@@ -110,7 +110,7 @@ def write_token_files(docs: DataFrame, path: str, encoder: Callable[[], Callable
             yield block()
 
     ordered = texts_of(docs).withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    ordered.select("doc_id", "text").mapInArrow(blocks, "shard int, block int, n_docs long, n_tokens long, payload binary").write.parquet(path)
+    ordered.select("doc_id", "text").mapInArrow(tidy(blocks), "shard int, block int, n_docs long, n_tokens long, payload binary").write.parquet(path)
 
 
 def read_token_files(spark, path: str) -> DataFrame:
@@ -127,7 +127,7 @@ def read_token_files(spark, path: str) -> DataFrame:
                     at += len(ids)
                 yield batch(_READ, [[shard] * len(rows), [number] * len(rows), *zip(*rows, strict=True)])
 
-    found = stored.select("shard", "block", "payload").mapInArrow(documents, "shard int, block int, doc_id long, local_start long, n_tokens long, ids_crc32 long")
+    found = stored.select("shard", "block", "payload").mapInArrow(tidy(documents), "shard int, block int, doc_id long, local_start long, n_tokens long, ids_crc32 long")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     within = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     shards = stored.groupBy("shard").agg(F.sum("n_tokens").alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shard_start"))

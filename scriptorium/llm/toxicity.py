@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import BLANKS, batch, bound_batches, held_remainder, texts_of
+from scriptorium.llm.common import BLANKS, batch, bound_batches, held_remainder, texts_of, tidy
 
 #: Bounds of the training sample: labelled rows of either class, and code points of each of their texts.
 SAMPLE_ROWS = 800
@@ -295,7 +295,7 @@ def score_documents(docs: DataFrame, field: Field) -> DataFrame:
             scores, spans = score_texts(model.value, b.column(1).to_pylist())
             yield batch(_OUT, [b.column(0), scores, spans])
 
-    out = texts_of(docs).mapInArrow(scored, "doc_id long, score double, spans string")
+    out = texts_of(docs).mapInArrow(tidy(scored), "doc_id long, score double, spans string")
     return out.select("doc_id", (held_remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
 
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import batch, bound_batches, texts_of
+from scriptorium.llm.common import batch, bound_batches, texts_of, tidy
 
 GRAM = 16
 WINDOW = 128
@@ -132,4 +132,4 @@ def fingerprint_with_next(docs: DataFrame, gram: int = GRAM, window: int = WINDO
                 yield batch(_OUT, [*zip(*rows, strict=True)])
                 rows = []
 
-    return dealt.select("doc_id", "text", "guard", "run").mapInArrow(fingerprints, _DDL)
+    return dealt.select("doc_id", "text", "guard", "run").mapInArrow(tidy(fingerprints), _DDL)

@@ -299,7 +299,8 @@ def test_language_model(docs, texts):
 
 def test_class_probabilities_sum_to_one():
     model = lm.Model({b"a": 1}, np.zeros(2), np.zeros(2), np.array([lm.END, 0]), 2, 2, 0, 0, np.zeros(lm.N_CLASSES, np.float32), np.random.default_rng(0).normal(size=(lm.N_ROWS, lm.N_CLASSES)).astype(np.float32))
-    codes, ends = model.codes([[b"a", b"zz"], []])
+    codes, ends, words = model.codes([b"A\t zz", b""])
+    assert ends.tolist() == [3, 4] and codes[0] == 1 and codes[2] == codes[3] == 0 and words.to_pylist() == [b"a", b"zz"]
     assert np.allclose(np.exp(model.class_logs(model.rows(codes, ends))).sum(axis=1), 1, atol=1e-5)
 
 
