@@ -1 +1,134 @@
-"""Functions of the engine."""
+"""Column functions: built-in expressions only, so that they stay inside generated code and filters reach the scan."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from scriptorium import patterns as P
+
+BLANK = r"(?U)\s+"
+
+
+def compact(text: Column) -> Column:
+    """Runs of white space as one space, none at the ends."""
+    return F.trim(F.regexp_replace(text, BLANK, " "))
+
+
+def strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def rewrite(text: Column, rule: str) -> Column:
+    """text after the named rule of patterns.REWRITES."""
+    for pattern, replacement in P.REWRITES[rule]:
+        text = F.regexp_replace(text, pattern, replacement)
+    return text
+
+
+def sanitize(text: Column) -> Column:
+    """The single-pattern rules in the order in which they see each other's output."""
+    for rule in ("cjk_punctuation", "linebreak_dimensions", "section_phrases", "double_escaped_references", "caption_prefixes", "markdown_emphasis", "control_word_boundaries", "missing_list_items", "text_symbols", "math_fonts", "item_space", "reference_brackets", "control_word_boundaries", "missing_list_items"):
+        text = rewrite(text, rule)
+    return text
+
+
+def n_cjk(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(P.CJK))
+
+
+def brace_balance(text: Column) -> Column:
+    """Opening less closing braces, pairs of a backslash and any character left out."""
+    plain = F.regexp_replace(text, r"(?s)\\.", "")
+    return F.regexp_count(plain, F.lit(r"\{")) - F.regexp_count(plain, F.lit(r"\}"))
+
+
+def strip_comments(text: Column) -> Column:
+    """Lines without what follows an unescaped percent sign; lines that are only a comment go; ends in a line end."""
+    lines = F.filter(F.split(F.regexp_replace(text, r"\n\z", ""), "\n"), lambda x: ~F.ltrim(x).startswith("%"))
+    return F.concat(F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, r"(?<!\\)%.*", "")), "\n"), F.lit("\n"))
+
+
+def should_translate(text: Column) -> Column:
+    """Whether a piece of text holds prose worth translating: a heading of 3 letters, or 40 characters with 20 letters, and few commands."""
+    s = strip(text)
+    letters, commands = F.regexp_count(s, F.lit(r"\p{L}")), F.regexp_count(s, F.lit(r"\\"))
+    numbered = s.rlike(r"^(?:\{\[\}\d+\{\]\}|\[\d+\])")
+    heading = s.rlike(P.HEADING)
+    prose = (F.length(s) >= 40) & (letters >= 20) & (commands < F.greatest(F.lit(12), F.floor(letters / 3)))
+    return (s != "") & ~numbered & F.when(heading, (letters >= 3) & (commands < F.greatest(F.lit(20), letters))).otherwise(prose)
+
+
+def large_echo(original: Column, translated: Column) -> Column:
+    """Whether the translation begins with a long source text."""
+    a, b = compact(original), compact(translated)
+    return (F.length(a) >= 80) & (F.length(b) > F.length(a) + 8) & F.position(a, b).between(1, 25)
+
+
+def strip_echo(original: Column, translated: Column) -> Column:
+    """The translation after the source text it begins with, if eight CJK characters follow."""
+    a, b = strip(original), strip(translated)
+    at = F.position(a, b)
+    rest = F.regexp_replace(F.substring(b, at + F.length(a), F.length(b)), r"^[ \n\r\t:：-]+", "")
+    return F.when((a != "") & at.between(1, 25) & (n_cjk(rest) >= 8), rest).otherwise(b)
+
+
+def identity_frontmatter(text: Column) -> Column:
+    return text.rlike(r"\\(?:author|email|affiliation|institution|orcid|city|country)\{") & (F.regexp_count(text, F.lit(r"\\")) >= 2)
+
+
+def untranslated(original: Column, translated: Column) -> Column:
+    """Whether a translation is probably still in the source language."""
+    t, letters = strip(translated), F.regexp_count(original, F.lit("[A-Za-z]"))
+    settings = t.startswith("[") & t.rlike(r"\b[A-Za-z][A-Za-z-]*\s*=") & (n_cjk(t) < 8)
+    few = (letters >= 80) & (n_cjk(translated) < F.greatest(F.lit(8), F.floor(letters / 80)))
+    return F.when(large_echo(original, translated), True).when(identity_frontmatter(original) | settings, False).otherwise(few)
+
+
+def slug(value: Column) -> Column:
+    s = F.regexp_replace(F.regexp_replace(value, "[^A-Za-z0-9._-]+", "-"), "^[-._]+|[-._]+$", "")
+    return F.when(s == "", "task").otherwise(s)
+
+
+def artifact_name(value: Column) -> Column:
+    """A name that any file system takes, 120 characters at most."""
+    s = F.regexp_replace(F.trim(F.regexp_replace(compact(value), r'[<>:"/\\|?*\x00-\x1f]', "_")), r"\.+$", "")
+    s = F.when(F.length(s) > 120, F.regexp_replace(F.substring(s, 1, 120), r"[ ._-]+$", "")).otherwise(s)
+    return F.when(s == "", "output").otherwise(s)
+
+
+def safe_url(url: Column) -> Column:
+    """A url without query and fragment."""
+    return F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*[^?#]*)", 1)
+
+
+def arxiv_id(url: Column) -> Column:
+    """The identifier in an arXiv address, null if it has none."""
+    path = F.regexp_extract(url, r"^https?://(?:www\.)?arxiv\.org/(?:abs|pdf|src|e-print)/([^?#]+)", 1)
+    path = F.regexp_replace(F.regexp_replace(path, r"/+$", ""), r"\.pdf$", "")
+    return F.when(path.rlike(r"^(?:\d{4}\.\d{4,5}(?:v\d+)?|[a-z-]+(?:\.[A-Z]{2})?/\d{7}(?:v\d+)?)$"), path)
+
+
+def page_numbers(spec: Column) -> Column:
+    """The pages of a specification such as 1-3,5: sorted, each once; reversed ranges count forwards, pages start at 1."""
+    parts = F.filter(F.transform(F.split(spec, ","), lambda x: F.trim(x)), lambda x: x != "")
+    first = lambda x: F.regexp_extract(x, r"^(\d+)", 1).cast("int")
+    last = lambda x: F.regexp_extract(x, r"(\d+)$", 1).cast("int")
+    ranges = F.transform(parts, lambda x: F.sequence(F.least(first(x), last(x)), F.greatest(first(x), last(x))))
+    return F.array_sort(F.array_distinct(F.filter(F.flatten(ranges), lambda n: n >= 1)))
+
+
+def strip_fence(text: Column) -> Column:
+    """A reply without the code fence around it."""
+    s = strip(text)
+    return F.when(s.startswith("```"), strip(F.regexp_replace(F.regexp_replace(s, r"^```[^\n]*\n?", ""), r"\n?```\s*$", ""))).otherwise(s)
+
+
+def merged_xcolor(text: Column) -> Column:
+    """One load of xcolor, with all loads' options in the order they came, behind the document class (else at the top)."""
+    load = r"(?m)^[ \t]*\\usepackage(?:\[([^\]]*)\])?\{xcolor\}[ \t]*\n?"
+    options = F.array_distinct(F.filter(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(load), F.lit(1)), lambda x: F.transform(F.split(x, ","), lambda y: F.trim(y)))), lambda x: x != ""))
+    line = F.concat(F.lit("\\usepackage"), F.when(F.size(options) > 0, F.concat(F.lit("["), F.array_join(options, ","), F.lit("]"))).otherwise(""), F.lit("{xcolor}\n"))
+    rest = F.regexp_replace(text, load, "")
+    head = F.regexp_extract(rest, r"(?s)^(.*?\\documentclass(?:\[[^\]]*\])?\{[^}]*\}[ \t]*\n?)", 1)
+    return F.when(text.rlike(load), F.concat(head, line, F.substring(rest, F.length(head) + 1, F.length(rest)))).otherwise(text)

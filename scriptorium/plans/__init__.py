@@ -1,7 +1,404 @@
-"""Registered queries of the engine and the SQL they are held against."""
+"""Registered queries of the engine and the SQL they are held against.
+
+The tables hold no LaTeX and no Chinese, so queries that need either make it from them, in the same way in Spark and in SQL.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scriptorium import functions as fn
+from scriptorium import patterns as P
+from scriptorium.operators import glossary, quality, review, segments, spans
+from scriptorium.session import ship
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "glossary_candidates"
+
+
+def query(sql: str | None = None):
+    """Register a function as the query of its name, with the SQL that gives the same rows."""
+
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def quoted(words) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+# --- glossary ---
+
+_TOKENS = f"""lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents WHERE lang = 'en'),
+toks AS (SELECT doc_id, regexp_extract_all(t, '{P.WORD}') AS w FROM lines),
+low AS (SELECT doc_id, list_transform(w, lambda x: lower(x)) AS w FROM toks),
+sized AS (SELECT doc_id, w, unnest([2, 3, 4]) AS n FROM low),
+grams AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - n + 2), lambda i: w[i : i + n - 1])) AS g FROM sized WHERE len(w) >= n),
+named AS (SELECT doc_id, g[1] AS a, g[-1] AS z, list_aggregate(list_transform(g, lambda x: length(x)), 'max') AS longest, array_to_string(g, ' ') AS source FROM grams),
+ngrams AS (SELECT doc_id, source, count(*) AS count FROM named WHERE a NOT IN ({quoted(P.STOPWORDS)}) AND z NOT IN ({quoted(P.STOPWORDS)})
+  AND longest >= 4 AND length(source) BETWEEN 6 AND 48 AND source NOT IN ({quoted(P.GENERIC_PHRASES)}) GROUP BY doc_id, source)"""
+_ACRONYMS = f"""caps AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\b[A-Z][A-Z0-9-]{{1,14}}\\b')) AS source FROM documents WHERE lang = 'en'),
+acronyms AS (SELECT doc_id, source, count(*) AS count FROM caps WHERE lower(source) NOT IN ({quoted(P.STOPWORDS)}) GROUP BY doc_id, source)"""
+
+
+def english(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", "text")
+
+
+@query(f"WITH {_TOKENS} SELECT doc_id, source, count FROM ngrams WHERE count >= 2")
+def glossary_ngrams(spark, sf_dir):
+    return glossary.ngrams(glossary.lines_of(english(spark, sf_dir))).filter(F.col("count") >= 2)
+
+
+@query(f"WITH {_ACRONYMS} SELECT doc_id, source, count FROM acronyms")
+def glossary_acronyms(spark, sf_dir):
+    return glossary.acronyms(glossary.lines_of(english(spark, sf_dir)))
+
+
+@query(f"""WITH {_TOKENS}, {_ACRONYMS},
+both_kinds AS (SELECT doc_id, source, count, 'term' AS kind FROM ngrams UNION ALL SELECT doc_id, source, count, 'abbreviation' AS kind FROM acronyms),
+ranked AS (SELECT doc_id, source, count, kind, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY count * CASE WHEN kind = 'abbreviation' THEN 3 ELSE 1 END DESC,
+  count DESC, len(string_split(source, ' ')) DESC, source DESC, kind) AS INTEGER) AS rank FROM both_kinds WHERE count >= 2)
+SELECT doc_id, rank, source, count, kind FROM ranked WHERE rank <= 80""")
+def glossary_candidates(spark, sf_dir):
+    return glossary.candidates(english(spark, sf_dir))
+
+
+@query()
+def glossary_contexts(spark, sf_dir):
+    docs = english(spark, sf_dir)
+    terms = glossary.candidates(docs, most=5)
+    return glossary.contexts(terms, glossary.lines_of(docs)).select("doc_id", "source", F.array_join("contexts", "\n").alias("contexts"))
+
+
+# Terms of the benchmark: the first two words of each item, and a translation made from its number.
+_TERMS = "terms AS (SELECT DISTINCT lower(array_to_string(regexp_extract_all(text, '[A-Za-z]+')[1:2], ' ')) AS source, '译' || CAST(min(item_id) AS VARCHAR) AS translation FROM benchmark GROUP BY 1)"
+
+
+def benchmark_terms(spark, sf_dir):
+    words = F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), 1, 2)
+    return table(spark, sf_dir, "benchmark").groupBy(F.lower(F.array_join(words, " ")).alias("source")).agg(F.concat(F.lit("译"), F.min("item_id").cast("string")).alias("translation"))
+
+
+_MATCHES = f"""{_TERMS}, segs AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS line FROM documents),
+matched AS (SELECT doc_id, line, source, translation FROM segs, terms WHERE regexp_matches(t, '(?i)(^|[^A-Za-z0-9])' || replace(source, ' ', '\\s+') || '([^A-Za-z0-9]|$)'))"""
+
+
+@query(f"WITH {_MATCHES} SELECT DISTINCT doc_id, line, source, translation FROM matched")
+def segment_term_matches(spark, sf_dir):
+    return glossary.matches(glossary.lines_of(table(spark, sf_dir, "documents")), benchmark_terms(spark, sf_dir))
+
+
+def half_translated(spark, sf_dir):
+    """Lines whose translation holds the terms of even-numbered lines only."""
+    lines = glossary.lines_of(table(spark, sf_dir, "documents"))
+    terms = glossary.matches(lines, benchmark_terms(spark, sf_dir)).filter("line % 2 = 0").groupBy("doc_id", "line").agg(F.array_join(F.array_sort(F.collect_set("translation")), " ").alias("translated"))
+    return lines.select("doc_id", "line").join(terms, ["doc_id", "line"], "left").fillna("", ["translated"])
+
+
+_HALF = "SELECT DISTINCT doc_id, line, source, translation, line % 2 = 1 AND len(list_filter(translations, lambda x: contains(x, translation))) = 0 AS lacks FROM (SELECT *, [''] AS translations FROM matched)"
+
+
+@query(f"WITH {_MATCHES}, judged AS ({_HALF}) SELECT doc_id, line, source, translation FROM judged WHERE lacks")
+def missing_terms(spark, sf_dir):
+    return review.missing_terms(glossary.lines_of(table(spark, sf_dir, "documents")), half_translated(spark, sf_dir), benchmark_terms(spark, sf_dir))
+
+
+@query(f"WITH {_MATCHES}, judged AS ({_HALF}) SELECT count(DISTINCT (doc_id, line)) AS segments, count(*) AS matched, count(*) FILTER (WHERE lacks) AS missing FROM judged")
+def consistency_counters(spark, sf_dir):
+    return review.counters(glossary.lines_of(table(spark, sf_dir, "documents")), half_translated(spark, sf_dir), benchmark_terms(spark, sf_dir))
+
+
+@query()
+def terms_normalized(spark, sf_dir):
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
+    one = F.struct(F.element_at(words, 1).alias("source"), F.upper(F.element_at(words, 2)).alias("translation"), F.slice(words, 3, 9).alias("aliases"))
+    rows = table(spark, sf_dir, "benchmark").filter(F.size(words) > 3).groupBy((F.col("item_id") % 4).alias("doc_id")).agg(F.array_sort(F.collect_list(one)).alias("terms"))
+    return glossary.normalized(rows.select("doc_id", F.to_json(F.struct("terms")).alias("reply"))).withColumn("aliases", F.array_join("aliases", "|"))
+
+
+@query()
+def glossary_prompt(spark, sf_dir):
+    return glossary.prompt(terms_normalized(spark, sf_dir))
+
+
+# --- scalar rules ---
+
+_TEXDOC = r"""tex AS (SELECT doc_id, '\documentclass{article}' || chr(10) || '\begin{document}' || chr(10) || '\section{Doc ' || CAST(doc_id AS VARCHAR) || '}' || chr(10)
+|| replace(text, chr(10), chr(10) || chr(10)) || ' see~\cite{ref\_' || CAST(doc_id AS VARCHAR) || '} and $x_' || CAST(doc_id AS VARCHAR) || '$ % note' || chr(10) || '\end{document}' AS tex FROM documents)"""
+
+
+def texdoc(spark, sf_dir):
+    """Each document as an article: preamble, a heading, paragraphs, a citation, a formula and a comment."""
+    i, text = F.col("doc_id").cast("string"), F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
+    head = F.concat(F.lit("\\documentclass{article}\n\\begin{document}\n\\section{Doc "), i, F.lit("}\n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(head, text, F.lit(" see~\\cite{ref\\_"), i, F.lit("} and $x_"), i, F.lit("$ % note\n\\end{document}")).alias("text"))
+
+
+def _rewrite_query(name: str, rule: str, prefix: str, suffix: str, sql: str) -> None:
+    """A query that puts each text between prefix and suffix and applies a rule; sql is the rule over column t."""
+
+    def run(spark, sf_dir):
+        docs = table(spark, sf_dir, "documents")
+        return docs.select("doc_id", fn.rewrite(F.concat(F.lit(prefix), "text", F.lit(suffix)), rule).alias("text"))
+
+    run.__name__ = name
+    lit = lambda s: " || chr(10) || ".join("'" + p.replace("'", "''") + "'" for p in s.split("\n"))
+    query(f"SELECT doc_id, {sql} AS text FROM (SELECT doc_id, {lit(prefix)} || text || {lit(suffix)} AS t FROM documents)")(run)
+
+
+_rewrite_query("cjk_punct", "cjk_punctuation", r"a\（b\）", r" c\。", r"regexp_replace(t, '\\([（）【】《》，。；：、])', '\1', 'g')")
+_rewrite_query("double_escaped_refs", "double_escaped_references", r"\\ref{a} ", r" \\citep{b} \\textbf{c}", r"regexp_replace(t, '\\\\(Cref|cref|ref|eqref|pageref|nameref|cite|citep|citet|citealp|citealt|citeauthor|citeyear)\{', '\\\1{', 'g')")
+_rewrite_query("section_ref_phrase", "section_phrases", r"见\S所示。\ref{s1} ", r" \S所示\ref{s2}", r"regexp_replace(t, '\\S所示[。.]?\s*\\ref\{([^}]+)\}', '\\S\\ref{\1}所示', 'g')")
+_rewrite_query("caption_prefix", "caption_prefixes", "Figure 12 | x\n", "\nTable 3| y", r"regexp_replace(regexp_replace(t, '(?m)^Figure\s+(\d+)\s*\|', '图\1 |', 'g'), '(?m)^Table\s+(\d+)\s*\|', '表\1 |', 'g')")
+_rewrite_query("ref_brackets", "reference_brackets", "[1] A\n", "\n [23] B [4]", r"regexp_replace(t, '(?m)^(\s*)\[(\d{1,3})\]', '\1{[}\2{]}', 'g')")
+_rewrite_query("math_font", "math_fonts", r"$\mathbf{\bar{x}}$ ", r" $\mathbf { \hat { y } }$", r"regexp_replace(t, '\\mathbf\s*\{\s*(\\(?:bar|hat|tilde|vec|dot|ddot)\s*\{\s*[^{}]+?\s*\})\s*\}', '\1', 'g')")
+_rewrite_query("control_word_boundary", "control_word_boundaries", r"\method中 ", r" \alpha文", r"regexp_replace(t, '\\([A-Za-z@]+)([一-鿿])', '\\\1{}\2', 'g')")
+_rewrite_query("text_symbols", "text_symbols", r"\textless x ", r" \textgreater{} \textbar", r"regexp_replace(regexp_replace(t, '\\(textless|textgreater|textbar)\{\}', '\\\1', 'g'), '\\(textless|textgreater|textbar)', '\\\1{}', 'g')")
+_rewrite_query("linebreak_dims", "linebreak_dimensions", "a \\[2pt] ", " b \\[ 1.5em ]", r"regexp_replace(t, '([^\\])\\\[(\s*\d+(?:\.\d+)?(?:pt|em|ex|mm|cm|in)\s*)\]', '\1\\\\[\2]', 'g')")
+_rewrite_query("item_syntax", "item_space", r"\item中 \itemsep1 ", r" \item[x]", r"regexp_replace(t, '\\item([^A-Za-z@\s])', '\\item \1', 'g')")
+
+
+@query("SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM documents")
+def compact_ws(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", fn.compact(F.col("text")).alias("text"))
+
+
+@query()
+def markdown_artifacts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", fn.rewrite(F.col("text"), "markdown_emphasis").alias("text"))
+
+
+@query()
+def sanitized(spark, sf_dir):
+    return texdoc(spark, sf_dir).select("doc_id", fn.sanitize(F.col("text")).alias("text"))
+
+
+@query()
+def missing_items(spark, sf_dir):
+    wrapped = F.concat(F.lit("\\begin{itemize}\n"), "text", F.lit("\n\\end{itemize}"))
+    return table(spark, sf_dir, "documents").select("doc_id", fn.rewrite(wrapped, "missing_list_items").alias("text"))
+
+
+@query()
+def xcolor_merged(spark, sf_dir):
+    both = F.concat(F.lit("\\usepackage[table,dvipsnames]{xcolor}\n\\documentclass{article}\n\\usepackage[table,svgnames]{xcolor}\n"), "text")
+    return table(spark, sf_dir, "documents").select("doc_id", fn.merged_xcolor(both).alias("text"))
+
+
+@query(rf"""WITH {_TEXDOC}, lines AS (SELECT doc_id, unnest(string_split(tex, chr(10))) AS t, generate_subscripts(string_split(tex, chr(10)), 1) AS i FROM tex)
+SELECT doc_id, string_agg(CASE WHEN position('%' IN t) = 1 THEN '' ELSE regexp_replace(t, '([^\\])%.*', '\1') END, chr(10) ORDER BY i) || chr(10) AS text FROM lines WHERE NOT starts_with(ltrim(t), '%') GROUP BY doc_id""")
+def comments_stripped(spark, sf_dir):
+    return texdoc(spark, sf_dir).select("doc_id", fn.strip_comments(F.col("text")).alias("text"))
+
+
+@query(rf"""WITH {_TEXDOC}, plain AS (SELECT doc_id, regexp_replace(tex, '(?s)\\.', '', 'g') AS t FROM tex)
+SELECT doc_id, CAST(length(t) - length(replace(t, '{{', '')) - (length(t) - length(replace(t, '}}', ''))) AS INTEGER) AS balance FROM plain""")
+def brace_balance(spark, sf_dir):
+    return texdoc(spark, sf_dir).select("doc_id", fn.brace_balance(F.col("text")).alias("balance"))
+
+
+@query(r"""WITH pieces AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS t FROM documents),
+counted AS (SELECT doc_id, t, length(regexp_replace(t, '[^\p{L}]', '', 'g')) AS letters FROM pieces)
+SELECT doc_id, count(*) AS lines, count(*) FILTER (WHERE length(t) >= 40 AND letters >= 20) AS kept FROM counted GROUP BY doc_id""")
+def should_translate(spark, sf_dir):
+    lines = glossary.lines_of(table(spark, sf_dir, "documents"))
+    return lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(fn.should_translate(F.col("text"))).alias("kept"))
+
+
+# --- spans ---
+
+_SPANS = "spans AS (SELECT l_orderkey AS doc_id, CAST(l_partkey % 1000 AS INTEGER) AS s, CAST(l_partkey % 1000 + CAST(l_quantity AS INTEGER) AS INTEGER) AS e FROM lineitem)"
+_MERGED = """before AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM {0} WHERE s < e),
+islands AS (SELECT *, sum(CASE WHEN b IS NULL OR s > b THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM before),
+merged AS (SELECT doc_id, min(s) AS s, max(e) AS e FROM islands GROUP BY doc_id, island)"""
+
+
+def line_spans(spark, sf_dir, shift: int = 0):
+    start = (F.col("l_partkey") % 1000 + shift).cast("int")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), start.alias("start"), (start + F.col("l_quantity").cast("int")).alias("end"))
+
+
+@query(f'WITH {_SPANS}, {_MERGED.format("spans")} SELECT doc_id, s AS "start", e AS "end" FROM merged')
+def spans_merged(spark, sf_dir):
+    return spans.merged(line_spans(spark, sf_dir))
+
+
+@query(f"""WITH {_SPANS}, {_MERGED.format("spans")}, bounds AS (SELECT doc_id, s, e FROM merged UNION ALL SELECT DISTINCT l_orderkey, 1100, 1100 FROM lineitem),
+left_over AS (SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s, e), 0) AS a, s AS z FROM bounds) SELECT doc_id, CAST(a AS INTEGER) AS "start", CAST(z AS INTEGER) AS "end" FROM left_over WHERE a < z""")
+def spans_gaps(spark, sf_dir):
+    ends = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id")).distinct().withColumn("end", F.lit(1100))
+    return spans.gaps(line_spans(spark, sf_dir), ends)
+
+
+@query()
+def spans_subtracted(spark, sf_dir):
+    return spans.subtracted(line_spans(spark, sf_dir), line_spans(spark, sf_dir, 10))
+
+
+# --- segments and translations ---
+
+_PAIRS = "pairs AS (SELECT a.conv_id, a.turn, a.text AS original, b.text AS translated FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant')"
+
+
+def pairs(spark, sf_dir):
+    """Turns of a user and the answers to them, as source texts and translations."""
+    turns = table(spark, sf_dir, "conversations")
+    asked = turns.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("original"))
+    answered = turns.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("translated"))
+    return asked.join(answered, ["conv_id", "turn"])
+
+
+@query(f"""WITH {_PAIRS}, tidy AS (SELECT conv_id, turn, trim(regexp_replace(original, '\\s+', ' ', 'g')) AS a, trim(regexp_replace(original || ' ' || translated, '\\s+', ' ', 'g')) AS b FROM pairs)
+SELECT conv_id, turn, length(a) >= 80 AND length(b) > length(a) + 8 AND position(a IN b) BETWEEN 1 AND 25 AS echo FROM tidy""")
+def large_echo(spark, sf_dir):
+    return pairs(spark, sf_dir).select("conv_id", "turn", fn.large_echo(F.col("original"), F.concat("original", F.lit(" "), "translated")).alias("echo"))
+
+
+@query(f"WITH {_PAIRS} SELECT conv_id, turn, repeat('译', 9) || ' ' || trim(translated) AS text FROM pairs")
+def echo_stripped(spark, sf_dir):
+    said = F.concat(F.lit("> "), F.trim("original"), F.lit(": "), F.repeat(F.lit("译"), F.lit(9)), F.lit(" "), F.trim("translated"))
+    return pairs(spark, sf_dir).select("conv_id", "turn", fn.strip_echo(F.col("original"), said).alias("text"))
+
+
+@query(f"""WITH {_PAIRS}, n AS (SELECT conv_id, turn, length(regexp_replace(original, '[^A-Za-z]', '', 'g')) AS letters FROM pairs)
+SELECT conv_id, turn, letters >= 80 AND (turn * 2) < greatest(8, letters // 80) AS untranslated FROM n""")
+def likely_untranslated(spark, sf_dir):
+    made = F.repeat(F.lit("译"), (F.col("turn") * 2).cast("int"))
+    return pairs(spark, sf_dir).select("conv_id", "turn", fn.untranslated(F.col("original"), made).alias("untranslated"))
+
+
+def _segments(spark, sf_dir):
+    lines = glossary.lines_of(table(spark, sf_dir, "documents"))
+    return lines.select("doc_id", F.concat(F.lit("seg-"), F.lpad((F.col("line") + 1).cast("string"), 4, "0")).alias("id"), "text")
+
+
+@query("""WITH segs AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
+SELECT doc_id, 'seg-' || lpad(CAST(i AS VARCHAR), 4, '0') AS id, text FROM segs WHERE doc_id NOT IN (SELECT doc_id FROM labels) OR i % 3 = 0""")
+def resume_pending(spark, sf_dir):
+    rows = _segments(spark, sf_dir)
+    number = F.substring("id", 5, 9).cast("int")
+    done = rows.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id").select("doc_id", "id", F.when(number % 3 != 0, "译").otherwise("").alias("translation"))
+    return segments.pending(rows, done)
+
+
+@query()
+def paragraph_nodes(spark, sf_dir):
+    return segments.paragraph_nodes(texdoc(spark, sf_dir))
+
+
+@query()
+def segment_numbering(spark, sf_dir):
+    return segments.numbered(segments.paragraph_nodes(texdoc(spark, sf_dir))).select("doc_id", "node", "segment_id")
+
+
+@query(rf"WITH {_TEXDOC} SELECT doc_id, tex AS text, CAST(0 AS BIGINT) AS missing FROM tex")
+def apply_rebuild(spark, sf_dir):
+    """Every segment translated to itself: the text comes back whole."""
+    nodes = segments.numbered(segments.paragraph_nodes(texdoc(spark, sf_dir)))
+    same = nodes.filter("segment_id is not null").select("doc_id", F.col("segment_id").alias("id"), F.col("text").alias("translation"), F.lit(1).alias("ord"))
+    return segments.rebuilt(nodes, same)
+
+
+# --- scanners ---
+
+
+@query(rf"WITH {_TEXDOC} SELECT doc_id, tex AS text FROM tex")
+def mask_round_trip(spark, sf_dir):
+    from scriptorium.functions import scanners
+
+    ship(spark)
+    return texdoc(spark, sf_dir).select("doc_id", scanners.mask_round_trip("text").alias("text"))
+
+
+@query(rf"WITH {_TEXDOC} SELECT doc_id, '\cite{{ref\_' || CAST(doc_id AS VARCHAR) || '}}' AS command, CAST(position('\cite{{' IN tex) - 1 AS INTEGER) AS start FROM tex")
+def reference_commands(spark, sf_dir):
+    from scriptorium.functions import scanners
+
+    ship(spark)
+    return texdoc(spark, sf_dir).select("doc_id", F.explode(scanners.reference_spans("text")).alias("r")).select("doc_id", "r.command", "r.start")
+
+
+@query(rf"WITH {_TEXDOC} SELECT doc_id, tex AS text FROM tex")
+def references_repaired(spark, sf_dir):
+    """Translations whose citation has lost its key get the original's back."""
+    from scriptorium.functions import scanners
+
+    ship(spark)
+    docs = texdoc(spark, sf_dir)
+    broken = F.regexp_replace("text", r"\\cite\{[^}]*\}", r"\\cite{...}")
+    return docs.select("doc_id", scanners.repaired_references(broken, "text").alias("text"))
+
+
+# --- quality ---
+
+
+@query(rf"""WITH {_TEXDOC} SELECT severity, kind, n FROM (SELECT 'error' AS severity, 'placeholder_leak' AS kind, count(*) AS n FROM documents WHERE doc_id % 3 = 0
+UNION ALL SELECT 'error', 'double_escaped_reference', count(*) FROM documents WHERE doc_id % 3 = 1 UNION ALL SELECT 'error', 'missing_list_item', count(*) FROM documents WHERE doc_id % 3 = 2)""")
+def quality_faults(spark, sf_dir):
+    """One fault put into each document, and counted by the rules that find it."""
+    fault = F.when(F.col("doc_id") % 3 == 0, "\n__LATEX_BLOCK_0001__").when(F.col("doc_id") % 3 == 1, "\n\\\\cite{a}").otherwise("\n\\begin{itemize}\nx\n\\end{itemize}")
+    texts = texdoc(spark, sf_dir).select("doc_id", F.concat(F.replace(F.col("text"), F.lit("**"), F.lit("")), fault).alias("text"))
+    kinds = ("placeholder_leak", "double_escaped_reference", "missing_list_item")
+    return quality.blocking(quality.issues(texts)).filter(F.col("kind").isin(*kinds)).groupBy("severity", "kind").agg(F.count("*").alias("n"))
+
+
+@query()
+def quality_issues(spark, sf_dir):
+    return quality.issues(texdoc(spark, sf_dir))
+
+
+@query()
+def quality_summary(spark, sf_dir):
+    return quality.summary(quality.issues(texdoc(spark, sf_dir)))
+
+
+@query("""SELECT event_id AS doc_id, CASE WHEN event_id % 2 = 0 THEN '! Undefined ' ELSE 'LaTeX Error: ' END || event_type AS line FROM events WHERE event_id % 3 != 0""")
+def critical_log_lines(spark, sf_dir):
+    said = F.when(F.col("event_id") % 3 == 0, F.lit("note ")).when(F.col("event_id") % 2 == 0, F.lit("! Undefined ")).otherwise(F.lit("LaTeX Error: "))
+    logs = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.concat(F.lit("ok\n"), said, "event_type", F.lit("\nend")).alias("log"))
+    return quality.critical_log_lines(logs)
+
+
+# --- names and addresses ---
+
+
+@query("SELECT page_id, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*[^?#]*)', 1) AS url FROM pages")
+def safe_urls(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", fn.safe_url(F.col("url")).alias("url"))
+
+
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN '2401.' || lpad(CAST(page_id AS VARCHAR), 5, '0') WHEN 1 THEN 'hep-th/' || lpad(CAST(page_id AS VARCHAR), 7, '0') || 'v2' END AS name FROM pages")
+def arxiv_ids(spark, sf_dir):
+    i = F.col("page_id").cast("string")
+    url = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("https://arxiv.org/pdf/2401."), F.lpad(i, 5, "0"), F.lit(".pdf"))).when(F.col("page_id") % 4 == 1, F.concat(F.lit("http://www.arxiv.org/abs/hep-th/"), F.lpad(i, 7, "0"), F.lit("v2?x=1"))).when(F.col("page_id") % 4 == 2, F.concat(F.lit("https://arxiv.org/abs/24.1"), i)).otherwise(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", fn.arxiv_id(url).alias("name"))
+
+
+@query("SELECT page_id, CASE WHEN s = '' THEN 'task' ELSE s END AS slug FROM (SELECT page_id, regexp_replace(regexp_replace(url, '[^A-Za-z0-9._-]+', '-', 'g'), '^[-._]+|[-._]+$', '', 'g') AS s FROM pages)")
+def slugs(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", fn.slug(F.col("url")).alias("slug"))
+
+
+@query()
+def artifact_names(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", fn.artifact_name(F.concat("p_name", F.lit(" : "), "p_type", F.lit("..."))).alias("name"))
+
+
+@query("SELECT p_partkey, array_to_string(list_sort(list_distinct(list_concat(range(p_size, p_size + 3), [CAST(p_partkey % 9 + 1 AS BIGINT)]))), ' ') AS pages FROM part")
+def page_specs(spark, sf_dir):
+    spec = F.concat((F.col("p_size") + 2).cast("string"), F.lit("-"), F.col("p_size").cast("string"), F.lit(" , "), (F.col("p_partkey") % 9 + 1).cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(fn.page_numbers(spec), " ").alias("pages"))

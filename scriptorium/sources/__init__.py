@@ -1 +1,109 @@
-"""Sources of the engine."""
+"""Readers and writers: TeX projects, JSON lines, archives; addresses of sources."""
+
+from __future__ import annotations
+
+import gzip
+import io
+import tarfile
+import zipfile
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scriptorium.functions import arxiv_id, strip_comments
+from scriptorium.session import ship
+
+
+def read_tex(spark: SparkSession, path: str) -> DataFrame:
+    """All .tex files below path: doc_id (the folder below path), path, content."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.tex").text(path, wholetext=True)
+    at = F.col("_metadata.file_path")
+    return files.select(F.regexp_extract(F.substring_index(at, path.rstrip("/") + "/", -1), r"^([^/]+)/", 1).alias("doc_id"), at.alias("path"), F.col("value").alias("content"))
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines of a fixed schema; a malformed line ends the read."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def write_jsonl(rows: DataFrame, path: str, *order: str) -> None:
+    (rows.repartitionByRange(*order).sortWithinPartitions(*order) if order else rows).write.mode("overwrite").json(path)
+
+
+def source_urls(url):
+    """Addresses of an arXiv article's source, in the order to try; null for other addresses."""
+    name = arxiv_id(url)
+    return F.when(name.isNotNull(), F.array(F.concat(F.lit("https://arxiv.org/src/"), name), F.concat(F.lit("https://arxiv.org/e-print/"), name)))
+
+
+def pdf_url(url):
+    return F.concat(F.lit("https://arxiv.org/pdf/"), arxiv_id(url), F.lit(".pdf"))
+
+
+def members(content: bytes, depth: int = 2) -> list[tuple[str, bytes]]:
+    """Files in a zip, a tar of any compression, or a gzip of either; a lone TeX text is main.tex. Paths that leave the archive are left out."""
+    data = io.BytesIO(content)
+    if zipfile.is_zipfile(data):
+        with zipfile.ZipFile(data) as z:
+            found = [(i.filename, z.read(i)) for i in z.infolist() if not i.is_dir()]
+    else:
+        try:
+            with tarfile.open(fileobj=io.BytesIO(content)) as t:
+                found = [(m.name, t.extractfile(m).read()) for m in t if m.isfile()]
+        except tarfile.TarError:
+            if content[:2] == b"\x1f\x8b" and depth:
+                return members(gzip.decompress(content), depth - 1)
+            found = [("main.tex", content)] if b"\\documentclass" in content or b"\\begin{document}" in content else []
+    return [(n, d) for n, d in found if not n.startswith("/") and ".." not in n.split("/")]
+
+
+def unpack(archives: DataFrame) -> DataFrame:
+    """archives (path, content) as read by binaryFile: path, member, content; one archive at a time is in memory."""
+    ship(archives.sparkSession)
+
+    def rows(batches):
+        for b in batches:
+            for path, content in zip(b["path"], b["content"], strict=True):
+                if found := members(bytes(content)):
+                    yield pd.DataFrame({"path": path, "member": [n for n, _ in found], "content": [d for _, d in found]})
+
+    return archives.select("path", "content").mapInPandas(rows, "path string, member string, content binary")
+
+
+def main_files(tex: DataFrame) -> DataFrame:
+    """Each project's main file: with a document class; of several the one that includes most and looks least like a template, then longest."""
+    has = lambda words: sum((F.lower("plain").contains(w).cast("int") for w in words), F.lit(0))
+    rows = tex.withColumn("plain", strip_comments(F.col("content"))).filter(F.col("content").contains("\\documentclass") & ~F.regexp_extract("path", r"([^/]*)$", 1).startswith("merge"))
+    score = has(("\\input", "\\include", "\\ref", "\\cite")) - has(("template", "instructions", "sample", "guidelines"))
+    return rows.groupBy("doc_id").agg(F.max_by("path", F.struct(score.alias("score"), F.length("plain").alias("n"), F.col("path").alias("path"))).alias("path"))
+
+
+def with_includes(tex: DataFrame, depth: int = 5) -> DataFrame:
+    """Main files with \\input and \\include replaced by the files named, level by level; missing ones leave a comment."""
+    names = tex.select("doc_id", F.regexp_extract("path", r"([^/]*)\.tex$", 1).alias("name"), strip_comments(F.col("content")).alias("body"))
+    text = main_files(tex).join(tex, ["doc_id", "path"]).select("doc_id", strip_comments(F.col("content")).alias("text"))
+    call = r"\\(?:input|include)\{(?:[^{}]*/)?([^{}/]+?)(?:\.tex)?\}"
+    for _ in range(depth):
+        pieces = text.select("doc_id", F.posexplode(F.split("text", r"(?=\\(?:input|include)\{)")).alias("at", "piece"))
+        pieces = pieces.withColumn("name", F.regexp_extract("piece", "^" + call, 1))
+        met = pieces.join(names, ["doc_id", "name"], "left")
+        body = F.when(F.col("name") == "", F.col("piece")).otherwise(F.concat(F.coalesce("body", F.concat(F.lit("\n% missing include: "), "name", F.lit("\n"))), F.regexp_replace("piece", "^" + call, "")))
+        text = met.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", body.alias("body")))), lambda x: x["body"]), "").alias("text"))
+    return text
+
+
+Backend = Callable[[list[str]], list[str]]
+
+
+def translate(pending: DataFrame, backend: Backend) -> DataFrame:
+    """pending (doc_id, id, text) with translation from backend, called with the texts of a batch; texts that come back empty stay pending."""
+    ship(pending.sparkSession)
+
+    def rows(batches):
+        for b in batches:
+            yield b[["doc_id", "id"]].assign(translation=backend(b["text"].tolist()))
+
+    schema = f"doc_id {pending.schema['doc_id'].dataType.simpleString()}, id string, translation string"
+    return pending.select("doc_id", "id", "text").mapInPandas(rows, schema).filter("translation != ''")
