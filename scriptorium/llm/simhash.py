@@ -37,6 +37,8 @@ MAX_SHARDS = 1 << 14
 #: Below so many fingerprints a shard's own tree compares all.
 LEAF = 192
 FAN = 8
+#: Links that one task thins at a time, on average.
+THIN_LINKS = 50_000
 
 
 def simhash(text: bytes, words: int = SHINGLE, lanes: int = 1) -> bytes:
@@ -177,6 +179,38 @@ def roots_within(values: np.ndarray, radius: int, pairs: Iterator[tuple[np.ndarr
     return parent
 
 
+def _tree(root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(child, parent) of a tree over each component, in which none has more than FAN + 1 links; root: components by number."""
+    order = np.lexsort((np.arange(len(root)), root))  # members of a component together
+    start = np.flatnonzero(np.concatenate(([True], root[order][1:] != root[order][:-1]))) if len(root) else order
+    first = np.repeat(start, np.diff(np.append(start, len(order))))
+    rank = np.arange(len(order)) - first
+    child = rank > 0
+    return order[child], order[first[child] + (rank[child] - 1) // FAN]
+
+
+def thinned(edges: DataFrame) -> DataFrame:
+    """Fewer links (a, b) that join the same fingerprints: each of the parts that links are dealt into by hash keeps a forest.
+
+    Different blocks link the members of a large group each in their own way; a forest has less than one link a member.
+    """
+    parts = -(-edges.count() // THIN_LINKS)
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def forest(batches):
+        table = pa.Table.from_batches([*batches], schema)
+        ends = pa.concat_arrays([c for name in "ab" for c in table.column(name).chunks] or [pa.array([], pa.binary())]).dictionary_encode()
+        at = ends.indices.to_numpy()
+        n = len(at) // 2
+        root = roots_within(np.zeros((len(ends.dictionary), 1), np.uint64), 0, iter([(at[:n], at[n:])]))
+        child, up = _tree(root)
+        yield pa.RecordBatch.from_arrays([ends.dictionary.take(pa.array(child)), ends.dictionary.take(pa.array(up))], schema=schema)
+
+    if parts == 0:
+        return edges
+    return edges.repartition(parts).mapInArrow(tidy(forest), "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, block_radius: int | None = None) -> DataFrame:
     """Links (a, b) between different fingerprints of distinct (fp) that join all that link, directly or through others.
 
@@ -224,14 +258,9 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, block
         bits = block_bits(known, block, blocks)
         pairs = ((asking[x], home[y]) for x, y in near_pairs(bits[home], bits[asking], reach, np.random.default_rng(SEED)))
         root = roots_within(known, radius, pairs)
-        order = np.lexsort((np.arange(len(root)), root))  # members of a component together
-        start = np.flatnonzero(np.concatenate(([True], root[order][1:] != root[order][:-1])))
-        first = np.repeat(start, np.diff(np.append(start, len(order))))
-        rank = np.arange(len(order)) - first
-        child = rank > 0
-        up = order[first[child] + (rank[child] - 1) // FAN]  # no fingerprint gets more than FAN + 1 links here
+        child, up = _tree(root)
         packed = known.astype(">u8")
-        return pd.DataFrame({"a": [x.tobytes() for x in packed[order[child]]], "b": [x.tobytes() for x in packed[up]]})
+        return pd.DataFrame({"a": [x.tobytes() for x in packed[child]], "b": [x.tobytes() for x in packed[up]]})
 
     found = cells.groupBy("block", "shard", "way", "side").applyInPandas(in_cell, "a binary, b binary")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -271,7 +300,7 @@ def groups(docs: DataFrame, words: int = SHINGLE, lanes: int = 1, radius: int =
     hashed = materialize(fingerprints(docs, words, lanes), "fingerprints")
     first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")
     nodes = materialize(hashed.groupBy("fp").agg(F.min(first).alias("least")), "nodes")
-    labels = components(links(nodes.select("fp"), radius, blocks, block_radius))
+    labels = components(thinned(materialize(links(nodes.select("fp"), radius, blocks, block_radius), "links")))
     tagged = nodes.join(labels, "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     named = tagged.groupBy("label").agg(F.min("least").alias("of"))
     known = materialize(tagged.join(named, "label").select("fp", F.col("of.doc_id").alias("least_id"), F.col("of.row").alias("least_row")), "components")
