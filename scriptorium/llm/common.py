@@ -223,8 +223,8 @@ class _JoinedEncoder:
 _OPEN: dict = {}
 
 
-def json_encoder(path: str, fold: bool) -> UnitCache:
+def json_encoder(path: str, fold: bool, limit: int = 150_000) -> UnitCache:
     """Cached encoder over a file of the tokenizers library; one for each worker process. fold: the tokenizer lower-cases."""
     if (path, fold) not in _OPEN:
-        _OPEN[path, fold] = UnitCache(_JoinedEncoder(path), fold)
+        _OPEN[path, fold] = UnitCache(_JoinedEncoder(path), fold, limit)
     return _OPEN[path, fold]

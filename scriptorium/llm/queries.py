@@ -25,7 +25,7 @@ def word_encoder(path: str) -> Callable:
 
 
 def byte_encoder(path: str) -> Callable:
-    return partial(common.json_encoder, path, False)
+    return partial(common.json_encoder, path, False, 220_000)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,7 +91,7 @@ def write_token_files(docs: DataFrame, path: str, encoder: Callable[[], Callable
     Rows of equal doc_id follow each other by the hash of their text; rows without an id come first. encoder() is called on
     the executors and must return a function from texts to arrays of ids. One pass and one shuffle, of the texts.
     """
-    bound_batches(docs.sparkSession, TOKEN_ROWS)
+    bound_batches(docs.sparkSession, 2 * TOKEN_ROWS)
 
     def blocks(batches):
         encode, shard, number, names, kept, n = encoder(), TaskContext.get().partitionId(), 0, [], [], 0
