@@ -25,7 +25,8 @@ def line_faults(texts: DataFrame) -> DataFrame:
     lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
     prose = F.regexp_replace("text", r"\\[A-Za-z]+\*?(?:\[[^\]]*\])?(?:\{[^{}]*\})?", " ")
     residue = (n_cjk(F.col("text")) >= 8) & (prose.rlike(RESIDUE) | F.col("text").rlike(r"\b(?:Table|Figure|Section)~?\\ref"))
-    found = F.array_compact(F.array(F.when(F.col("text").rlike(SECTION_IN_PROSE), F.struct(F.lit("latex_section_inside_prose").alias("kind"), F.lit("error").alias("severity"))), F.when(residue, F.struct(F.lit("english_residue").alias("kind"), F.lit("warn").alias("severity")))))
+    section = F.col("text").contains("section{") & F.col("text").rlike(SECTION_IN_PROSE)  # most lines end at the first test
+    found = F.array_compact(F.array(F.when(section, F.struct(F.lit("latex_section_inside_prose").alias("kind"), F.lit("error").alias("severity"))), F.when(residue, F.struct(F.lit("english_residue").alias("kind"), F.lit("warn").alias("severity")))))
     return lines.select("doc_id", "text", F.explode(found).alias("f")).select("doc_id", "f.kind", "f.severity", compact(F.col("text")).alias("snippet"))
 
 
