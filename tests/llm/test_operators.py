@@ -345,6 +345,19 @@ def test_toxicity_ignores_held_out_labels(spark):
     assert score(labels) == score(turned)
 
 
+def test_toxicity_trains_on_whole_texts(spark, monkeypatch):
+    """Texts beyond the bound are passed over, never cut; the next rows of the class take their places."""
+    rows = [(i, "x" * (5 if i % 3 else 50), i % 2) for i in range(200)]
+    docs = spark.createDataFrame([*rows, (1, None, 0), (1, "y" * 5, 0)], "doc_id long, text string, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_field", lambda texts, toxic, share: seen.append((texts, toxic)))
+    for most in (10, 200):
+        toxicity.train(docs.drop("toxic"), docs.select("doc_id", "toxic"), rows=most, chars=5)
+    train = [i for i, t, _ in rows if len(t) <= 5 and zlib.crc32(str(i).encode()) % 5]
+    assert sorted(seen[1][1]) == sorted(i % 2 for i in train) and all(len(t) in (0, 5) for t in seen[1][0])
+    assert seen[0][1].count(0) == seen[0][1].count(1) == 10 and set(seen[0][0]) <= {"x" * 5, ""}
+
+
 def test_toxicity_odd_texts(spark, docs, texts, sf_dir):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     rows = toxicity.score_documents(docs, toxicity.train(docs, none)).collect()
