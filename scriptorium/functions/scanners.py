@@ -30,6 +30,32 @@ MASKED = (
     r"\\[A-Za-z@]+\*?",
 )
 _MASKED = [re.compile(p, re.S) for p in MASKED]
+# What isn't text to translate, as whole matches.
+PROTECTED = (
+    r"\A(?:.*?\\begin\{document\}|.*?\\maketitle)",
+    r"\\iffalse.*?\\fi",
+    r"\$\$.*?\$\$",
+    r"(?<!\\)\\\[.*?\\\]",
+    r"\\begin\{center\}.*?\\end\{center\}",
+    r"\\begin\{(?:tabular|tabular\*|tabularx|array)\}(?:\{.*?\})?.*?\\end\{(?:tabular|tabular\*|tabularx|array)\}",
+    r"\\begin\{(?:equation|equation\*|align|align\*|multline|multline\*|gather|gather\*)\}.*?\\end\{[^}]+\}",
+    r"\\begin\{(?:figure|figure\*|table|table\*|algorithm|lstlisting|thebibliography)\}.*?\\end\{[^}]+\}",
+    P.REFERENCE_FLAT,
+    r"\\(?:url|href|includegraphics|bibliography|bibliographystyle)\*?(?:\[[^\]]*\])?\{[^}]*\}",
+    r"\\(?:begin|end)\{[^}]+\}",
+    r"\\(?:newpage|clearpage|appendix|tableofcontents)\b",
+)
+# Environments of prose; any other is protected if it has fewer lines than the limit.
+PROSE_ENVIRONMENTS = ("document", "abstract", "lemma", "definition", "sproof", "em", "emph", "textit", "textbf", "itemize", "enumerate")
+SHORT_ENVIRONMENT = 42
+# Commands whose braced argument is text again, up to the brace, by where they stand.
+FRONT_MATTER = (r"\\(?:title|subtitle)\*?(?:\[[^\]]*\])?\{", r"(?i:\\(?:re)?newcommand\*?\s*\{\\[^{}]*title[^{}]*\}\s*(?:\[[^\]]*\]\s*){0,2}\{)")
+OPENED = (r"\\caption\{", r"\\abstract\{")
+_PROTECTED = [re.compile(p, re.S) for p in PROTECTED]
+_ENVIRONMENT = re.compile(r"\\begin\{([a-zA-Z*]+)\}(.*?)\\end\{\1\}", re.S)
+_FRONT_MATTER = re.compile("|".join(FRONT_MATTER))
+_OPENED = re.compile("|".join(OPENED))
+_ABSTRACT = re.compile(r"\\begin\{abstract\}(.*?)\\end\{abstract\}", re.S)
 _BRACE = re.compile(r"\\.|[{}]", re.S)
 
 
@@ -52,6 +78,24 @@ def references(text: str) -> Iterator[tuple[int, int]]:
         yield m.start(), at
 
 
+def arguments(text: str, command: re.Pattern) -> list[tuple[int, int]]:
+    """(start, end) inside the braces that each match of ``command`` opens, where they close."""
+    ends = ((m.end(), closing_brace(text, m.end() - 1)) for m in command.finditer(text))
+    return [(a, b) for a, b in ends if b is not None]
+
+
+def short_environments(text: str) -> list[tuple[int, int]]:
+    """Environments not of prose with few lines. An environment inside another is not looked at."""
+    return [m.span() for m in _ENVIRONMENT.finditer(text) if m[1] not in PROSE_ENVIRONMENTS and m[2].count("\n") < SHORT_ENVIRONMENT]
+
+
+def guarded(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Spans to keep from translation, and spans inside them that are text again; neither merged nor in order."""
+    kept = [m.span() for p in _PROTECTED for m in p.finditer(text)] + short_environments(text)
+    opened = arguments(text, _FRONT_MATTER) + arguments(text, _OPENED) + [m.span(1) for m in _ABSTRACT.finditer(text)]
+    return kept, opened
+
+
 def mask(text: str) -> tuple[str, list[tuple[str, str]]]:
     """text with blocks as tokens, and (token, block) in the order found."""
     blocks: list[tuple[str, str]] = []
@@ -110,6 +154,8 @@ def restore_references(translated: str, original: str) -> str:
 _TEXT = T.StringType()
 _BLOCKS = T.StructType().add("masked", _TEXT).add("blocks", T.ArrayType(T.StructType().add("token", _TEXT).add("original", _TEXT)))
 _REFERENCES = T.ArrayType(T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType()).add("command", _TEXT))
+_SPANS = T.ArrayType(T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType()))
+_GUARDED = T.StructType().add("kept", _SPANS).add("opened", _SPANS)
 
 
 @F.pandas_udf(_BLOCKS)
@@ -136,3 +182,23 @@ def escaped_underscores(texts: pd.Series) -> pd.Series:
 @F.pandas_udf(_TEXT)
 def repaired_references(translated: pd.Series, original: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else restore_references(t, o or "") for t, o in zip(translated, original, strict=True)], dtype=object)
+
+
+def _rows(spans: list[tuple[int, int]]) -> list[dict]:
+    return [{"start": a, "end": b} for a, b in spans]
+
+
+@F.pandas_udf(_GUARDED)
+def guarded_spans(texts: pd.Series) -> pd.DataFrame:
+    made = [guarded(t or "") for t in texts]
+    return pd.DataFrame({"kept": [_rows(k) for k, _ in made], "opened": [_rows(o) for _, o in made]})
+
+
+@F.pandas_udf(_SPANS)
+def front_matter_spans(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else _rows(arguments(t, _FRONT_MATTER)))
+
+
+@F.pandas_udf(_SPANS)
+def environment_spans(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else _rows(short_environments(t)))

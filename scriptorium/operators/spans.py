@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.functions import scanners
+from scriptorium.session import ship
+
 
 def merged(spans: DataFrame) -> DataFrame:
     """spans (doc_id, start, end) with those that overlap or touch made one; empty ones go."""
@@ -23,6 +26,19 @@ def gaps(spans: DataFrame, ends: DataFrame) -> DataFrame:
     return rows.select("doc_id", before.alias("start"), F.col("start").alias("end")).filter("start < end")
 
 
+def protected(docs: DataFrame) -> DataFrame:
+    """doc_id, start, end of what of docs (doc_id, text) isn't to be translated: the scanner's spans without the text inside them.
+
+    Each text is scanned once; only spans reach the sweep. A null text has none.
+    """
+    ship(docs.sparkSession)
+    found = docs.select("doc_id", scanners.guarded_spans("text").alias("g"))
+    side = lambda name, k: F.transform(f"g.{name}", lambda x: F.struct(F.lit(k).alias("opened"), x["start"].alias("start"), x["end"].alias("end")))
+    tagged = F.concat(side("kept", 0), side("opened", 1))
+    rows = found.select("doc_id", F.explode(tagged).alias("s")).select("doc_id", "s.*")
+    return subtracted(*(rows.filter(F.col("opened") == k).select("doc_id", "start", "end") for k in (0, 1)))
+
+
 def subtracted(spans: DataFrame, opened: DataFrame) -> DataFrame:
     """Merged spans without what opened (doc_id, start, end) covers: a sweep over the ends of both, no join."""
     edge = lambda df, name: df.select("doc_id", F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("step")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("step")))).alias("e")).select("doc_id", "e.at", F.col("e.step").alias(name))

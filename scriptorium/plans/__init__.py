@@ -249,6 +249,29 @@ def spans_subtracted(spark, sf_dir):
     return spans.subtracted(line_spans(spark, sf_dir), line_spans(spark, sf_dir, 10))
 
 
+_TITLED = rf"{_TEXDOC}, titled AS (SELECT doc_id, '\title{{T' || CAST(doc_id AS VARCHAR) || '}}' || chr(10) || replace(tex, '$$', '') AS t, 8 + length(CAST(doc_id AS VARCHAR)) AS z, length('\cite{{ref\_}}' || CAST(doc_id AS VARCHAR)) AS n FROM tex)"
+
+
+def titled(spark, sf_dir):
+    """texdoc below a title, without the junk that would read as displayed mathematics."""
+    return texdoc(spark, sf_dir).select("doc_id", F.concat(F.lit("\\title{T"), F.col("doc_id").cast("string"), F.lit("}\n"), F.replace("text", F.lit("$$"), F.lit(""))).alias("text"))
+
+
+@query(rf"""WITH {_TITLED}, found AS (SELECT doc_id, 0 AS a, 7 AS z FROM titled UNION ALL SELECT doc_id, z, z + 42 FROM titled
+UNION ALL SELECT doc_id, position('\cite{{' IN t) - 1, position('\cite{{' IN t) - 1 + n FROM titled UNION ALL SELECT doc_id, length(t) - 14, length(t) FROM titled)
+SELECT doc_id, CAST(a AS INTEGER) AS "start", CAST(z AS INTEGER) AS "end" FROM found""")
+def protected_spans(spark, sf_dir):
+    return spans.protected(titled(spark, sf_dir))
+
+
+@query(rf"""WITH {_TITLED} SELECT doc_id, 7 AS "start", CAST(z AS INTEGER) AS "end" FROM titled""")
+def front_matter_spans(spark, sf_dir):
+    from scriptorium.functions import scanners
+
+    ship(spark)
+    return titled(spark, sf_dir).select("doc_id", F.explode(scanners.front_matter_spans("text")).alias("s")).select("doc_id", "s.start", "s.end")
+
+
 # --- segments and translations ---
 
 _PAIRS = "pairs AS (SELECT a.conv_id, a.turn, a.text AS original, b.text AS translated FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant')"

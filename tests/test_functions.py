@@ -174,3 +174,26 @@ def test_translate_and_stream(spark, tmp_path):
         if name:
             (tmp_path / f"in/{name}.json").write_text('{"doc_id":1,"id":"seg-0002","text":"b"}\n')
     assert sorted(r.translation for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["A", "B"]
+
+
+@pytest.mark.parametrize(
+    ("text", "kept"),
+    [
+        ("a \\cite{k} b", ["\\cite{k}"]),
+        ("p \\maketitle b \\newpage", ["p \\maketitle", "\\newpage"]),
+        ("\\title{A {b} c}\\maketitle \\begin{document}x", ["\\title{", "}\\maketitle \\begin{document}"]),
+        ("x $$a$$ \\[b\\] \\\\[2pt] y\\]", ["$$a$$", "\\[b\\]"]),
+        ("\\begin{figure}i\\caption{Two {x}}j\\end{figure}z", ["\\begin{figure}i\\caption{", "}j\\end{figure}"]),
+        ("\\begin{proof}" + "\n" * 41 + "\\end{proof}", ["\\begin{proof}" + "\n" * 41 + "\\end{proof}"]),
+        ("\\begin{proof}" + "\n" * 42 + "\\end{proof}", ["\\begin{proof}", "\\end{proof}"]),
+        ("\\begin{lemma}x\\end{lemma}", ["\\begin{lemma}", "\\end{lemma}"]),
+        ("\\begin{abstract}x\\end{abstract}", ["\\begin{abstract}", "\\end{abstract}"]),
+        ("\\newcommand{\\MyTitle}[1]{t}\\caption{open \\maketitle", ["\\newcommand{\\MyTitle}[1]{", "}\\caption{open \\maketitle"]),
+        ("", []),
+        (None, []),
+    ],
+)
+def test_protected_spans(spark, text, kept):
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    rows = sorted((r.start, r.end) for r in spans.protected(docs).collect())
+    assert [text[a:b] for a, b in rows] == kept
