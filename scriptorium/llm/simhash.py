@@ -8,6 +8,9 @@ sample, deals the distinct fingerprints over shards by the Hamming distance of t
 second tree finds the candidates, whose whole distance is then taken. The sample decides only how evenly shards fill, never
 which links are found. A shard that holds more than SHARD_ROWS is dealt by hash into a grid of cells, each of which compares
 a share of the askers with a share of those at home.
+
+``one_of_each`` needs links at a similarity that distances of fingerprints don't tell sharply. It takes candidates by bands of
+min-wise hashes and then the exact similarity of the shingle sets among them.
 """
 
 from __future__ import annotations
@@ -26,9 +29,10 @@ SHINGLE = 3
 RADIUS = 3
 BLOCKS = 2
 SEED = 42
-#: What finds near copies of 0.8 similarity or more on five-word shingles: about 39 of 256 bits differ at 0.8. Blocks of 16 bits
-#: let over nine in ten pairs of similarity 0.87 meet, and seven in ten at 0.8.
-NEAR_COPIES = {"words": 5, "lanes": 4, "radius": 40, "blocks": 16, "block_radius": 0}
+#: Near copies: sets of five-word shingles whose Jaccard similarity is at least share, as a fraction.
+NEAR_COPIES = {"words": 5, "share": (4, 5)}
+#: Sets become candidates if one of BANDS bands of BAND_ROWS min-wise hashes is equal: a pair at 0.8 is missed 7 times in 100,000.
+BANDS, BAND_ROWS = 24, 5
 SAMPLE = 20_000
 SHARD_ROWS = 8_192
 #: Distinct fingerprints that a shard of the tree is meant to hold.
@@ -316,12 +320,124 @@ def near_duplicates(docs: DataFrame, **how) -> DataFrame:
     return groups(docs, **how).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), F.col("least_id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """docs without near duplicates: of each group the row of least doc_id stays, of repeated rows one. All columns stay as they are.
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order; a text with fewer words is one shingle, one without words has none."""
+    found = text.lower().split()
+    if not found:
+        return np.zeros(0, np.uint64)
+    line, size = b" ".join(found), np.fromiter(map(len, found), np.int64, len(found))
+    end = np.cumsum(size + 1) - 1
+    starts, ends = ((end - size)[: len(found) - words + 1].tolist(), end[words - 1 :].tolist()) if len(found) >= words else ([0], [len(line)])
+    hash_of = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((hash_of(line[a:b], SEED) for a, b in zip(starts, ends, strict=True)), np.uint64, len(starts)))
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """One key (int64) a band: sets with equal min-wise hashes in all rows of a band share it."""
+    odd = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(len(odd), np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(shingles), 4096):
+        np.minimum(least, (shingles[k : k + 4096, None] * odd).min(axis=0), out=least)
+    keys = np.zeros(BANDS, np.uint64)
+    for row in least.reshape(BANDS, BAND_ROWS).T:
+        keys = (keys ^ row) * np.uint64(0xD6E8FEB86659FD93)
+        keys ^= keys >> np.uint64(32)
+    return keys.view(np.int64)
+
+
+def similar_roots(sets: list[np.ndarray], share: tuple[int, int]) -> np.ndarray:
+    """A member of each set's component, where sets (distinct values) of Jaccard similarity share or more are linked. Exact.
+
+    From each set the search goes to all of those not reached yet that are similar. A similar set must have one of the set's
+    rarest shingles, as many as it may lack and one; only if some set has is the whole overlap counted.
+    """
+    up, down = share
+    n, size = len(sets), np.array([len(x) for x in sets], np.int64)
+    root, open_ = np.arange(n), np.ones(n, bool)
+    known, term = np.unique(np.concatenate(sets), return_inverse=True) if n else (np.zeros(0), np.zeros(0, np.int64))
+    own = np.split(term, np.cumsum(size)[:-1]) if n else []
+    order = np.argsort(term, kind="stable")
+    term, owner = term[order], np.repeat(np.arange(n), size)[order]
+
+    def index():
+        """Postings of the sets not reached yet: places of each shingle, their sets by place among members, and members."""
+        members = np.flatnonzero(open_)
+        local = np.cumsum(open_) - 1
+        return np.searchsorted(term, np.arange(len(known) + 1)), local[owner], members
+
+    def holders(shingles):
+        low, count = place[shingles], place[shingles + 1] - place[shingles]
+        return at[np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())]
+
+    (place, at, members), left = index(), n
+    for first in range(n):
+        if not open_[first]:
+            continue
+        open_[first], left, todo = False, left - 1, [first]
+        while todo and left:
+            x = todo.pop()
+            if left * 2 < len(members):
+                stay = open_[owner]
+                term, owner = term[stay], owner[stay]
+                place, at, members = index()
+            may_lack = size[x] - -(-up * size[x] // down)
+            rarest = own[x][np.argsort(place[own[x] + 1] - place[own[x]], kind="stable")[: may_lack + 1]]
+            if not open_[members[holders(rarest)]].any():
+                continue
+            common = np.bincount(holders(own[x]), minlength=len(members))
+            near = members[(common > 0) & (down * common >= up * (size[x] + size[members] - common))]
+            near = near[open_[near]]
+            open_[near], root[near] = False, first
+            left -= len(near)
+            todo += near.tolist()
+    return root
+
+
+def similar_groups(docs: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
+    """As groups, but rows are linked where the Jaccard similarity of their shingle sets is at least share.
+
+    Rows of equal sets are one node. Candidates that bands join, directly or through others, meet in one task with one text a node.
+    """
+    bound_batches(docs.sparkSession)
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("fp", pa.binary()), ("bands", pa.list_(pa.int64()))])
+
+    def hashed_rows(batches):
+        for b in batches:
+            sets = [shingle_set(x, words) for x in b.column(2).to_pylist()]
+            yield batch(schema, [b.column(0), b.column(1), [xxhash.xxh3_128_digest(x.tobytes()) for x in sets], [band_keys(x) for x in sets]])
+
+    text = F.coalesce("text", F.lit(""))
+    named = docs.select("doc_id", F.xxhash64(text).alias("row"), text.cast("binary").alias("bytes"))
+    hashed = materialize(named.mapInArrow(tidy(hashed_rows), "doc_id long, row long, fp binary, bands array<long>"), "sets")
+    first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")
+    nodes = materialize(hashed.groupBy("fp").agg(F.min(first).alias("least"), F.min("bands").alias("bands")), "nodes")
+    keys = nodes.select("fp", F.posexplode("bands").alias("band", "key"))
+    met = keys.groupBy("band", "key").agg(F.min("fp").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    edges = keys.join(met, ["band", "key"]).filter("fp != b").select(F.col("b").alias("a"), F.col("fp").alias("b")).distinct()
+    candidates = materialize(components(thinned(materialize(edges, "links"))), "candidates")
+    wanted = nodes.join(candidates, "fp").select("fp", "label", F.coalesce("least.doc_id", F.lit(-(2**63))).alias("id"), F.col("least.row").alias("row"))
+    met_texts = named.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), "row", "bytes").join(wanted, ["id", "row"]).select("label", "fp", "bytes")
+
+    def exact(part: pa.Table) -> pa.Table:
+        fps = part.column("fp").to_pylist()
+        once = list({fp: k for k, fp in enumerate(fps)}.values())  # rows may be repeated
+        fps, column = [fps[k] for k in once], part.column("bytes")
+        root = similar_roots([shingle_set(column[k].as_py(), words) for k in once], share)
+        return pa.table({"fp": pa.array(fps, pa.binary()), "label": pa.array([fps[r] for r in root], pa.binary())})
+
+    labels = materialize(met_texts.groupBy("label").applyInArrow(exact, "fp binary, label binary"), "similar")
+    tagged = nodes.join(labels, "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+    of = tagged.groupBy("label").agg(F.min("least").alias("of"))
+    known = materialize(tagged.join(of, "label").select("fp", F.col("of.doc_id").alias("least_id"), F.col("of.row").alias("least_row")), "components")
+    return hashed.drop("bands").join(known, "fp")
+
+
+def one_of_each(docs: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
+    """docs without near copies (see similar_groups): of each group the row of least doc_id stays, of repeated rows one. All columns stay as they are.
 
     docs must not have columns named dedup_id or dedup_row.
     """
-    found = groups(docs, **how)
+    found = similar_groups(docs, words, share)
     same = F.col("doc_id").eqNullSafe(F.col("least_id")) & (F.col("row") == F.col("least_row"))
     keepers = found.filter(same).select(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("dedup_id"), F.col("row").alias("dedup_row")).distinct()
     keyed = docs.withColumn("dedup_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("dedup_row", F.xxhash64(F.coalesce("text", F.lit(""))))

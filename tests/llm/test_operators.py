@@ -94,6 +94,46 @@ def test_one_of_each(spark):
     assert kept.columns == ["doc_id", "text"]
 
 
+def brute_similar(sets):
+    """Components at 0.8: as brute_components, by exact similarity."""
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                parent[find(a)] = find(b)
+    return [find(k) for k in range(len(sets))]
+
+
+def test_similar_roots():
+    rng = np.random.default_rng(8)
+    sets = [{*range(k * 1000, k * 1000 + 40)} for k in range(4)]
+    sets += [({*sorted(sets[k % 4])[: 40 - int(cut)]} | {*rng.integers(10**6, 10**9, more).tolist()}) for k, cut, more in zip(range(120), rng.integers(2, 28, 120), rng.integers(0, 16, 120), strict=True)]
+    found = simhash.similar_roots([np.array(sorted(x), np.uint64) for x in sets], (4, 5)).tolist()
+    expected = brute_similar(sets)
+    parts = lambda root: {frozenset(k for k, r in enumerate(root) if r == one) for one in set(root)}
+    assert parts(found) == parts(expected) and 4 < len(parts(expected)) < len(sets)
+
+
+def test_one_of_each_is_exact_at_the_bound(spark):
+    """Lone pairs at similarities from 0.70 to 0.90: those of 0.8 or more lose their second text, no other does."""
+    rows, alike = [], {}
+    for k in range(200):
+        words = [f"w{k}x{j}" for j in range(304)]  # 300 shingles
+        other = [*words]
+        other[-(17 + k % 39) :] = [f"v{k}x{j}" for j in range(17 + k % 39)]
+        shingles = [{tuple(x[j : j + 5]) for j in range(300)} for x in (words, other)]
+        alike[k] = 5 * len(shingles[0] & shingles[1]) >= 4 * len(shingles[0] | shingles[1])
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), **simhash.NEAR_COPIES).collect()}
+    assert kept == {2 * k for k in alike} | {2 * k + 1 for k in alike if not alike[k]} and len(set(alike.values())) == 2
+
+
 # --- pages ---
 
 
