@@ -51,79 +51,92 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int, passes: int = 40) -> list[list[int]]:
-    """Move a document, or exchange one for one or two for one, from the emptiest bins into fuller ones while squared fill grows.
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
+    """Move a document, or exchange one for one or two for one, from emptier bins into fuller ones while squared fill grows.
 
     Each accepted step takes tokens from the emptier bin of two to the fuller one, so the sum of squared fills grows and the
     search ends; a bin that becomes empty goes. Only bins with room take part, and no step is tried once their number is
-    the least that their tokens need.
+    the least that their tokens need. Rounds go over all bins, the emptiest first, until in a whole round none has a step.
     """
     full = [b for b in bins if sum(lengths[i] for i in b) == capacity]
     loose = [list(b) for b in bins if sum(lengths[i] for i in b) < capacity]
-    for _ in range(passes):
-        fill = [sum(lengths[i] for i in b) for b in loose]
-        if len(loose) <= -(-sum(fill) // capacity):
-            break
-        order = sorted(range(len(loose)), key=lambda k: (fill[k], k))
-        victim, changed = order[0], False
-        targets = sorted(order[1:], key=lambda k: (-fill[k], k))
-        for t in targets:
-            if not loose[victim]:
-                break
-            room = capacity - fill[t]
-            given, taken = _step(loose[victim], loose[t], lengths, room)
-            if not given:
-                continue
-            for i in given:
-                loose[victim].remove(i)
-                loose[t].append(i)
-            for i in taken:
-                loose[t].remove(i)
-                loose[victim].append(i)
-            moved = sum(lengths[i] for i in given) - sum(lengths[i] for i in taken)
-            fill[t] += moved
-            fill[victim] -= moved
-            changed = True
-        full += [b for b, f in zip(loose, fill, strict=True) if f == capacity]
-        loose = [b for b, f in zip(loose, fill, strict=True) if 0 < f < capacity]
-        if not changed:
-            break
+    changed = True
+    while changed and (search := _Search(loose, lengths, capacity)).can_shrink():
+        changed = search.round()
+        full += [b for b, f in zip(search.bins, search.fill.tolist(), strict=True) if f == capacity]
+        loose = [b for b, f in zip(search.bins, search.fill.tolist(), strict=True) if 0 < f < capacity]
     return full + loose
 
 
-def _step(source: list[int], target: list[int], lengths: list[int], room: int) -> tuple[list[int], list[int]]:
-    """The step from source to target that fills most of target's room: (given, taken); both empty if there is none."""
-    best, found = 0, ([], [])
-    own = sorted(source, key=lambda i: -lengths[i])
-    other = sorted(target, key=lambda i: lengths[i])
-    sizes = [lengths[i] for i in other]
-
-    def try_for(given: list[int]) -> None:
-        """With the document of target that leaves least room."""
-        nonlocal best, found
-        n = sum(lengths[i] for i in given)
-        if best < n <= room:
-            best, found = n, (given, [])
-        k = bisect_left(sizes, n - room)
-        if k < len(sizes) and (gain := n - sizes[k]) > best and gain <= room:
-            best, found = gain, (given, [other[k]])
-
-    for a, i in enumerate(own):
-        try_for([i])
-        if best == room:
-            return found
-        if len(own) <= 64:
-            for j in own[a + 1 :]:
-                try_for([i, j])
-    for a, i in enumerate(other):  # two of target's for one of source's
-        if len(other) > 64:
-            break
-        for j in other[a + 1 :]:
-            out = lengths[i] + lengths[j]
-            for x in own:
-                if best < (gain := lengths[x] - out) <= room:
-                    best, found = gain, ([x], [i, j])
-    return found
+class _Search:
+    """A round of local_search. What targets may give back is kept in arrays: nothing or a document (``back``), or two."""
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int):
+        self.bins, self.lengths, self.capacity = bins, lengths, capacity
+        self.fill = np.array([sum(lengths[i] for i in b) for b in bins], np.int64)
+        self.left = len(bins)
+        self.least = -(-int(self.fill.sum()) // capacity)
+        items = [i for b in bins for i in b]
+        self.item = np.array([-1] * len(bins) + items, np.int64)
+        self.back = np.array([0] * len(bins) + [lengths[i] for i in items], np.int64)
+        self.where = np.array([*range(len(bins)), *(k for k, b in enumerate(bins) for _ in b)], np.int64)
+        self.place = {i: len(bins) + k for k, i in enumerate(items)}
+        self.fresh = np.ones(len(bins), bool)  # bins that no step of this round has changed
+        ends = [(k, np.array(b, np.int64), *np.triu_indices(len(b), 1)) for k, b in enumerate(bins) if 1 < len(b) <= 64]
+        self.pair_where = np.concatenate([np.full(len(x), k) for k, _, x, _ in ends]) if ends else np.zeros(0, np.int64)
+        self.pair = np.concatenate([np.stack((b[x], b[y]), axis=1) for _, b, x, y in ends]) if ends else np.zeros((0, 2), np.int64)
+        self.pair_back = np.array(lengths, np.int64)[self.pair].sum(axis=1)
+
+    def can_shrink(self) -> bool:
+        return self.left > self.least
+
+    def round(self) -> bool:
+        changed = False
+        for v in np.argsort(self.fill, kind="stable").tolist():
+            while self.bins[v] and self.can_shrink():
+                t, given, taken = self._step(v)
+                if not given:
+                    break
+                changed = True
+                self._carry(given, v, t)
+                self._carry(taken, t, v)
+                self.fresh[[v, t]] = False
+                self.left -= not self.bins[v]
+            if not self.can_shrink():
+                break
+        return changed
+
+    def _carry(self, what: list[int], a: int, b: int) -> None:
+        for i in what:
+            self.bins[a].remove(i)
+            self.bins[b].append(i)
+            self.where[self.place[i]] = b
+            self.fill[a] -= self.lengths[i]
+            self.fill[b] += self.lengths[i]
+
+    def _step(self, v: int) -> tuple[int, list[int], list[int]]:
+        """The step from v to a bin at least as full that gives most tokens: (bin, given, taken); given is empty if there is none."""
+        own = self.bins[v]
+        singles = sorted((self.lengths[i], i) for i in own)
+        gifts = [(n, [i]) for n, i in singles]
+        more = gifts + [(m + n, [i, j]) for k, (m, i) in enumerate(singles) for n, j in singles[k + 1 :]] if len(own) <= 64 else gifts
+        more.sort(key=lambda x: x[0])
+        room = self.capacity - self.fill
+        room[(self.fill < self.fill[v]) | (self.fill == 0)] = 0
+        room[v] = 0
+        best, found = 0, (v, [], [])
+        for offers, back, where, backs in ((more, self.back, self.where, self.item), (gifts, self.pair_back, self.pair_where, self.pair)):
+            if not len(back):
+                continue
+            sizes = np.array([n for n, _ in offers], np.int64)
+            space = room[where] if backs.ndim == 1 else np.where(self.fresh[where], room[where], 0)
+            k = np.searchsorted(sizes, back + space, side="right") - 1
+            gain = np.where((k >= 0) & (space > 0), sizes[k] - back, 0)
+            e = int(gain.argmax())
+            if gain[e] > best:
+                best, taken = gain[e], [i for i in np.atleast_1d(backs[e]).tolist() if i >= 0]
+                found = (int(where[e]), offers[k[e]][1], taken)
+        return found
 
 
 def pack_lengths(lengths: list[int], capacity: int) -> list[list[int]]:

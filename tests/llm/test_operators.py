@@ -220,6 +220,29 @@ def test_local_search_empties_a_bin():
         assert len(found) <= len(first) and sorted(i for b in found for i in b) == list(range(60)) and all(sum(lengths[i] for i in b) <= 100 for b in found)
 
 
+def test_local_search_goes_on_beyond_the_emptiest_bin():
+    """One document alone that fits nowhere is the emptiest bin; the next two still become one."""
+    lengths = [50, 40, 35, 45, 55, 48, 51]
+    bins = [[0], [4, 1], [6, 3], [5, 2]]  # 50, 95, 96, 83 of 100
+    found = packing.local_search(bins, lengths, 100)
+    assert sorted(i for b in found for i in b) == [*range(7)] and all(sum(lengths[i] for i in b) <= 100 for b in found)
+    rng = np.random.default_rng(9)
+    lengths = rng.integers(900, 1401, 400).tolist()
+    first = packing.best_fit(lengths, 4096)
+    found = packing.local_search(first, lengths, 4096)
+    assert sorted(i for b in found for i in b) == [*range(400)] and all(sum(lengths[i] for i in b) <= 4096 for b in found)
+    assert len(found) < len(first)
+    fill = [sum(lengths[i] for i in b) for b in found]
+    for v, own in enumerate(found):  # no step of any kind is left
+        for t, other in enumerate(found):
+            if v != t and fill[v] <= fill[t]:
+                room = 4096 - fill[t]
+                one, two = ([lengths[i] for i in b] for b in (own, other))
+                pairs = lambda x: [a + b for k, a in enumerate(x) for b in x[k + 1 :]]
+                assert not any(0 < g - b <= room for g in one + pairs(one) for b in [0, *two])
+                assert not any(0 < g - b <= room for g in one for b in pairs(two))
+
+
 # --- token files ---
 
 
