@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -19,13 +20,13 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm.common import batch, bound_batches, tidy
 
-#: Pages of a host that its wrapper is inferred from, and tokens of each that count.
-WRAPPER_PAGES = 8
-WRAPPER_TOKENS = 4_000
+#: Levels of a page that its wrapper has; what lies deeper is judged by the rules alone.
 DEPTH = 60
 #: A host (or share of a host) has so many pages at most in one group, but where that would name more than HOT_HOSTS hosts.
 GROUP_PAGES = 500
 HOT_HOSTS = 10_000
+#: Rows that a task gives back at a time.
+OUT_ROWS = 64
 #: Sides of an alignment beyond this length are matched in order rather than by the longest common subsequence.
 ALIGN = 300
 
@@ -128,13 +129,12 @@ class Item:
     block: str = ""  # article, boiler or nothing
 
 
-def _item(child: Node | str, budget: list[int], depth: int = 0) -> Item | None:
-    """A tree as wrapper parts: so many tokens, and DEPTH levels, count."""
-    budget[0] -= 1
+def _item(child: Node | str, depth: int = 0) -> Item | None:
+    """A tree as wrapper parts: DEPTH levels count."""
     if isinstance(child, str):
         text = " ".join(child.split())
         return Item(None, text=text, size=len(text)) if text else None
-    inner = [x for c in child.children if budget[0] > 0 and depth < DEPTH and (x := _item(c, budget, depth + 1))]
+    inner = [x for c in child.children if depth < DEPTH and (x := _item(c, depth + 1))]
     return Item(child.sign, node=child, children=fold(inner), size=sum(x.size for x in inner))
 
 
@@ -203,14 +203,14 @@ def _matches(a: list, b: list) -> list[tuple[int, int]]:
     return out
 
 
-def infer(pages: list[Node]) -> Item:
-    """The wrapper of pages of one host, with its branches marked."""
-    wrapper = None
+def infer(pages: Iterable[Node]) -> Item:
+    """The wrapper of pages of one host, with its branches marked. Pages are taken one by one."""
+    wrapper, n = None, 0
     for page in pages:
-        x = _item(page, [WRAPPER_TOKENS])
-        wrapper = x if wrapper is None else merge(wrapper, x)
+        x = _item(page)
+        wrapper, n = x if wrapper is None else merge(wrapper, x), n + 1
     wrapper = wrapper or Item("#", Node("#"))
-    _mark(wrapper, len(pages))
+    _mark(wrapper, n)
     return wrapper
 
 
@@ -364,7 +364,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """Per row of pages (page_id, url, html): page_id, url, text, n_chars. A null or empty html gives the empty text.
 
     Pages are dealt by host; a host of more than GROUP_PAGES pages is dealt over several groups, each with a wrapper of its own
-    from its first pages by hash of their content. Pages without a host form groups like a host's. Repeated rows stay.
+    from all its pages. A group's pages are held compressed and read twice, for the wrapper and for their texts. Pages without a host form groups like a host's. Repeated rows stay.
     """
     bound_batches(pages.sparkSession)
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
@@ -375,34 +375,22 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     dealt = rows.repartition("host", "share").sortWithinPartitions("host", "share", "tie").select("page_id", "url", "html", "host", "share")
 
     def texts(batches):
-        group, held, wrapper = None, [], None
+        group, held = None, []
 
-        def done(found):
-            made = [(i, u, t := extract(x, wrapper), len(t)) for i, u, x in found]
-            return batch(_OUT, [*zip(*made, strict=True)])
+        def done():
+            page = lambda x: parse(zlib.decompress(x).decode("utf-8", "surrogatepass"))
+            wrapper = infer(page(x) for _, _, x in held)
+            for k in range(0, len(held), OUT_ROWS):
+                made = [(i, u, t := extract(page(x), wrapper), len(t)) for i, u, x in held[k : k + OUT_ROWS]]
+                yield batch(_OUT, [*zip(*made, strict=True)])
+            held.clear()
 
         for b in batches:
-            ready = []
             for name, url, page, *key in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if key != group:
-                    if ready:
-                        yield done(ready)
-                        ready = []
-                    if held:
-                        wrapper = infer([x for _, _, x in held])
-                        yield done(held)
-                    group, held, wrapper = key, [], None
-                row = (name, url, parse(page))
-                if wrapper is not None:
-                    ready.append(row)
-                    continue
-                held.append(row)
-                if len(held) == WRAPPER_PAGES:
-                    wrapper, ready, held = infer([x for _, _, x in held]), held, []
-            if ready:
-                yield done(ready)
-        if held:
-            wrapper = infer([x for _, _, x in held])
-            yield done(held)
+                    yield from done()
+                    group = key
+                held.append((name, url, zlib.compress(page.encode("utf-8", "surrogatepass"), 1)))
+        yield from done()
 
     return dealt.mapInArrow(tidy(texts), "page_id long, url string, text string, n_chars long")

@@ -164,6 +164,20 @@ def test_wrapper_folds_and_aligns():
     assert div.children[0].children[0].text is None and div.children[1].children[0].text == "same"
 
 
+def test_wrapper_is_of_all_pages(spark):
+    """A second layout that stands on few of a host's pages is aligned too, and the article may stand late in a long page."""
+    page = "<body><p>Site of all</p><div><h2>T {0}</h2><p>text {0}</p></div></body>"
+    other = "<body><p>Site of all</p><section><p>Fixed words of the second layout</p><p>{0} is new</p></section></body>"
+    rows = [(k, "http://h.example", page.format(k)) for k in range(60)] + [(100 + k, "http://h.example", other.format(k)) for k in range(40)]
+    long = "<body><div class=post>small</div>" + "<i>x</i>" * 5000 + "<div class=story>" + "<p>the article itself</p>" * 40 + "</div></body>"
+    rows.append((999, "http://long.example", long))
+    found = {r.page_id: r.text for r in html_wrapper.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(found) == 101 and found[999] == "\n\n".join(["the article itself"] * 40)
+    items = html_wrapper.infer(html_wrapper.parse(h) for _, _, h in rows[:100])
+    signs = lambda x: {x.sign}.union(*map(signs, x.children))
+    assert {"h2", "section"} <= signs(items) and all("Site of all" not in found[k] for k in range(60))
+
+
 # --- packing ---
 
 
