@@ -1,6 +1,6 @@
 """Document fingerprints by winnowing: in each window of rolling k-gram hashes the least, the rightmost of equal ones, with its position.
 
-Two texts that share a run of at least WINDOW + GRAM - 1 code points share a fingerprint there.
+Two texts that share a run of at least WINDOW + GRAM - 1 code points share a fingerprint there: 31 code points by default.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from scriptorium.llm.common import batch, bound_batches, texts_of, tidy
 
 GRAM = 16
-WINDOW = 128
+WINDOW = 16
 #: The base of the rolling hash and the multiplier that mixes it, both odd.
 BASE = 0x9E3779B97F4A7C15
 MIX = 0xD6E8FEB86659FD93

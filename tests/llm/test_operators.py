@@ -506,6 +506,14 @@ def test_winnowing_wraps_and_guarantees(spark):
     assert not winnow.fingerprint_with_next(docs.limit(0)).count()
 
 
+def test_winnowing_of_short_texts(spark):
+    """A text of 100 code points keeps several fingerprints, and a half copy of it shares some."""
+    rng = np.random.default_rng(10)
+    docs = spark.createDataFrame([(k, "".join(map(chr, rng.integers(97, 123, 100)))) for k in range(50)], "doc_id long, text string")
+    rows = winnow.fingerprint_with_next(docs).collect()
+    assert all(r.fingerprint.count(",") >= 4 and 0 < r.near_edited < 1 for r in rows)
+
+
 # --- media ---
 
 
