@@ -16,16 +16,15 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import BLANKS, batch, bound_batches, held_remainder, texts_of, tidy
+from scriptorium.llm.common import BLANKS, batch, bound_batches, held_remainder, materialize, texts_of, tidy
 
 #: Bounds of the training sample: labelled rows of either class, and the code points a row's text may have to be among them.
-#: Rows are taken whole. Of each class, CANDIDATES times as many ids are looked up, as longer texts are passed over.
+#: Rows are taken whole; all labelled rows whose text fits are looked at.
 SAMPLE_ROWS = 800
 SAMPLE_CHARS = 6_000
-CANDIDATES = 4
 WEIGHTS = 1 << 18
 STEPS = 40
 PURITY = 25
@@ -252,20 +251,24 @@ def _logistic(X: np.ndarray, y: np.ndarray, share: float) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Field:
     """Fit on at most ``rows`` labelled rows of either class (by the hash of their id) whose whole text has at most ``chars`` code points.
 
-    They are the first such among the first CANDIDATES * rows ids of the class. Only labels of ids whose crc32 modulo 5 isn't 0
+    They are the first such of the class. A class whose labelled texts are all longer is an error. Only labels of ids whose crc32 modulo 5 isn't 0
     are read. An id with several labels is toxic if one says so, an id with several texts has the least of them. Without labels
     of both classes every text gets the share of toxic labels as its score, 0 if there are none.
     """
     known = labels.filter("doc_id is not null and toxic is not null").filter(held_remainder("doc_id", 5) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, n1 = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     turn = [F.xxhash64("doc_id"), F.col("doc_id")]
+    sizes = texts_of(docs).select("doc_id", F.length("text").alias("size")).join(known, "doc_id").groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("size").alias("size"))
+    sizes = materialize(sizes, "label_sizes")
+    fits = {r.toxic: r.fit for r in sizes.groupBy("toxic").agg(F.count_if(F.col("size") <= chars).alias("fit")).collect()}
+    if lacking := sorted(label for label, fit in fits.items() if not fit):
+        raise ValueError(f"no labelled text with toxic = {lacking[0]} has at most {chars} code points; raise chars")
     picked = None
     for label in (0, 1):
-        part = known.filter(F.col("toxic") == label).orderBy(*turn).limit(CANDIDATES * rows)
+        part = sizes.filter((F.col("toxic") == label) & (F.col("size") <= chars)).orderBy(*turn).limit(rows).select("doc_id", "toxic")
         picked = part if picked is None else picked.unionByName(part)
     found = texts_of(docs).filter(F.length("text") <= chars).join(F.broadcast(picked), "doc_id")
     found = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
-    found = found.withColumn("turn", F.row_number().over(Window.partitionBy("toxic").orderBy(*turn))).filter(F.col("turn") <= rows)
     sample = found.select("doc_id", "text", "toxic").collect()  # at most 2 * rows texts of chars
     sample.sort(key=lambda r: r.doc_id)
     return fit_field([r.text for r in sample], [int(r.toxic) for r in sample], n1 / n if n else 0.0)

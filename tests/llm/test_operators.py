@@ -435,6 +435,18 @@ def test_toxicity_trains_on_whole_texts(spark, monkeypatch):
     assert seen[0][1].count(0) == seen[0][1].count(1) == 10 and set(seen[0][0]) <= {"x" * 5, ""}
 
 
+def test_toxicity_looks_at_all_labelled_rows(spark, monkeypatch):
+    """The few short rows of a class are found behind any number of longer ones; a class without any is an error."""
+    rows = [(i, "x" * (5 if i >= 380 else 50), i % 2) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_field", lambda texts, toxic, share: seen.append(toxic))
+    toxicity.train(docs.drop("toxic"), docs.select("doc_id", "toxic"), rows=2, chars=5)
+    assert sorted(seen[0]) == [0, 0, 1, 1]
+    with pytest.raises(ValueError, match="toxic = 0"):
+        toxicity.train(docs.drop("toxic"), docs.select("doc_id", "toxic"), rows=2, chars=4)
+
+
 def test_toxicity_odd_texts(spark, docs, texts, sf_dir):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     rows = toxicity.score_documents(docs, toxicity.train(docs, none)).collect()
