@@ -120,6 +120,7 @@ def unit_starts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     begins[1:] = (kind[1:] == 1) & (kind[:-1] != 1) | (kind[1:] == 3) & (kind[:-1] == 2)
     odd = kind == 4
     odd[1:] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))  # the signs for times and division
+    odd[1:] |= (data[:-1] == 0xC4) & (data[1:] == 0xB0)  # I with a dot: in lower case it ends in a combining mark
     if odd.any():
         ends = np.append(starts[1:], len(data))
         for k in np.unique(np.searchsorted(starts, np.flatnonzero(odd), side="right") - 1).tolist():

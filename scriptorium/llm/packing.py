@@ -82,11 +82,22 @@ class _Search:
         self.where = np.array([*range(len(bins)), *(k for k, b in enumerate(bins) for _ in b)], np.int64)
         self.place = {i: len(bins) + k for k, i in enumerate(items)}
         self.fresh = np.ones(len(bins), bool)  # bins that no step of this round has changed
-        ends = [(k, np.array(b, np.int64), *np.triu_indices(len(b), 1)) for k, b in enumerate(bins) if 1 < len(b) <= 64]
-        self.pair_where = np.concatenate([np.full(len(x), k) for k, _, x, _ in ends]) if ends else np.zeros(0, np.int64)
-        self.pair = np.concatenate([np.stack((b[x], b[y]), axis=1) for _, b, x, y in ends]) if ends else np.zeros((0, 2), np.int64)
+        pairs = [self._pairs(b) for b in bins]
+        self.pair_where = np.repeat(np.arange(len(bins)), [len(x) for x in pairs])
+        self.pair = np.array([y for x in pairs for y in x], np.int64).reshape(-1, 2)
         self.pair_back = np.array(lengths, np.int64)[self.pair].sum(axis=1)
 
+    def _pairs(self, items: list[int]) -> list[tuple[int, int]]:
+        """Two documents for each two lengths that a bin holds; documents of equal length stand for each other.
+
+        A bin has fewer than sqrt(2 * capacity) different lengths, so there are fewer pairs than tokens, however many documents it holds.
+        """
+        of: dict[int, list[int]] = {}
+        for i in items:
+            of.setdefault(self.lengths[i], []).append(i)
+        firsts = [same[0] for same in of.values()]
+        return [(i, j) for k, i in enumerate(firsts) for j in firsts[k + 1 :]] + [(same[0], same[1]) for same in of.values() if len(same) > 1]
+
     def can_shrink(self) -> bool:
         return self.left > self.least
 
@@ -117,10 +128,8 @@ class _Search:
     def _step(self, v: int) -> tuple[int, list[int], list[int]]:
         """The step from v to a bin at least as full that gives most tokens: (bin, given, taken); given is empty if there is none."""
         own = self.bins[v]
-        singles = sorted((self.lengths[i], i) for i in own)
-        gifts = [(n, [i]) for n, i in singles]
-        more = gifts + [(m + n, [i, j]) for k, (m, i) in enumerate(singles) for n, j in singles[k + 1 :]] if len(own) <= 64 else gifts
-        more.sort(key=lambda x: x[0])
+        gifts = sorted((n, [i]) for n, i in {self.lengths[i]: i for i in own}.items())
+        more = sorted(gifts + [(self.lengths[i] + self.lengths[j], [i, j]) for i, j in self._pairs(own)])
         room = self.capacity - self.fill
         room[(self.fill < self.fill[v]) | (self.fill == 0)] = 0
         room[v] = 0

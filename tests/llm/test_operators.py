@@ -213,6 +213,23 @@ def test_packing(docs, texts, block):
     assert n <= least + (1 if block > 1000 else 4)
 
 
+def test_ids_of_odd_characters_are_the_library_s():
+    encode, library = queries.word_encoder(queries.tokenizer_path("word_bpe_49k.json"))(), common._json_tokenizer(queries.tokenizer_path("word_bpe_49k.json"))
+    rng = np.random.default_rng(5)
+    pool = [*map(chr, range(0x250)), *list(" \t\n.,;:!?'\"()-\u0130i") * 8, *list("abcdefgXYZ019") * 8, "\u0307", "\u0301", "\u4e2d", "\U0001f600"]
+    texts = ["".join(rng.choice(pool, rng.integers(0, 24))) for _ in range(20_000)] + ["\u0130.\u00d6. 500 y\u0131l\u0131nda", "AKP-\u0130'nin"]
+    wrong = [t for t, found, e in zip(texts, encode(texts), library.encode_batch_fast(texts, add_special_tokens=False), strict=True) if found.tolist() != e.ids]
+    assert not wrong
+
+
+def test_pairs_of_a_bin_have_every_sum_of_two():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 70, 300):
+        lengths = rng.integers(1, 20, n).tolist()
+        search = packing._Search([list(range(n))], lengths, 4096)
+        assert {lengths[i] + lengths[j] for i, j in search.pair.tolist()} == {lengths[i] + lengths[j] for i in range(n) for j in range(i)}
+
+
 def test_packing_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     encoder = queries.word_encoder(queries.tokenizer_path("word_bpe_49k.json"))
