@@ -21,10 +21,12 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm.common import BLANKS, batch, bound_batches, held_remainder, materialize, texts_of, tidy
 
-#: Bounds of the training sample: labelled rows of either class, and the code points a row's text may have to be among them.
-#: Rows are taken whole; all labelled rows whose text fits are looked at.
+#: Bounds of the training sample: labelled rows of either class, and the code points of all their texts together.
+#: Texts of any length are taken, and taken whole.
 SAMPLE_ROWS = 800
-SAMPLE_CHARS = 6_000
+SAMPLE_CHARS = 3_000_000
+#: Tokens that training runs through as one chain; features and scores look beyond its ends.
+CHAIN = 256
 WEIGHTS = 1 << 18
 STEPS = 40
 PURITY = 25
@@ -178,13 +180,14 @@ def fit_field(texts: list[str], toxic: list[int], share: float) -> Field:
     field = Field(np.zeros(WEIGHTS, np.float32), -4.0, np.array([-2.0, 0.0, -1.0]), None, share)
     if not len(keep) or not len(found):
         return field
-    sizes, ends = counts[keep].tolist(), np.cumsum(counts[keep])
-    columns = feature_columns(hashes, ends)
+    ends = np.cumsum(counts[keep])
+    whole = feature_columns(hashes, ends)
     y = (np.isin(hashes, found).any(axis=1) & (np.repeat(label, counts) == 1)).astype(np.float64)
-    order = np.argsort([-n for n in sizes], kind="stable")  # long first: a step takes a prefix of documents
-    sizes = [sizes[k] for k in order]
-    pick = np.concatenate([np.arange(ends[k] - n, ends[k]) for k, n in zip(order, sizes, strict=True)])
-    columns, y = columns[pick], y[pick]
+    chains = [(at, min(at + CHAIN, end)) for end, n in zip(ends.tolist(), counts[keep].tolist(), strict=True) for at in range(end - n, end, CHAIN)]
+    chains.sort(key=lambda c: c[0] - c[1])  # long first: a step takes a prefix of chains
+    sizes = [b - a for a, b in chains]
+    pick = np.concatenate([np.arange(a, b) for a, b in chains])
+    columns, y = whole[pick], y[pick]
     shown, Y = _padded(np.ones(len(y)), sizes) > 0, _padded(y, sizes)
     live = shown.sum(axis=1)
     field.bias = math.log(max(y.mean(), 1e-6)) - 3  # not learned: a token of unknown features is clean
@@ -219,10 +222,10 @@ def fit_field(texts: list[str], toxic: list[int], share: float) -> Field:
         first, second = 0.9 * first + 0.1 * gradient, 0.99 * second + 0.01 * gradient**2
         theta += 0.2 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
     field.weights, field.bias, field.moves = theta[:WEIGHTS].astype(np.float32), float(theta[WEIGHTS]), theta[WEIGHTS + 1 :]
-    emission = np.split(field.emissions(columns), np.cumsum(sizes)[:-1])
+    emission = np.split(field.emissions(whole), ends[:-1])
     strength = np.zeros(len(texts))
-    for k, x in zip(order, emission, strict=True):
-        strength[keep[k]] = np.square(field.marginals(x.tolist())).sum()
+    for k, x in zip(keep, emission, strict=True):
+        strength[k] = np.square(field.marginals(x.tolist())).sum()
     field.curve = _logistic(evidence(strength, counts), label.astype(float), share)
     return field
 
@@ -248,28 +251,39 @@ def _logistic(X: np.ndarray, y: np.ndarray, share: float) -> np.ndarray:
     return beta
 
 
+def taken(sizes: list[tuple[int, int]], rows: int, chars: int) -> list[int]:
+    """Of (id, size) in order: the first ``rows`` ids of which none makes the sizes' sum exceed ``chars``."""
+    out, total = [], 0
+    for name, size in sizes:
+        if total + size <= chars and len(out) < rows:
+            out.append(name)
+            total += size
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Field:
-    """Fit on at most ``rows`` labelled rows of either class (by the hash of their id) whose whole text has at most ``chars`` code points.
+    """Fit on at most ``rows`` labelled rows of either class, in the order of their ids' hash, whose whole texts have ``chars`` code points together at most.
 
-    They are the first such of the class. A class whose labelled texts are all longer is an error. Only labels of ids whose crc32 modulo 5 isn't 0
-    are read. An id with several labels is toxic if one says so, an id with several texts has the least of them. Without labels
+    A row whose text doesn't fit any more is passed over; a class none of whose rows fits is an error. Only labels of ids whose crc32 modulo 5
+    isn't 0 are read. An id with several labels is toxic if one says so, an id with several texts has the least of them. Without labels
     of both classes every text gets the share of toxic labels as its score, 0 if there are none.
     """
     known = labels.filter("doc_id is not null and toxic is not null").filter(held_remainder("doc_id", 5) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, n1 = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    turn = [F.xxhash64("doc_id"), F.col("doc_id")]
-    sizes = texts_of(docs).select("doc_id", F.length("text").alias("size")).join(known, "doc_id").groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("size").alias("size"))
-    sizes = materialize(sizes, "label_sizes")
-    fits = {r.toxic: r.fit for r in sizes.groupBy("toxic").agg(F.count_if(F.col("size") <= chars).alias("fit")).collect()}
-    if lacking := sorted(label for label, fit in fits.items() if not fit):
-        raise ValueError(f"no labelled text with toxic = {lacking[0]} has at most {chars} code points; raise chars")
-    picked = None
-    for label in (0, 1):
-        part = sizes.filter((F.col("toxic") == label) & (F.col("size") <= chars)).orderBy(*turn).limit(rows).select("doc_id", "toxic")
-        picked = part if picked is None else picked.unionByName(part)
-    found = texts_of(docs).filter(F.length("text") <= chars).join(F.broadcast(picked), "doc_id")
-    found = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
-    sample = found.select("doc_id", "text", "toxic").collect()  # at most 2 * rows texts of chars
+    longest = texts_of(docs).join(known, "doc_id").groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.max(F.length("text")).alias("size"))
+    sizes = materialize(longest.select("doc_id", "toxic", "size", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("turn")), "label_sizes")
+    picked = []
+    for label, many in sorted((r.toxic, r["count"]) for r in sizes.groupBy("toxic").count().collect()):
+        part = sizes.filter((F.col("toxic") == label) & (F.col("turn") < int(min(1.0, 2 * rows / many) * (1 << 30))))  # about 2 * rows rows, or all
+        ids = taken([(r.doc_id, r.size) for r in sorted(part.collect(), key=lambda r: (r.turn, r.doc_id))], rows, chars)
+        if not ids:
+            raise ValueError(f"no labelled text with toxic = {label} has at most {chars} code points; raise chars")
+        picked += [(i, label) for i in ids]
+    if not picked:
+        return fit_field([], [], 0.0)
+    chosen = docs.sparkSession.createDataFrame(picked, "doc_id long, toxic int")
+    found = texts_of(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    sample = found.collect()  # at most 2 * rows texts of 2 * chars code points together
     sample.sort(key=lambda r: r.doc_id)
     return fit_field([r.text for r in sample], [int(r.toxic) for r in sample], n1 / n if n else 0.0)
 
@@ -309,7 +323,7 @@ def score_documents(docs: DataFrame, field: Field) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, field: Field) -> DataFrame:
-    """docs without the rows whose text scores 0.5 or more; all columns stay as they are. docs must not have a column toxic_score."""
+    """docs without the rows whose text scores 0.5 or more; all columns stay as they are, whatever their names."""
     spark = docs.sparkSession
     bound_batches(spark)
     model = spark.sparkContext.broadcast(field)
@@ -318,5 +332,4 @@ def without_toxic(docs: DataFrame, field: Field) -> DataFrame:
     def toxic_score(texts: pd.Series) -> pd.Series:
         return pd.Series(score_texts(model.value, texts.tolist())[0], dtype=float)
 
-    scored = docs.withColumn("toxic_score", toxic_score(F.coalesce(F.col("text"), F.lit(""))))
-    return scored.filter("toxic_score < 0.5").drop("toxic_score")
+    return docs.filter(toxic_score(F.coalesce(F.col("text"), F.lit(""))) < 0.5)

@@ -440,16 +440,19 @@ def test_toxicity_ignores_held_out_labels(spark):
 
 
 def test_toxicity_trains_on_whole_texts(spark, monkeypatch):
-    """Texts beyond the bound are passed over, never cut; the next rows of the class take their places."""
+    """Texts are taken whole, of any length; one that fits no more is passed over, and the next rows of the class take its place."""
     rows = [(i, "x" * (5 if i % 3 else 50), i % 2) for i in range(200)]
     docs = spark.createDataFrame([*rows, (1, None, 0), (1, "y" * 5, 0)], "doc_id long, text string, toxic int")
     seen = []
     monkeypatch.setattr(toxicity, "fit_field", lambda texts, toxic, share: seen.append((texts, toxic)))
-    for most in (10, 200):
-        toxicity.train(docs.drop("toxic"), docs.select("doc_id", "toxic"), rows=most, chars=5)
-    train = [i for i, t, _ in rows if len(t) <= 5 and zlib.crc32(str(i).encode()) % 5]
-    assert sorted(seen[1][1]) == sorted(i % 2 for i in train) and all(len(t) in (0, 5) for t in seen[1][0])
-    assert seen[0][1].count(0) == seen[0][1].count(1) == 10 and set(seen[0][0]) <= {"x" * 5, ""}
+    for most, chars in ((10, 10**6), (200, 10**6), (200, 120)):
+        toxicity.train(docs.drop("toxic"), docs.select("doc_id", "toxic"), rows=most, chars=chars)
+    train = [i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 5]
+    assert sorted(seen[1][1]) == sorted(i % 2 for i in train) and all(len(t) in (0, 5, 50) for t in seen[1][0])
+    assert seen[0][1].count(0) == seen[0][1].count(1) == 10
+    for label in (0, 1):
+        sizes = [len(t) for t, y in zip(*seen[2], strict=True) if y == label]
+        assert 70 < sum(sizes) <= 120 and set(sizes) <= {0, 5, 50}
 
 
 def test_toxicity_looks_at_all_labelled_rows(spark, monkeypatch):
@@ -458,10 +461,22 @@ def test_toxicity_looks_at_all_labelled_rows(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     seen = []
     monkeypatch.setattr(toxicity, "fit_field", lambda texts, toxic, share: seen.append(toxic))
-    toxicity.train(docs.drop("toxic"), docs.select("doc_id", "toxic"), rows=2, chars=5)
+    toxicity.train(docs.drop("toxic"), docs.select("doc_id", "toxic"), rows=200, chars=10)
     assert sorted(seen[0]) == [0, 0, 1, 1]
     with pytest.raises(ValueError, match="toxic = 0"):
-        toxicity.train(docs.drop("toxic"), docs.select("doc_id", "toxic"), rows=2, chars=4)
+        toxicity.train(docs.drop("toxic"), docs.select("doc_id", "toxic"), rows=200, chars=4)
+
+
+def test_chains_change_little(monkeypatch):
+    """Training over short chains finds the same tokens as over whole texts."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join("vile" if i % 3 == 0 and k % 40 == 7 else f"w{x}" for k, x in enumerate(rng.integers(0, 500, 400))) for i in range(60)]
+    found = []
+    for chain in (16, 10_000):
+        monkeypatch.setattr(toxicity, "CHAIN", chain)
+        field = toxicity.fit_field(texts, [int(i % 3 == 0) for i in range(60)], 1 / 3)
+        found.append([s > 0.5 for s in toxicity.score_texts(field, texts)[0]])
+    assert found[0] == found[1] == [i % 3 == 0 for i in range(60)]
 
 
 def test_toxicity_odd_texts(spark, docs, texts, sf_dir):
