@@ -33,11 +33,14 @@ SEED = 42
 NEAR_COPIES = {"words": 5, "share": (4, 5)}
 #: Sets become candidates if one of BANDS bands of BAND_ROWS min-wise hashes is equal: a pair at 0.8 is missed 7 times in 100,000.
 BANDS, BAND_ROWS = 24, 5
-SAMPLE = 20_000
+#: Least size of the trees' sample, and its size for each shard.
+SAMPLE, SAMPLE_EACH = 20_000, 8
 SHARD_ROWS = 8_192
 #: Distinct fingerprints that a shard of the tree is meant to hold.
 SHARD_AIM = 2_048
-MAX_SHARDS = 1 << 14
+MAX_SHARDS = 1 << 16
+#: Shingles that a share of a group of candidates is meant to hold; a cell compares two shares.
+SHARE_SHINGLES = 500_000
 #: Below so many fingerprints a shard's own tree compares all.
 LEAF = 192
 FAN = 8
@@ -222,9 +225,11 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, block
     """
     reach = radius // blocks if block_radius is None else block_radius
     n = distinct.count()
-    sample = unpacked([bytes(r.fp) for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()])
+    shards = min(MAX_SHARDS, max(1, n // SHARD_AIM))
+    part = min(1.0, max(SAMPLE, SAMPLE_EACH * shards) / max(n, 1))
+    drawn = distinct.filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(part * (1 << 30)))  # of all rows, by hash: about as many as wanted
+    sample = unpacked(sorted(bytes(r.fp) for r in drawn.collect()))
     rng = np.random.default_rng(SEED)
-    shards = min(MAX_SHARDS, max(1, n // SHARD_AIM), max(1, len(sample) // 8))
     trees = [ShardTree(np.sort(block_bits(sample, k, blocks)), shards, rng) if len(sample) else ShardTree(np.zeros(0, np.uint64), 1, rng) for k in range(blocks)]
     asked = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("fp", pa.binary()), ("home", pa.bool_())])
 
@@ -393,54 +398,63 @@ def similar_roots(sets: list[np.ndarray], share: tuple[int, int]) -> np.ndarray:
     return root
 
 
-def similar_groups(docs: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
+def similar_groups(docs: DataFrame, words: int, share: tuple[int, int], share_shingles: int = SHARE_SHINGLES) -> DataFrame:
     """As groups, but rows are linked where the Jaccard similarity of their shingle sets is at least share.
 
-    Rows of equal sets are one node. Candidates that bands join, directly or through others, meet in one task with one text a node.
+    Rows of equal sets are one node. Candidates are nodes that bands join, directly or through others. A group of them is dealt by
+    hash into shares of about ``share_shingles`` shingles; each cell compares two shares (one, where there is no other), so that
+    every two candidates meet, and sends a tree of links for each component it finds.
     """
     bound_batches(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("fp", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("fp", pa.binary()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def hashed_rows(batches):
         for b in batches:
             sets = [shingle_set(x, words) for x in b.column(2).to_pylist()]
-            yield batch(schema, [b.column(0), b.column(1), [xxhash.xxh3_128_digest(x.tobytes()) for x in sets], [band_keys(x) for x in sets]])
+            yield batch(schema, [b.column(0), b.column(1), [xxhash.xxh3_128_digest(x.tobytes()) for x in sets], [*map(len, sets)], [band_keys(x) for x in sets]])
 
     text = F.coalesce("text", F.lit(""))
     named = docs.select("doc_id", F.xxhash64(text).alias("row"), text.cast("binary").alias("bytes"))
-    hashed = materialize(named.mapInArrow(tidy(hashed_rows), "doc_id long, row long, fp binary, bands array<long>"), "sets")
+    hashed = materialize(named.mapInArrow(tidy(hashed_rows), "doc_id long, row long, fp binary, size long, bands array<long>"), "sets")
     first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")
-    nodes = materialize(hashed.groupBy("fp").agg(F.min(first).alias("least"), F.min("bands").alias("bands")), "nodes")
+    nodes = materialize(hashed.groupBy("fp").agg(F.min(first).alias("least"), F.min("size").alias("size"), F.min("bands").alias("bands")), "nodes")
     keys = nodes.select("fp", F.posexplode("bands").alias("band", "key"))
     met = keys.groupBy("band", "key").agg(F.min("fp").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
     edges = keys.join(met, ["band", "key"]).filter("fp != b").select(F.col("b").alias("a"), F.col("fp").alias("b")).distinct()
-    candidates = materialize(components(thinned(materialize(edges, "links"))), "candidates")
-    wanted = nodes.join(candidates, "fp").select("fp", "label", F.coalesce("least.doc_id", F.lit(-(2**63))).alias("id"), F.col("least.row").alias("row"))
-    met_texts = named.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), "row", "bytes").join(wanted, ["id", "row"]).select("label", "fp", "bytes")
+    candidates = materialize(nodes.join(components(thinned(materialize(edges, "links"))), "fp"), "candidates")
+    large = candidates.groupBy("label").agg(F.ceil(F.sum("size") / share_shingles).cast("int").alias("shares")).filter("shares > 1")
+    own = F.pmod(F.xxhash64("fp"), F.col("shares")).cast("int")
+    pair = lambda k: F.struct(F.least(own, k).alias("way"), F.greatest(own, k).alias("side"))
+    others = F.transform(F.sequence(F.lit(0), F.col("shares") - 1), pair)
+    cells = F.when(F.col("shares") > 1, F.filter(others, lambda c: c["way"] != c["side"])).otherwise(F.transform(F.array(F.lit(0)), pair))
+    wanted = candidates.join(large, "label", "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
+    wanted = wanted.select("fp", "label", cells.alias("cells"), F.coalesce("least.doc_id", F.lit(-(2**63))).alias("id"), F.col("least.row").alias("row"))
+    met_texts = named.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), "row", "bytes").join(wanted, ["id", "row"])
+    placed = met_texts.select("label", F.explode("cells").alias("c"), "fp", "bytes").select("label", "c.way", "c.side", "fp", "bytes")
 
     def exact(part: pa.Table) -> pa.Table:
         fps = part.column("fp").to_pylist()
         once = list({fp: k for k, fp in enumerate(fps)}.values())  # rows may be repeated
         fps, column = [fps[k] for k in once], part.column("bytes")
-        root = similar_roots([shingle_set(column[k].as_py(), words) for k in once], share)
-        return pa.table({"fp": pa.array(fps, pa.binary()), "label": pa.array([fps[r] for r in root], pa.binary())})
+        child, up = _tree(similar_roots([shingle_set(column[k].as_py(), words) for k in once], share))
+        return pa.table({"a": pa.array([fps[k] for k in up], pa.binary()), "b": pa.array([fps[k] for k in child], pa.binary())})
 
-    labels = materialize(met_texts.groupBy("label").applyInArrow(exact, "fp binary, label binary"), "similar")
+    similar = placed.groupBy("label", "way", "side").applyInArrow(exact, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    labels = components(thinned(materialize(similar, "similar")))
     tagged = nodes.join(labels, "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     of = tagged.groupBy("label").agg(F.min("least").alias("of"))
     known = materialize(tagged.join(of, "label").select("fp", F.col("of.doc_id").alias("least_id"), F.col("of.row").alias("least_row")), "components")
-    return hashed.drop("bands").join(known, "fp")
+    return hashed.drop("bands", "size").join(known, "fp")
 
 
 def one_of_each(docs: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
-    """docs without near copies (see similar_groups): of each group the row of least doc_id stays, of repeated rows one. All columns stay as they are.
+    """docs without near copies (see similar_groups): of each group the row of least doc_id stays, of repeated rows one.
 
-    docs must not have columns named dedup_id or dedup_row.
+    All columns stay as they are, whatever their names; a null text counts as empty. An empty table gives no rows.
     """
     found = similar_groups(docs, words, share)
     same = F.col("doc_id").eqNullSafe(F.col("least_id")) & (F.col("row") == F.col("least_row"))
-    keepers = found.filter(same).select(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("dedup_id"), F.col("row").alias("dedup_row")).distinct()
-    keyed = docs.withColumn("dedup_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("dedup_row", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = keyed.join(keepers, ["dedup_id", "dedup_row"])
-    turn = F.row_number().over(Window.partitionBy("dedup_id", "dedup_row").orderBy(F.lit(0)))
-    return kept.withColumn("dedup_turn", turn).filter("dedup_turn = 1").select(*docs.columns)
+    keepers = found.filter(same).select(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("id"), "row").distinct()
+    keyed = docs.select(F.struct(*docs.columns).alias("whole"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"))
+    turn = F.row_number().over(Window.partitionBy("id", "row").orderBy(F.lit(0)))
+    return keyed.join(keepers, ["id", "row"]).withColumn("turn", turn).filter("turn = 1").select("whole.*")
