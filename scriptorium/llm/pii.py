@@ -119,7 +119,7 @@ def _scored(kind: str, text: Column, span: Column) -> Column:
 def find_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with a column pii: spans (kind, start, end, value, score) by kind, then start; offsets in code points, end exclusive.
 
-    A null or empty text has none. docs must not have columns pii, has_digit or pii_<kind> itself.
+    A null or empty text has none. docs must not have columns pii, has_digit or pii_<kind> itself; redact() and report() take any columns.
     """
     none = F.array().cast(_SPAN)
     out = docs.withColumn("has_digit", F.coalesce(F.col(text).rlike("[0-9]"), F.lit(False)))
@@ -148,9 +148,11 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with each span of its text replaced by its kind in brackets; overlapping spans become one, of the kind that starts first. A null text stays null."""
-    columns = docs.columns
-    found = find_spans(docs)
+    """docs with each span of its text replaced by its kind in brackets; overlapping spans become one, of the kind that starts first.
+
+    A null text stays null; all other columns stay as they are, whatever their names. An empty table gives no rows.
+    """
+    found = find_spans(docs.select(F.struct(*docs.columns).alias("whole"), "text"))
     ordered = F.array_sort(F.transform("pii", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     text = F.col("text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
@@ -160,6 +162,6 @@ def redact(docs: DataFrame) -> DataFrame:
         out = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, out).otherwise(acc["out"]).alias("out"))
 
-    clean = F.aggregate("pii_ordered", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    out = found.withColumn("pii_ordered", ordered).withColumn("text", F.when(F.size("pii_ordered") > 0, clean).otherwise(text))
-    return out.select(*columns)
+    clean = F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    masked = F.when(F.size("pii") > 0, clean).otherwise(text)
+    return found.select(*(masked.alias(c) if c == "text" else F.col("whole")[c].alias(c) for c in docs.columns))

@@ -7,7 +7,8 @@ from collections import Counter
 import corpus_pipeline
 import numpy as np
 import pytest
-from scriptorium.llm import toxicity
+from pyspark.sql import functions as F
+from scriptorium.llm import simhash, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -54,6 +55,51 @@ def test_stages(spark, folder):
     assert {r.doc_id for r in packed} == set(kept)
 
 
+CLASHES = ["pii", "pii_email", "has_digit", "whole", "dedup_id", "dedup_row", "id", "row", "turn", "toxic_score", "fp", "label", "way", "kept"]
+
+
+def test_stages_keep_columns_of_any_name(spark, folder):
+    """Extra columns whose names operators use themselves stay as they are through every stage but the last."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for c in CLASHES:
+        docs = docs.withColumn(c, F.concat(F.lit(f"{c}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        columns = docs.columns
+        docs = stage(spark, docs, folder).cache()
+        assert docs.columns == columns
+        assert docs.count() and docs.filter(" or ".join(f"`{c}` != concat('{c}-', coalesce(cast(doc_id as string), ''))" for c in CLASHES)).isEmpty()
+    assert "row" not in corpus_pipeline.STAGES[-1][1](spark, docs, folder).columns
+
+
+def test_stages_of_nothing(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, folder)
+        assert docs.isEmpty()
+
+
+def test_shares_of_a_group_lose_no_link(spark):
+    """A group of candidates that is dealt over cells gives the same classes as in one task."""
+    rng = np.random.default_rng(4)
+    base = [f"t{k}" for k in rng.integers(0, 10_000, 200)]
+    rows = []
+    for i in range(120):  # a chain: each text differs from the one before by one more word
+        base = [*base]
+        base[(7 * i) % 200] = f"new{i}"
+        rows.append((i, " ".join(base)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = [{r.doc_id: r.least_id for r in simhash.similar_groups(docs, 5, (4, 5), n).collect()} for n in (10**6, 2_000)]
+    assert classes[0] == classes[1] and len(classes[0]) == 120
+    sets = [set(simhash.shingle_set(t.encode(), 5).tolist()) for _, t in rows]
+    parent = list(range(120))
+    for a in range(120):
+        for b in range(a):
+            if len(sets[a] & sets[b]) * 5 >= 4 * len(sets[a] | sets[b]):
+                old, new = max(parent[a], parent[b]), min(parent[a], parent[b])
+                parent = [new if x == old else x for x in parent]
+    assert classes[0] == dict(enumerate(parent))
+
+
 def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert {"doc_id", "piece", "start", "length", "sequence_id", "offset"} <= set(out.columns) and out.count() > 200
