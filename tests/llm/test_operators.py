@@ -392,10 +392,36 @@ def test_language_model(docs, texts):
 
 
 def test_class_probabilities_sum_to_one():
-    model = lm.Model({b"a": 1}, np.zeros(2), np.zeros(2), np.array([lm.END, 0]), 2, 2, 0, 0, np.zeros(lm.N_CLASSES, np.float32), np.random.default_rng(0).normal(size=(lm.N_ROWS, lm.N_CLASSES)).astype(np.float32))
+    model = lm.Model({b"a": 1}, np.zeros(2), np.zeros(2), np.array([lm.END, 0]), 2, 2, 0, 0, np.zeros(lm.N_CLASSES, np.float32), np.random.default_rng(0).normal(size=(lm.n_rows(2), lm.N_CLASSES)).astype(np.float32))
     codes, ends, words = model.codes([b"A\t zz", b""])
     assert ends.tolist() == [3, 4] and codes[0] == 1 and codes[2] == codes[3] == 0 and words.to_pylist() == [b"a", b"zz"]
-    assert np.allclose(np.exp(model.class_logs(model.rows(codes, ends))).sum(axis=1), 1, atol=1e-5)
+    assert np.allclose(np.exp(model.class_logs(model.rows(codes, lm.places(ends)))).sum(axis=1), 1, atol=1e-5)
+
+
+def test_head_has_all_words_above_a_count(spark):
+    counts = spark.createDataFrame([(f"w{k}".encode(), 1 + 300 // (k + 1)) for k in range(600)], "word binary, c long")
+    number = {r.word: r.c for r in counts.collect()}
+    for most in (0, 1, 50, 299, 600):
+        found = {r.word for r in lm.head_of(counts, most).collect()}
+        assert len(found) <= most and (not found or min(number[w] for w in found) > max([0, *(number[w] for w in number if w not in found)]))
+    assert lm.head_of(counts, 600).count() == 600 and lm.head_of(counts, 50).count() > 40
+
+
+def test_slabs_and_steps_change_no_score(spark, sf_dir, monkeypatch):
+    """Rows of weights and scores don't depend on how a worker cuts its texts."""
+    rng = np.random.default_rng(1)
+    model = lm.Model({f"w{k}".encode(): k + 1 for k in range(50)}, np.zeros(51), np.zeros(51), np.array([lm.END, *rng.integers(0, 18, 50)]), 9, 9, 0, 0, np.zeros(lm.N_CLASSES, np.float32), rng.normal(size=(lm.n_rows(2), lm.N_CLASSES)).astype(np.float32))
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 60, n)).encode() for n in (0, 1, 2, 500, 3, 70)]
+    codes, ends, _ = model.codes(texts)
+    place = lm.places(ends)
+    whole = model.rows(codes, place)
+    assert all((model.rows(codes, place, a, a + 37) == whole[a : a + 37]).all() for a in range(0, len(codes) - 37, 37))
+    alone = np.concatenate([model.rows(*(lambda c, e, _: (c, lm.places(e)))(*model.codes([t]))) for t in texts])
+    assert (alone == whole).all()
+    b = lm.batch(lm.pa.schema([("text", lm.pa.binary())]), [texts])
+    monkeypatch.setattr(lm, "SLAB_BYTES", 100)
+    cut = [s.column(0).to_pylist() for s in lm.slabs(b, 0)]
+    assert len(cut) == 4 and sum(cut, []) == texts and not list(lm.slabs(b.slice(0, 0), 0))
 
 
 def test_language_model_of_nothing(spark):
