@@ -1,34 +1,42 @@
-"""Main text of web pages by wrappers: union-free regular expressions inferred from pages of one host.
+"""Main text of web pages by wrappers: union-free regular expressions inferred from all pages of a host.
 
-A page becomes a tree of tagged tokens. Its tandem repeats fold into repeated groups; the pages of a host are then aligned one
-after the other with the wrapper so far: what only one side has becomes optional, texts that differ become slots. The wrapper
-tells which branches hold the article and which texts are the host's template; every page is matched against it, and
-branches that it does not know are judged by the same rules alone.
+A page becomes a tree of blocks. Its tandem repeats fold into repeated groups; the pages of a host are then aligned one after
+the other with the wrapper so far: what only one side has becomes optional, texts that differ become slots, texts that every
+page has stay fixed. The wrapper decides: the article is where the slots' text lies, and fixed texts are the host's template. Every
+page is aligned with its host's wrapper in the same way, and its blocks take the marks of the parts they meet. A host of many pages
+is dealt over shares, whose wrappers are merged into one.
 """
 
 from __future__ import annotations
 
 import html
+import math
+import pickle
 import re
+import sys
 import zlib
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import batch, bound_batches, tidy
+from scriptorium.llm.common import batch, bound_batches, materialize, tidy
 
-#: Levels of a page that its wrapper has; what lies deeper is judged by the rules alone.
-DEPTH = 60
-#: A host (or share of a host) has so many pages at most in one group, but where that would name more than HOT_HOSTS hosts.
-GROUP_PAGES = 500
-HOT_HOSTS = 10_000
+#: Pages, or wrappers of such shares, that one group merges.
+SHARE = 500
+#: Wrappers of all hosts go to every worker if they have so many bytes together at most; else pages and wrappers meet in a shuffle.
+SENT_BYTES = 32 << 20
 #: Rows that a task gives back at a time.
 OUT_ROWS = 64
-#: Sides of an alignment beyond this length are matched in order rather than by the longest common subsequence.
-ALIGN = 300
+#: A text is the template's if it is on this part of a host's pages, and on so many at least.
+TEMPLATE_SHARE, TEMPLATE_PAGES = 0.9, 3
+#: The article element is taken if it has this part of the slots' text; without one, an only child with DESCEND of it is entered.
+ARTICLE_SHARE, DESCEND = 0.4, 0.7
+#: A repeated group with this part of its text in links is a menu.
+LINKS = 0.9
 
 #: Elements of HTML by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -37,13 +45,17 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol dl table body html div article section main".split())
-#: Elements, and words of class, id or role attributes, that hold no article text.
-BOILER_TAGS = frozenset("nav footer aside form button select dialog menu head".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that may hold an article, elements that hold no article text, and those that no name makes such.
+HOLDERS = frozenset("# html body main article section div center td th table tbody tr".split())
+BOILER_TAGS = frozenset("nav header footer aside form button select dialog menu head".split())
+UNNAMED = frozenset("# html body main".split())
+#: Words of names (class, id, role) for what isn't article text; of comments; words before which a name tells of something else.
 BOILER_WORDS = frozenset(
     "ad ads adbox advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar footer masthead topbar banner cookie cookies consent gdpr notice alert popup modal newsletter subscribe signup login search social share sharing related recommended comment comments commentlist disqus reply replies respond widget pagination pager toolbar skip".split()
 )
-CONTENT_TAGS = ("article", "main")
-CONTENT_WORDS = frozenset("article main content post entry story body".split())
+COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond".split())
+TOLD = frozenset("has with without no category cat tag topic".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
@@ -55,13 +67,17 @@ _PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
 class Node:
-    """An element: tag, the words of its class, id and role, and children (nodes and strings)."""
+    """An element: tag, whether its name tells of something else than article text, whether it has blocks inside, children (nodes and strings)."""
 
-    __slots__ = ("children", "sign", "tag", "words")
+    __slots__ = ("blocks", "children", "named", "sign", "tag")
 
-    def __init__(self, tag: str, words: tuple[str, ...] = ()):
-        self.tag, self.words, self.children = tag, words, []
-        self.sign = f"{tag}.{'.'.join(words)}" if words else tag
+    def __init__(self, tag: str, names: tuple[str, ...] = ()):
+        self.tag, self.children, self.blocks = tag, [], tag not in INLINE
+        parts = [[w.lower() for w in _PARTS.findall(name)] for name in names]
+        telling = COMMENT_WORDS if tag == "article" else BOILER_WORDS
+        self.named = tag not in UNNAMED and any(x and x[0] not in TOLD and not telling.isdisjoint(x) for x in parts)
+        words = () if tag in UNNAMED or tag == "article" else dict.fromkeys(w for x in parts for w in x)
+        self.sign = ".".join([tag + "!" * self.named, *words])
 
 
 def parse(page: str) -> Node:
@@ -101,11 +117,13 @@ def parse(page: str) -> Node:
                 break
             if stack[k].tag in SCOPES:
                 break
-        words = ()
-        if m["attrs"]:
-            words = tuple(dict.fromkeys(w.lower() for x in _NAMED.finditer(m["attrs"]) for w in _PARTS.findall(x[2] or x[3] or x[4] or "")))
-        node = Node(name, words)
+        names = tuple(w for x in _NAMED.finditer(m["attrs"]) for w in (x[2] or x[3] or x[4] or "").split()) if m["attrs"] else ()
+        node = Node(name, names)
         stack[-1].children.append(node)
+        for above in reversed(stack if node.blocks else ()):
+            if above.blocks and above.tag in INLINE:
+                break
+            above.blocks = True
         if name not in VOID:
             stack.append(node)
     return root
@@ -114,28 +132,70 @@ def parse(page: str) -> Node:
 # --- wrappers ---
 
 
-@dataclass
 class Item:
-    """A part of a wrapper: an element (sign, children) or a text (no sign; text is None once it is a slot)."""
+    """A part of a wrapper: a block element (sign, children), or a run of text and inline elements (no sign).
+
+    ``pages`` of the host have it. Of a run, ``fixed`` has the texts (hash: length, pages) that all those pages had; if other
+    text was there too, the run is a slot. ``size`` and ``link`` count code points of text below, and those inside links, on
+    all pages. ``held`` are the page's own nodes: (node, child from, child to) of a run, (node,) of an element.
+    """
+
+    __slots__ = ("children", "fixed", "held", "link", "mark", "optional", "pages", "repeated", "sign", "size")
+
+    def __init__(self, sign: str | None, children: list[Item], fixed: dict[int, tuple[int, int]], size: int, link: int, pages: int = 1, optional: bool = False, repeated: int = 0, mark: str = "", held: list | None = None):
+        self.sign, self.children, self.fixed, self.size, self.link, self.pages = sign, children, fixed, size, link, pages
+        self.optional, self.repeated, self.mark, self.held = optional, repeated, mark, held if held is not None else []
+
+    @property
+    def tag(self) -> str:
+        return self.sign.partition(".")[0].rstrip("!")
 
-    sign: str | None
-    node: Node | None = None
-    text: str | None = None
-    children: list[Item] = field(default_factory=list)
-    optional: bool = False
-    repeated: int = 0  # items in the repeated group, 0 if there is none
-    pages: int = 1
-    size: int = 0  # characters of text seen below
-    block: str = ""  # article, boiler or nothing
+    @property
+    def named(self) -> bool:
+        return self.sign.partition(".")[0].endswith("!")
 
+    def slot(self) -> int:
+        """Code points of a run that differ between pages."""
+        return self.size - sum(n * pages for n, pages in self.fixed.values())
 
-def _item(child: Node | str, depth: int = 0) -> Item | None:
-    """A tree as wrapper parts: DEPTH levels count."""
-    if isinstance(child, str):
-        text = " ".join(child.split())
-        return Item(None, text=text, size=len(text)) if text else None
-    inner = [x for c in child.children if depth < DEPTH and (x := _item(c, depth + 1))]
-    return Item(child.sign, node=child, children=fold(inner), size=sum(x.size for x in inner))
+
+def _inline_text(x: Node | str, out: list[str], linked: list[str]) -> None:
+    todo = [(x, False)]
+    while todo:
+        x, in_link = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+            if in_link:
+                linked.append(x)
+        elif x.tag == "br":
+            out.append(" ")
+        elif not x.named:
+            todo += [(c, in_link or x.tag == "a") for c in reversed(x.children)]
+
+
+def _item(node: Node) -> Item:
+    """An element of a page as a part of a wrapper."""
+    inner, k = [], 0
+    while k < len(node.children):
+        c = node.children[k]
+        if not isinstance(c, str) and c.blocks:
+            inner.append(_item(c))
+            k += 1
+            continue
+        start, out, linked = k, [], []
+        while k < len(node.children) and (isinstance(c := node.children[k], str) or not c.blocks):
+            _inline_text(c, out, linked)
+            k += 1
+        if text := " ".join("".join(out).split()):
+            link = min(len(text), len(" ".join("".join(linked).split())))
+            inner.append(Item(None, [], {xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")): (len(text), 1)}, len(text), link, held=[(node, start, k)]))
+    return Item(node.sign, fold(inner), {}, sum([x.size for x in inner]), sum([x.link for x in inner]), held=[(node,)])
+
+
+def page_item(page: Node) -> Item:
+    """A page as a wrapper of its own. Pages nest as deep as they like: Python's own calls need no C stack."""
+    sys.setrecursionlimit(1 << 20)
+    return _item(page)
 
 
 def fold(items: list[Item]) -> list[Item]:
@@ -144,134 +204,209 @@ def fold(items: list[Item]) -> list[Item]:
     for x in items:
         out.append(x)
         for n in (1, 2, 3):
-            while len(out) >= 2 * n and all(a.sign is not None and a.sign == b.sign for a, b in zip(out[-2 * n : -n], out[-n:], strict=True)):
-                merged = [merge(a, b, same_page=True) for a, b in zip(out[-2 * n : -n], out[-n:], strict=True)]
-                for y in merged:
-                    y.repeated = n
+            while len(out) >= 2 * n and [a.sign for a in out[-2 * n : -n]] == [b.sign for b in out[-n:]] and out[-1].sign is not None:
+                merged = []
+                for a, b in zip(out[-2 * n : -n], out[-n:], strict=True):
+                    y = merge(a, b, True)
+                    y.repeated = max(y.repeated, n)
+                    merged.append(y)
                 out[-2 * n :] = merged
     return out
 
 
 def merge(a: Item, b: Item, same_page: bool = False) -> Item:
-    """What holds of both: different texts become a slot, children are aligned."""
-    size, pages = a.size + b.size, max(a.pages, b.pages) if same_page else a.pages + b.pages
-    if a.sign is None:
-        return Item(None, text=a.text if a.text == b.text else None, optional=a.optional or b.optional, pages=pages, size=size)
-    return Item(a.sign, a.node, None, fold(align(a.children, b.children, same_page)), a.optional or b.optional, max(a.repeated, b.repeated), pages, size)
+    """What holds of both. Parts of the same page (or wrapper) add their texts up, parts of others keep the texts they share."""
+    if same_page:
+        fixed = dict(a.fixed)
+        for h, (n, pages) in b.fixed.items():
+            fixed[h] = (n, max(pages, fixed[h][1]) if h in fixed else pages)
+    else:
+        fixed = {h: (n, pages + b.fixed[h][1]) for h, (n, pages) in a.fixed.items() if h in b.fixed}
+    pages = max(a.pages, b.pages) if same_page else a.pages + b.pages
+    children = fold(align(a.children, b.children, same_page)) if a.children or b.children else []
+    return Item(a.sign, children, fixed, a.size + b.size, a.link + b.link, pages, a.optional or b.optional, max(a.repeated, b.repeated), "", a.held + b.held)
 
 
 def align(a: list[Item], b: list[Item], same_page: bool = False) -> list[Item]:
     """One list for both: matches by sign are merged, the rest becomes optional."""
     out, i, j = [], 0, 0
-
-    def alone(x: Item) -> Item:
-        x.optional = True
-        return x
-
-    for p, q in [*_matches([x.sign for x in a], [x.sign for x in b]), (len(a), len(b))]:
-        out += [alone(x) for x in a[i:p]] + [alone(x) for x in b[j:q]]
+    for p, q in [*matches([x.sign for x in a], [x.sign for x in b]), (len(a), len(b))]:
+        for x in a[i:p] + b[j:q]:
+            x.optional = True
+            out.append(x)
         if p < len(a):
             out.append(merge(a[p], b[q], same_page))
         i, j = p + 1, q + 1
     return out
 
 
-def _matches(a: list, b: list) -> list[tuple[int, int]]:
-    if a == b:
-        return [(k, k) for k in range(len(a))]
-    if len(a) > ALIGN or len(b) > ALIGN:
-        out, j = [], 0
-        for i, x in enumerate(a):
-            if x in b[j : j + ALIGN]:
-                j = b.index(x, j)
-                out.append((i, j))
-                j += 1
-        return out
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
+def matches(a: list, b: list) -> list[tuple[int, int]]:
+    """Index pairs of a longest common subsequence, in order; exact for lists of any length, in memory linear in them."""
+    low = 0
+    while low < min(len(a), len(b)) and a[low] == b[low]:
+        low += 1
+    high = 0
+    while high < min(len(a), len(b)) - low and a[-1 - high] == b[-1 - high]:
+        high += 1
+    out = [(k, k) for k in range(low)]
+    todo = [(low, len(a) - high, low, len(b) - high)]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        if a0 == a1 or b0 == b1:
+            continue
+        if a1 - a0 == 1:
+            if a[a0] in b[b0:b1]:
+                out.append((a0, b.index(a[a0], b0, b1)))
+            continue
+        middle = (a0 + a1) // 2  # where b splits best for both halves of a
+        before = _common(a[a0:middle], b[b0:b1])
+        after = _common(a[middle:a1][::-1], b[b0:b1][::-1])[::-1]
+        cut = b0 + int((before + after).argmax())
+        todo += [(middle, a1, cut, b1), (a0, middle, b0, cut)]
+    return sorted(out) + [(len(a) - k, len(b) - k) for k in range(high, 0, -1)]
+
+
+def _common(a: list, b: list) -> np.ndarray:
+    """The length of the longest common subsequence of a and each prefix of b, the columns of one row kept as bits of a number."""
+    at: dict = {}
+    for j, x in enumerate(b):
+        at[x] = at.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
+    for x in a:
+        met = row & at.get(x, 0)
+        row = (row + met | row - met) & full
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate(([0], np.cumsum(1 - bits.astype(np.int64))))
+
+
+def packed(wrapper: Item) -> bytes:
+    """A wrapper as bytes, without the nodes it was made of."""
+    flat, todo = [], [wrapper]
+    while todo:
+        x = todo.pop()
+        flat.append((len(x.children), x.sign, x.fixed, x.size, x.link, x.pages, x.optional, x.repeated, x.mark))
+        todo += reversed(x.children)
+    return zlib.compress(pickle.dumps(flat), 1)
+
+
+def unpacked(data: bytes) -> Item:
+    root, open_ = None, []
+    for n, sign, fixed, size, link, pages, optional, repeated, mark in pickle.loads(zlib.decompress(data)):
+        x = Item(sign, [], fixed, size, link, pages, optional, repeated, mark)
+        if root is None:
+            root = x
         else:
-            j += 1
-    return out
+            open_[-1][0].children.append(x)
+        open_.append([x, n])
+        while open_ and len(open_[-1][0].children) == open_[-1][1]:
+            open_.pop()
+    return root
 
 
 def infer(pages: Iterable[Node]) -> Item:
-    """The wrapper of pages of one host, with its branches marked. Pages are taken one by one."""
-    wrapper, n = None, 0
+    """The marked wrapper of pages of one host; pages are taken one by one."""
+    wrapper = None
     for page in pages:
-        x = _item(page)
-        wrapper, n = x if wrapper is None else merge(wrapper, x), n + 1
-    wrapper = wrapper or Item("#", Node("#"))
-    _mark(wrapper, n)
-    return wrapper
+        x = page_item(page)
+        wrapper = x if wrapper is None else merge(wrapper, x)
+    return marked(wrapper or page_item(Node("#")))
 
 
-def is_boiler(node: Node) -> bool:
-    return node.tag in BOILER_TAGS or not BOILER_WORDS.isdisjoint(node.words)
+def marked(wrapper: Item) -> Item:
+    """Mark parts of a wrapper as boiler, template (texts) or article.
 
+    Boiler are elements of other use by their tag, or by their name unless they have an article, main or first heading inside and
+    half of the slots' text. The article is every outermost article or main element, if they have ARTICLE_SHARE of the slots'
+    text (not in links) and each of them, by page, a fifth of the fullest one's; else the walk from the top enters an only child
+    with DESCEND of it. Template are runs' texts that (nearly) all pages have, and repeated groups of links where no
+    element holds the article. Where no text differs between pages (or there is one page) all text counts as slots.
+    """
+    sys.setrecursionlimit(1 << 20)
+    differs = wrapper.pages > 1 and any(x.slot() > 0 for x in _runs(wrapper))
 
-def is_content(node: Node) -> int:
-    """How surely an element holds the article: 0 to 3."""
-    if node.tag in CONTENT_TAGS or "main" in node.words and node.tag in ("div", "section"):
-        return 3 - CONTENT_TAGS.index(node.tag) if node.tag in CONTENT_TAGS else 1
-    return int(node.tag in ("div", "section", "td") and not CONTENT_WORDS.isdisjoint(node.words) and BOILER_WORDS.isdisjoint(node.words))
-
+    def worth(x: Item) -> float:
+        return (x.slot() if differs else x.size) * (1 - x.link / x.size) if x.size else 0.0
 
-def _mark(wrapper: Item, n_pages: int) -> None:
-    """Mark articles: the surest elements of the wrapper, the fullest where they are only named so; and templates, texts alike on several pages."""
-    best: dict[int, list[Item]] = {}
+    whole = sum([worth(x) for x in _runs(wrapper)])
+    mass: dict[int, float] = {}
 
-    def walk(x: Item) -> None:
-        if x.node is not None and is_boiler(x.node):
-            x.block = "boiler"
-            return
-        if x.node is not None and (sure := is_content(x.node)):
-            best.setdefault(sure, []).append(x)
+    def weigh(x: Item) -> tuple[float, bool]:
+        """Slots' text of a part, what isn't boiler only; and whether it has an article, main or first heading."""
+        if x.sign is None:
+            mass[id(x)] = worth(x)
+            return mass[id(x)], False
+        found, core = 0.0, x.tag in ("article", "main", "h1")
         for y in x.children:
-            walk(y)
-
-    walk(wrapper)
-    if best:
-        sure = max(best)
-        for x in best[sure] if sure > 1 else [max(best[sure], key=lambda x: x.size)]:
-            x.block = "article"
-        return
-
-    def template(x: Item) -> None:
-        if x.sign is None and x.text is not None and x.pages >= max(3, n_pages // 2):
-            x.block = "boiler"
-        for y in x.children:
-            template(y)
+            f, c = weigh(y)
+            found, core = found + f, core or c
+        if x.tag in BOILER_TAGS or x.named and not (core and found >= whole / 2):
+            x.mark, found, core = "boiler", 0.0, False
+        mass[id(x)] = found
+        return found, core
+
+    weigh(wrapper)
+    for tag in ("article", "main"):
+        found = _outermost(wrapper, tag)
+        if found and sum([mass[id(x)] for x in found]) >= ARTICLE_SHARE * mass[id(wrapper)]:
+            by_page = [mass[id(x)] / x.pages for x in found]
+            for x, n in zip(found, by_page, strict=True):
+                if n >= max(by_page) / 5:
+                    x.mark = "article"
+            roots = [x for x in found if x.mark == "article"]
+            break
+    else:
+        x, entered = wrapper, True
+        while entered:
+            entered = False
+            for y in x.children:
+                if y.sign is not None and y.tag in HOLDERS and mass[id(y)] >= DESCEND * mass[id(x)] > 0:
+                    x, entered = y, True
+                    break
+        x.mark, roots = "article", [x]
+    least = max(TEMPLATE_PAGES, math.ceil(TEMPLATE_SHARE * wrapper.pages))
+    for root in roots:
+        for x in _runs(root):
+            x.fixed = {h: (n, pages) for h, (n, pages) in x.fixed.items() if differs and pages >= least}
+            x.mark = "template" if x.fixed else ""
+        if root.tag in ("#", "html", "body"):
+            todo = [*root.children]
+            while todo:
+                x = todo.pop()
+                if x.sign is not None and x.repeated and x.link >= LINKS * x.size > 0:
+                    x.mark = "boiler"
+                todo += x.children
+    return wrapper
 
-    texts: list[Item] = []
 
-    def slots(x: Item) -> None:
-        if x.sign is None and x.text is None:
-            texts.append(x)
-        for y in x.children:
-            slots(y)
+def _runs(x: Item) -> Iterator[Item]:
+    todo = [x]
+    while todo:
+        x = todo.pop()
+        if x.sign is None:
+            yield x
+        todo += x.children
 
-    slots(wrapper)
-    if texts:  # pages that are all alike have no slots: then no text is the template's
-        template(wrapper)
+
+def _outermost(wrapper: Item, tag: str) -> list[Item]:
+    found, todo = [], [wrapper]
+    while todo:
+        x = todo.pop()
+        if x.sign is None or x.mark == "boiler":
+            continue
+        if x.tag == tag:
+            found.append(x)
+        else:
+            todo += x.children
+    return found
 
 
 def extract(page: Node, wrapper: Item) -> str:
-    """The article's text: its blocks, joined by two line ends."""
-    known = _articles(wrapper)
-    roots = list(_roots(page, wrapper, known))
-    if not roots:  # the wrapper's article is not here: judge this page alone
-        alone = infer([page])
-        wrapper, known = alone, _articles(alone)
-        roots = list(_roots(page, alone, known)) or [(page, alone)]
+    """The article's text: its blocks, joined by two line ends. A page that has no part marked as article is judged alone."""
+    own = page_item(page)
+    marks, roots = _matched(own, wrapper)
+    if not roots:
+        marks, roots = _matched(own, marked(unpacked(packed(own))))
     blocks: list[str] = []
     part: list[str] = []
 
@@ -281,78 +416,81 @@ def extract(page: Node, wrapper: Item) -> str:
         if text:
             blocks.append(text)
 
-    for root, item in roots:
-        # Iterative, as pages nest as deep as they like; None closes a block.
-        todo: list = [(root, item, True)]
+    for root in sorted(roots, key=lambda x: x[0]):
+        # Iterative, as pages nest as deep as they like; None closes a block. Of a header only headings are read.
+        todo: list = [(root[1], False)]
         while todo:
             x = todo.pop()
             if x is None:
                 flush()
                 continue
-            child, item, top = x
-            if isinstance(child, str):
-                if item is None or item.block != "boiler":
-                    part.append(child)
-                continue
-            if not top and (is_boiler(child) or item is not None and item.block == "boiler"):
-                if child.tag not in INLINE:
-                    flush()
+            node, in_header = x
+            if isinstance(node, str):
+                part.append(node)
                 continue
-            if child.tag == "br":
+            top = node is root[1]
+            if not top and (marks.get(id(node), "boiler" if node.named or node.tag in BOILER_TAGS else "") == "boiler"):
+                if node.tag != "header":
+                    if node.tag not in INLINE:
+                        flush()
+                    continue
+                in_header = True
+            if node.tag == "br":
                 part.append(" ")
                 continue
-            if child.tag not in INLINE:
+            if node.tag not in INLINE:
                 flush()
                 todo.append(None)
-            todo += [(c, i, False) for c, i in reversed(list(_paired(child, item)))]
+            if node.tag in HEADINGS:
+                in_header = False
+            todo += [(c, in_header) for k, c in reversed([*enumerate(node.children)]) if (id(node), k) not in marks and not (in_header and (isinstance(c, str) or not c.blocks))]
         flush()
     return "\n\n".join(blocks)
 
 
-def _articles(wrapper: Item) -> bool:
-    return wrapper.block == "article" or any(_articles(x) for x in wrapper.children)
-
-
-def _paired(node: Node, item: Item | None) -> Iterator[tuple[Node | str, Item | None]]:
-    """Each child with its part of the wrapper, if it has one: the next of its sign, or else the first."""
-    if item is None:
-        yield from ((c, None) for c in node.children)
-        return
-    by: dict[str | None, list[Item]] = {}
-    for x in item.children:
-        by.setdefault(x.sign, []).append(x)
-    seen: dict[str | None, int] = {}
-    for c in node.children:
-        sign = None if isinstance(c, str) else c.sign
-        found, k = by.get(sign, ()), seen.get(sign, 0)
-        if isinstance(c, str):
-            if not c.strip():
-                yield c, None
-                continue
-            text = " ".join(c.split())
-            yield c, next((x for x in found if x.text == text), None) or next((x for x in found if x.text is None), None)
-        else:
-            yield c, found[min(k, len(found) - 1)] if found else None
-            seen[sign] = k + 1
-
-
-def _roots(page: Node, wrapper: Item, known: bool) -> Iterator[tuple[Node, Item | None]]:
-    """The page's outermost elements that the wrapper marks as articles; the whole page if it marks none."""
-    if not known:
-        yield page, wrapper
-        return
-    todo: list = [(page, wrapper)]
+def _matched(own: Item, wrapper: Item) -> tuple[dict, list[tuple[int, Node]]]:
+    """Marks of a page's elements (by id) and of template children (by id and place), and its articles in page order."""
+    marks: dict = {}
+    roots: dict[int, Node] = {}
+    todo = [(own, wrapper)]
     while todo:
-        node, item = todo.pop()
-        if item is not None and item.block == "article" or item is None and node.tag in CONTENT_TAGS and not is_boiler(node):
-            yield node, item
-        elif not is_boiler(node):
-            todo += [(c, i) for c, i in reversed(list(_paired(node, item))) if not isinstance(c, str)]
+        x, part = todo.pop()
+        if x.sign is None:
+            if part.mark == "template":
+                for (node, start, end), h in _texts(x):
+                    if h in part.fixed:
+                        marks.update({(id(node), k): "template" for k in range(start, end)})
+            continue
+        if part.mark == "article":
+            roots.update({id(n): n for (n,) in x.held})
+        else:
+            marks.update({id(n): part.mark for (n,) in x.held})
+        todo += [(x.children[p], part.children[q]) for p, q in matches([y.sign for y in x.children], [y.sign for y in part.children])]
+    place: list[tuple[int, Node]] = []
+    stack, at = [own.held[0][0]], 0
+    while stack and len(place) < len(roots):
+        node = stack.pop()
+        at += 1
+        if id(node) in roots:
+            place.append((at, node))
+        stack += [c for c in reversed(node.children) if not isinstance(c, str)]
+    return marks, place
+
+
+def _texts(run: Item) -> Iterator[tuple[tuple, int]]:
+    """Each of a page's runs that a part holds, and the hash of its text."""
+    for node, start, end in run.held:
+        out: list[str] = []
+        for c in node.children[start:end]:
+            _inline_text(c, out, [])
+        yield (node, start, end), xxhash.xxh3_64_intdigest(" ".join("".join(out).split()).encode("utf-8", "surrogatepass"))
 
 
 # --- tables ---
 
 _OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
+_PARTS_OUT = pa.schema([("host", pa.string()), ("turn", pa.int64()), ("wrapper", pa.binary())])
+_PARTS_DDL = "host string, turn long, wrapper binary"
 
 
 def host_of(url):
@@ -360,37 +498,105 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def extract_pages(pages: DataFrame) -> DataFrame:
-    """Per row of pages (page_id, url, html): page_id, url, text, n_chars. A null or empty html gives the empty text.
+def wrappers_of(pages: DataFrame, share: int = SHARE) -> DataFrame:
+    """host, wrapper (marked, packed) of each host of pages (host, html), from all its pages in the order of their hash.
 
-    Pages are dealt by host; a host of more than GROUP_PAGES pages is dealt over several groups, each with a wrapper of its own
-    from all its pages. A group's pages are held compressed and read twice, for the wrapper and for their texts. Pages without a host form groups like a host's. Repeated rows stay.
+    Each page is sent as a packed tree without its text; pages, then wrappers, are merged in groups of about ``share`` until each host has one.
     """
-    bound_batches(pages.sparkSession)
+
+    def trees(batches):
+        for b in batches:
+            hosts, htmls = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for k in range(0, len(hosts), OUT_ROWS):
+                part = htmls[k : k + OUT_ROWS]
+                turns = [xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) >> 1 for x in part]
+                yield batch(_PARTS_OUT, [hosts[k : k + OUT_ROWS], turns, [packed(page_item(parse(x))) for x in part]])
+
+    def merger(last: bool):
+        def merged(batches):
+            group, wrapper = None, None
+
+            def done():
+                return batch(_PARTS_OUT, [[group[0]], [group[1]], [packed(marked(wrapper) if last else wrapper)]])
+
+            for b in batches:
+                for host, turn, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if (host, turn) != group:
+                        if group:
+                            yield done()
+                        group, wrapper = (host, turn), unpacked(data)
+                    else:
+                        sys.setrecursionlimit(1 << 20)
+                        wrapper = merge(wrapper, unpacked(data))
+            if group:
+                yield done()
+
+        return merged
+
+    parts = materialize(pages.select("host", "html").mapInArrow(tidy(trees), _PARTS_DDL), "trees")
+    while True:
+        sizes = materialize(parts.groupBy("host").agg(F.count("*").alias("n")), "host_sizes")
+        most = sizes.agg(F.max("n")).first()[0] or 0
+        large = sizes.filter(F.col("n") > share).select("host", F.ceil(F.col("n") / share).alias("shares"))
+        dealt = parts.join(large, "host", "left").withColumn("share", F.pmod("turn", F.coalesce("shares", F.lit(1))))
+        dealt = dealt.repartition("host", "share").sortWithinPartitions("host", "share", "turn", F.xxhash64("wrapper")).select("host", F.col("share").alias("turn"), "wrapper")
+        parts = materialize(dealt.mapInArrow(tidy(merger(most <= share)), _PARTS_DDL), "wrappers")
+        if most <= share:
+            return parts.select("host", "wrapper")
+
+
+def extract_pages(pages: DataFrame, share: int = SHARE, sent_bytes: int = SENT_BYTES) -> DataFrame:
+    """Per row of pages (page_id, url, html): page_id, url, text, n_chars. A null or empty html gives the empty text; an empty table no rows.
+
+    Each host has one wrapper, from all its pages, however many; pages without a host (or url) share one. If all wrappers have
+    ``sent_bytes`` together at most they go to every worker; else pages meet the wrapper of their host in a shuffle, where
+    a host of many pages is dealt over shares. Repeated rows stay; other columns are ignored.
+    """
+    spark = pages.sparkSession
+    bound_batches(spark)
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
-    sizes = pages.select(host_of(F.col("url")).alias("host")).groupBy("host").agg(F.count("*").alias("n"))
-    hot = sizes.filter(F.col("n") > GROUP_PAGES).orderBy(F.desc("n"), "host").limit(HOT_HOSTS).select("host", F.ceil(F.col("n") / GROUP_PAGES).cast("int").alias("shares"))
-    rows = rows.join(F.broadcast(hot), "host", "left")  # at most HOT_HOSTS rows
-    rows = rows.withColumn("tie", F.xxhash64("page_id", "html")).withColumn("share", F.pmod(F.col("tie"), F.coalesce("shares", F.lit(1))))
-    dealt = rows.repartition("host", "share").sortWithinPartitions("host", "share", "tie").select("page_id", "url", "html", "host", "share")
-
-    def texts(batches):
-        group, held = None, []
-
-        def done():
-            page = lambda x: parse(zlib.decompress(x).decode("utf-8", "surrogatepass"))
-            wrapper = infer(page(x) for _, _, x in held)
-            for k in range(0, len(held), OUT_ROWS):
-                made = [(i, u, t := extract(page(x), wrapper), len(t)) for i, u, x in held[k : k + OUT_ROWS]]
+    wrappers = wrappers_of(rows, share)
+    ddl = "page_id long, url string, text string, n_chars long"
+    if (wrappers.agg(F.sum(F.length("wrapper"))).first()[0] or 0) <= sent_bytes:
+        table = spark.sparkContext.broadcast({r.host: bytes(r.wrapper) for r in wrappers.collect()})
+
+        def texts(batches):
+            open_: dict[str, Item] = {}
+            for b in batches:
+                made = []
+                for name, url, page, host in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if host not in open_:
+                        open_[host] = unpacked(table.value[host])
+                    made.append((name, url, t := extract(parse(page), open_[host]), len(t)))
+                    if len(made) == OUT_ROWS:
+                        yield batch(_OUT, [*zip(*made, strict=True)])
+                        made = []
+                if made:
+                    yield batch(_OUT, [*zip(*made, strict=True)])
+
+        return rows.mapInArrow(tidy(texts), ddl)
+    sizes = rows.groupBy("host").agg(F.ceil(F.count("*") / share).alias("shares"))
+    none = F.lit(None)
+    copies = wrappers.join(sizes, "host").select(none.cast("long").alias("page_id"), none.cast("string").alias("url"), none.cast("string").alias("html"), "host", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "wrapper")
+    large = materialize(sizes.filter("shares > 1"), "large_hosts")
+    few = large.count() <= 100_000
+    dealt = rows.join(F.broadcast(large) if few else large, "host", "left").withColumn("share", F.pmod(F.xxhash64("page_id", "html"), F.coalesce("shares", F.lit(1))))
+    both = dealt.select("page_id", "url", "html", "host", "share", none.cast("binary").alias("wrapper")).unionByName(copies)
+    met = both.repartition("host", "share").sortWithinPartitions("host", "share", F.col("wrapper").isNull()).select("page_id", "url", "html", "wrapper")
+
+    def met_texts(batches):
+        wrapper = None
+        for b in batches:
+            made = []
+            for name, url, page, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if data is not None:
+                    wrapper = unpacked(data)
+                    continue
+                made.append((name, url, t := extract(parse(page), wrapper), len(t)))
+                if len(made) == OUT_ROWS:
+                    yield batch(_OUT, [*zip(*made, strict=True)])
+                    made = []
+            if made:
                 yield batch(_OUT, [*zip(*made, strict=True)])
-            held.clear()
 
-        for b in batches:
-            for name, url, page, *key in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if key != group:
-                    yield from done()
-                    group = key
-                held.append((name, url, zlib.compress(page.encode("utf-8", "surrogatepass"), 1)))
-        yield from done()
-
-    return dealt.mapInArrow(tidy(texts), "page_id long, url string, text string, n_chars long")
+    return met.mapInArrow(tidy(met_texts), ddl)

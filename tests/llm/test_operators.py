@@ -158,10 +158,69 @@ def test_pages_without_article(spark):
 
 
 def test_wrapper_folds_and_aligns():
-    pages = ["<div><p>a</p><p>b</p><i>same</i></div>", "<div><p>c</p><i>same</i><table></table></div>"]
-    div = html_wrapper.infer([html_wrapper.parse(p) for p in pages]).children[0]
-    assert [(x.sign, x.repeated, x.optional) for x in div.children] == [("p", 1, False), ("i", 0, False), ("table", 0, True)]
-    assert div.children[0].children[0].text is None and div.children[1].children[0].text == "same"
+    pages = ["<div><p>a</p><p>b</p><pre>same</pre></div>", "<div><p>c</p><pre>same</pre><table></table></div>"]
+    div = html_wrapper.merge(*(html_wrapper.page_item(html_wrapper.parse(p)) for p in pages)).children[0]
+    assert [(x.sign, x.repeated, x.optional, x.pages) for x in div.children] == [("p", 1, False, 2), ("pre", 0, False, 2), ("table", 0, True, 1)]
+    assert div.children[0].children[0].slot() == 3 and div.children[1].children[0].slot() == 0
+    again = html_wrapper.unpacked(html_wrapper.packed(div))
+    assert html_wrapper.packed(again) == html_wrapper.packed(div) and [x.sign for x in again.children] == ["p", "pre", "table"]
+
+
+def test_matches_are_longest():
+    rng = np.random.default_rng(7)
+    for n, m, k in [(0, 5, 2), (1, 1, 1), (9, 14, 3), (60, 45, 4), (700, 650, 12), (350, 5, 2)]:
+        a, b = rng.integers(0, k, n).tolist(), rng.integers(0, k, m).tolist()
+        best = np.zeros((n + 1, m + 1), int)
+        for i in range(n):
+            for j in range(m):
+                best[i + 1, j + 1] = best[i, j] + 1 if a[i] == b[j] else max(best[i, j + 1], best[i + 1, j])
+        found = html_wrapper.matches(a, b)
+        assert len(found) == best[n, m] and all(a[i] == b[j] for i, j in found)
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(found, found[1:], strict=False))
+
+
+SITE = "<html><body class='single has-sidebar'><div class=top><p>Welcome to the daily site</p><ul><li><a href=/a>Home</a><li><a href=/b>All news</a></ul></div><div class=x>{}</div><div class=y><p>All rights are ours</p></div></body></html>"
+
+
+def site_pages(n):
+    """Pages of a host without telling names: only that their texts differ shows which is the article."""
+    rng = np.random.default_rng(9)
+    body = lambda: "".join(f"<p>{' '.join(f'w{k}' for k in rng.integers(0, 900, 30))}</p>" for _ in range(rng.integers(1, 5)))
+    made = [body() for _ in range(n)]
+    return [SITE.format(f"<h2>Share this with friends</h2>{b}") for b in made], ["\n\n".join(re.findall("<p>(.*?)</p>", b)) for b in made]
+
+
+def test_the_wrapper_decides():
+    """Fixed texts go and slots stay; with an empty wrapper, which knows neither, a page's text is another."""
+    pages, texts = site_pages(12)
+    trees = [html_wrapper.parse(p) for p in pages]
+    wrapper = html_wrapper.infer(trees)
+    assert [html_wrapper.extract(x, wrapper) for x in trees] == texts
+    empty = html_wrapper.infer([])
+    assert all(html_wrapper.extract(x, empty) not in (t, "") for x, t in zip(trees, texts, strict=True))
+
+
+def test_names_and_headers():
+    one = lambda page: html_wrapper.extract(tree := html_wrapper.parse(page), html_wrapper.infer([tree]))
+    assert one("<body><header>Site name</header><p>the text</p></body>") == "the text"
+    assert one("<body class='single has-sidebar'><p>the text</p></body>") == "the text"
+    assert one("<article class='post category-advertising'><p>the text</p></article>") == "the text"
+    assert one("<article class='post tag-social'><p>the text</p><aside>no</aside><div class='share-this'>no</div></article>") == "the text"
+    assert one("<article><header><h1>Title</h1><p>by me</p></header><p>the text</p><section class=comments><article class=comment>no</article></section></article>") == "Title\n\nthe text"
+    assert one("<div class='banner-layout'><h1>Title</h1><p>the text</p></div>") == "Title\n\nthe text"
+    assert one("<a><div>in a link</div></a> <b>bold <span class=ad>no</span>") == "in a link\n\nbold"
+    assert one("<div>" * 50_000 + "deep") == "deep"
+
+
+def test_hosts_of_any_size_and_both_ways(spark):
+    """A large host is merged in shares; whether wrappers are sent or meet their pages in a shuffle, texts are the same."""
+    pages, texts = site_pages(90)
+    rows = [(k, f"http://{'big' if k < 70 else f'h{k % 3}'}.example/{k}", p) for k, p in enumerate(pages)] + [(3, "http://big.example/3", pages[3]), (None, None, None), (7, None, "")]
+    table = spark.createDataFrame([(*r, "h", 1) for r in rows], "page_id long, url string, html string, host string, share int")
+    expected = [(k, rows[k][1], t, len(t)) for k, t in enumerate(texts)] + [(3, rows[3][1], texts[3], len(texts[3])), (None, None, "", 0), (7, None, "", 0)]
+    for how in ({}, {"share": 7}, {"share": 7, "sent_bytes": -1}):
+        same_rows(html_wrapper.extract_pages(table, **how).collect(), expected)
+        assert html_wrapper.extract_pages(table.limit(0), **how).isEmpty()
 
 
 def test_wrapper_is_of_all_pages(spark):
@@ -169,13 +228,13 @@ def test_wrapper_is_of_all_pages(spark):
     page = "<body><p>Site of all</p><div><h2>T {0}</h2><p>text {0}</p></div></body>"
     other = "<body><p>Site of all</p><section><p>Fixed words of the second layout</p><p>{0} is new</p></section></body>"
     rows = [(k, "http://h.example", page.format(k)) for k in range(60)] + [(100 + k, "http://h.example", other.format(k)) for k in range(40)]
-    long = "<body><div class=post>small</div>" + "<i>x</i>" * 5000 + "<div class=story>" + "<p>the article itself</p>" * 40 + "</div></body>"
+    long = "<body><div class=post>small</div>" + "<div><i>x</i></div>" * 5000 + "<div class=story>" + "<p>the article itself</p>" * 4000 + "</div></body>"
     rows.append((999, "http://long.example", long))
     found = {r.page_id: r.text for r in html_wrapper.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert len(found) == 101 and found[999] == "\n\n".join(["the article itself"] * 40)
+    assert len(found) == 101 and found[999] == "\n\n".join(["the article itself"] * 4000)
     items = html_wrapper.infer(html_wrapper.parse(h) for _, _, h in rows[:100])
     signs = lambda x: {x.sign}.union(*map(signs, x.children))
-    assert {"h2", "section"} <= signs(items) and all("Site of all" not in found[k] for k in range(60))
+    assert {"h2", "section"} <= signs(items) and all("Site of all" not in t for k, t in found.items() if k < 999)
 
 
 # --- packing ---
