@@ -270,7 +270,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: in
     """
     known = labels.filter("doc_id is not null and toxic is not null").filter(held_remainder("doc_id", 5) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, n1 = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    longest = texts_of(docs).join(known, "doc_id").groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.max(F.length("text")).alias("size"))
+    lengths = texts_of(docs).select("doc_id", F.length("text").alias("size"))  # no text goes into the join
+    longest = lengths.join(known, "doc_id").groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.max("size").alias("size"))
     sizes = materialize(longest.select("doc_id", "toxic", "size", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("turn")), "label_sizes")
     picked = []
     for label, many in sorted((r.toxic, r["count"]) for r in sizes.groupBy("toxic").count().collect()):
