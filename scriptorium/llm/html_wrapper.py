@@ -121,7 +121,7 @@ def parse(page: str) -> Node:
         node = Node(name, names)
         stack[-1].children.append(node)
         for above in reversed(stack if node.blocks else ()):
-            if above.blocks and above.tag in INLINE:
+            if above.blocks:  # so have all above it
                 break
             above.blocks = True
         if name not in VOID:

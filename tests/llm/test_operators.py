@@ -450,6 +450,37 @@ def test_language_model(docs, texts):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_scores_by_brute_force(spark):
+    """Each token's probability by loops: its class from the hashed rows of the words before, its share within the class."""
+    rng = np.random.default_rng(12)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.5, n) if k < 400) for n in rng.integers(0, 60, 60)] + ["", "W1 w1 unseen"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = lm.count_words(docs).cache()
+    model = lm.train(docs, lm.build_model(counts, 20))
+    count = {bytes(r.word): r.c for r in counts.collect()}
+    mask, scale = (1 << 64) - 1, len(model.weights) // sum(lm.ROWS)
+    mixed = lambda h, salt: (h * 0x9E3779B97F4A7C15 + salt & mask) * 0xD6E8FEB86659FD93 % (1 << 64) >> 40
+
+    def brute(text):
+        words = [*text.lower().encode().split(), b""]
+        codes = [0 if not w else model.ids.get(w, len(model.base) + zlib.crc32(w) % lm.RARE_CODES) for w in words]
+        total = 0.0
+        for i, (w, code) in enumerate(zip(words, codes, strict=True)):
+            before = [codes[i - k] + 1 if i >= k else 0 for k in (1, 2, 3)]
+            hashed = [mixed(h, k) for k, h in enumerate(before)] + [mixed((before[0] << 20) + before[1], 3)]
+            rows = [h % (n * scale) + scale * sum(lm.ROWS[:k]) for k, (h, n) in enumerate(zip(hashed, lm.ROWS, strict=True))]
+            z = model.bias.astype(float) + sum(model.weights[r].astype(float) for r in rows)
+            head = code < len(model.base)
+            own = model.classes[code] if head else lm.RARE
+            within = model.within[code] if head else math.log10((count.get(w, 0) + 1) / (model.rare_n + model.rare_v + 1))
+            total += (z[own] - math.log(np.exp(z).sum())) / math.log(10) + within
+        return total
+
+    found = {r.doc_id: r.score for r in lm.score(docs, counts, model).collect()}
+    assert len(found) == len(texts) and len(model.ids) <= 20 and model.weights.any()
+    assert np.allclose([found[k] for k in range(len(texts))], [brute(t) for t in texts], rtol=1e-4)
+
+
 def test_class_probabilities_sum_to_one():
     model = lm.Model({b"a": 1}, np.zeros(2), np.zeros(2), np.array([lm.END, 0]), 2, 2, 0, 0, np.zeros(lm.N_CLASSES, np.float32), np.random.default_rng(0).normal(size=(lm.n_rows(2), lm.N_CLASSES)).astype(np.float32))
     codes, ends, words = model.codes([b"A\t zz", b""])
@@ -665,6 +696,29 @@ def test_media(docs, texts):
     assert all(len(x) == 1 for x in by.values())
 
 
+def test_feature_by_brute_force():
+    rng = np.random.default_rng(3)
+    for n in (64, 256, 300, 256 * 9, 256 * 40 + 17):
+        samples = rng.integers(0, 256, n).astype(np.uint8)
+        samples[: n // 2] = (128 + 90 * np.sin(np.arange(n // 2) * 0.9)).astype(np.uint8)
+        found = []
+        for t in range(max(1, -(-(n - media.FRAME) // media.HOP) + 1)):
+            frame = np.zeros(media.FRAME)
+            part = samples[t * media.HOP : t * media.HOP + media.FRAME].astype(float) - 128
+            frame[: len(part)] = part
+            size = np.abs(np.fft.rfft(frame * np.hanning(media.FRAME)))
+            for a, b in zip(media.BANDS, media.BANDS[1:], strict=False):
+                k = a + int(size[a:b].argmax())
+                if size.mean() > 0 and size[k] >= media.STRONG * size.mean():
+                    found.append((t, k))
+        pairs = sorted((t, f << 12 | g << 4 | u - t) for i, (t, f) in enumerate(found) for u, g in found[i + 1 : i + 1 + media.PAIRS] if u - t <= media.REACH)
+        last, out = 0, []
+        for t, code in pairs:
+            out.append(f"{t - last}:{code:x}")
+            last = t
+        assert media.feature_string(samples) == ",".join(out)
+
+
 def test_peaks_of_a_tone():
     t = np.arange(media.FRAME * 6)
     tone = (128 + 100 * np.sin(2 * np.pi * 20 * t / media.FRAME)).astype(np.uint8)
@@ -679,3 +733,54 @@ def test_slabs_change_nothing(monkeypatch):
     whole = media.feature_string(samples)
     monkeypatch.setattr(media, "SLAB", 4096)
     assert media.feature_string(samples) == whole != ""
+
+
+# --- all operators ---
+
+
+def test_empty_tables(spark, tmp_path):
+    """Every operator gives an empty table, with its columns, for an empty one."""
+    docs = spark.createDataFrame([], "doc_id long, text string, n long")
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    token_files.write_token_files(docs, str(tmp_path / "t"), queries.byte_encoder(queries.tokenizer_path("byte_bpe_50k.json")))
+    made = [
+        simhash.near_duplicates(docs),
+        simhash.one_of_each(docs, **simhash.NEAR_COPIES),
+        packing.pack_documents(docs, queries.word_encoder(queries.tokenizer_path("word_bpe_49k.json"))),
+        token_files.read_token_files(spark, str(tmp_path / "t")),
+        pii.report(docs),
+        pii.redact(docs),
+        bpe.encode_documents(docs, queries.tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN),
+        lm.score_corpus(docs),
+        toxicity.score_documents(docs, toxicity.train(docs, labels)),
+        toxicity.without_toxic(docs, toxicity.train(docs, labels)),
+        winnow.fingerprint_with_next(docs),
+        media.media_features(media.to_media(docs)),
+    ]
+    assert all(m.isEmpty() and len(m.columns) >= 3 for m in made)
+
+
+#: The columns that each contract names.
+CONTRACT = {
+    "op1_simhash": "doc_id fingerprint component_id",
+    "op2_html": "page_id url text n_chars",
+    "op3_packing": "doc_id piece start length ids_crc32 sequence_id offset",
+    "op4_token_files": "doc_id start n_tokens ids_crc32",
+    "op5_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
+    "op6_byte_bpe": "doc_id n_tokens ids_sha256 decoded_sha256",
+    "op7_lm": "doc_id held_out n_tokens n_known train_tokens base_score score",
+    "op8_toxicity": "doc_id held_out score predicted",
+    "op9_winnowing": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
+    "op10_media": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature",
+}
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_queries(spark, sf_dir, name):
+    """Each registered query over its whole table: the contract's columns, and each row's id (packing: each piece's)."""
+    found = queries.QUERIES[name](spark, sf_dir)
+    assert found.columns[: len(CONTRACT[name].split())] == CONTRACT[name].split()
+    table, key = ("pages", "page_id") if name == "op2_html" else ("documents", "doc_id")
+    ids = [r[0] for r in spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key).collect()]
+    rows = found.filter("piece = 0") if name == "op3_packing" else found
+    assert Counter(r[0] for r in rows.select(key).collect()) == Counter(ids)
