@@ -82,6 +82,14 @@ def held_remainder(column: str, modulus: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % modulus
 
 
+def release() -> None:
+    """Give a worker's free memory back."""
+    pa.default_memory_pool().release_unused()
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidy(function: Callable) -> Callable:
     """function for mapInArrow; after a partition its worker gives free memory back, as idle workers stay beside busy ones."""
 
@@ -89,10 +97,7 @@ def tidy(function: Callable) -> Callable:
         try:
             yield from function(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            gc.collect()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL(None).malloc_trim(0)
+            release()
 
     return wrapped
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import batch, bound_batches, drop_path, materialize, scratch_path, tidy
+from scriptorium.llm.common import batch, bound_batches, drop_path, materialize, release, scratch_path, tidy
 
 SHINGLE = 3
 RADIUS = 3
@@ -41,6 +41,8 @@ SHARD_AIM = 2_048
 MAX_SHARDS = 1 << 16
 #: Shingles that a share of a group of candidates is meant to hold; a cell compares two shares.
 SHARE_SHINGLES = 500_000
+#: After a cell of more than so many bytes a worker gives free memory back.
+RELEASE_BYTES = 1 << 20
 #: Below so many fingerprints a shard's own tree compares all.
 LEAF = 192
 FAN = 8
@@ -437,7 +439,10 @@ def similar_groups(docs: DataFrame, words: int, share: tuple[int, int], share_sh
         once = list({fp: k for k, fp in enumerate(fps)}.values())  # rows may be repeated
         fps, column = [fps[k] for k in once], part.column("bytes")
         child, up = _tree(similar_roots([shingle_set(column[k].as_py(), words) for k in once], share))
-        return pa.table({"a": pa.array([fps[k] for k in up], pa.binary()), "b": pa.array([fps[k] for k in child], pa.binary())})
+        made = pa.table({"a": pa.array([fps[k] for k in up], pa.binary()), "b": pa.array([fps[k] for k in child], pa.binary())})
+        if part.nbytes > RELEASE_BYTES:
+            release()
+        return made
 
     similar = placed.groupBy("label", "way", "side").applyInArrow(exact, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     labels = components(thinned(materialize(similar, "similar")))

@@ -14,7 +14,6 @@ import string
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -329,8 +328,11 @@ def without_toxic(docs: DataFrame, field: Field) -> DataFrame:
     bound_batches(spark)
     model = spark.sparkContext.broadcast(field)
 
-    @F.pandas_udf("double")
-    def toxic_score(texts: pd.Series) -> pd.Series:
-        return pd.Series(score_texts(model.value, texts.tolist())[0], dtype=float)
+    at = docs.columns.index("text")
 
-    return docs.filter(toxic_score(F.coalesce(F.col("text"), F.lit(""))) < 0.5)
+    def mild(batches):
+        for b in batches:
+            texts = [t or "" for t in b.column(at).to_pylist()]
+            yield b.filter(pa.array([x < 0.5 for x in score_texts(model.value, texts)[0]], pa.bool_()))
+
+    return docs.mapInArrow(tidy(mild), docs.schema)
