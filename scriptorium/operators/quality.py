@@ -131,7 +131,8 @@ def loaded(payloads: DataFrame) -> DataFrame:
 def repaired(nodes: DataFrame, translations: DataFrame, passes: int = 2, keep=lambda df, _: df) -> tuple[DataFrame, DataFrame]:
     """translations (doc_id, id, translation, ord) and their report's issues after at most ``passes`` repairs of documents that have blocking issues.
 
-    ``keep`` (a DataFrame and a label to a DataFrame) may write what a pass made and read it again. Ends where a pass changes nothing.
+    ``keep`` (a DataFrame and a label to a DataFrame) should write what a pass made and read it again; without it each pass computes
+    all before it once more. Ends where a pass changes nothing.
     """
     originals = nodes.filter("segment_id is not null").select("doc_id", F.col("segment_id").alias("id"), "text")
     for turn in range(passes + 1):

@@ -321,11 +321,25 @@ def test_matches_of_any_script_and_alias(spark):
     assert glossary.matches(lines, terms.limit(0)).isEmpty()
 
 
-def test_report_and_repair(spark):
+@pytest.fixture
+def keep(spark, tmp_path):
+    """Writes what a step made and reads it again."""
+    kept = []
+
+    def keep(rows, label):
+        kept.append(label)
+        path = str(tmp_path / f"kept{len(kept)}")
+        rows.write.parquet(path)
+        return spark.read.parquet(path)
+
+    return keep
+
+
+def test_report_and_repair(spark, keep):
     tex = "\\begin{document}\nThe first paragraph is long enough to be translated~\\cite{a}.\n\nThe second paragraph is long enough to be translated.\n\\end{document}"
     nodes = segments.numbered(segments.paragraph_nodes(spark.createDataFrame([(1, tex)], "doc_id int, text string")))
     rows = spark.createDataFrame([(1, "seg-0001", "第一段 \\cite{...} 已经译好", 1), (1, "seg-0002", "第二段 \\item sep -1 已经译好", 1)], "doc_id int, id string, translation string, ord int")
-    final, found = quality.repaired(nodes, rows)
+    final, found = quality.repaired(keep(nodes, "nodes"), rows, keep=keep)
     assert {r.id: r.translation for r in final.collect()}["seg-0001"] == "第一段 \\cite{a} 已经译好"
     kinds = sorted((r.kind, r.source, r.segment_id, r.line is None) for r in found.collect())
     assert kinds == [("latex_control_word_split", "translated.tex", None, False), ("latex_control_word_split", "translations.jsonl", "seg-0002", True)]
@@ -358,20 +372,12 @@ def chinese():
     return model
 
 
-def test_flow(spark, tmp_path, chinese):
+def test_flow(spark, tmp_path, chinese, keep):
     from scriptorium.operators import flow
 
     (tmp_path / "p").mkdir()
     (tmp_path / "p/main.tex").write_text(ARTICLE)
     (tmp_path / "p/part.tex").write_text("A stubborn paragraph, which a model leaves in English once, has eighty letters and a few more than that.\n")
-    kept = []
-
-    def keep(rows, label):
-        kept.append(label)
-        path = str(tmp_path / f"kept{len(kept)}")
-        rows.write.parquet(path)
-        return spark.read.parquet(path)
-
     made = flow.run(sources.read_tex(spark, str(tmp_path)), chinese, keep=keep)
     text = made.sources.first().text
     assert "\\cite{a_b}" in text and "\\usepackage[UTF8]{ctex}" in text and "仪表盘设计" in text and "stubborn" not in text and "LATEX" not in text
