@@ -37,7 +37,7 @@ OFFENDING = 0.5
 _PUNCTUATION = string.punctuation.encode()
 _MASK = np.uint64(WEIGHTS - 1)
 #: Bytes of the beginnings of a word that are features.
-BEGINNINGS = (3, 4, 5, 6)
+BEGINNINGS = (4, 6, 7, 8)
 N_UNITS = 1 + len(BEGINNINGS)
 #: Odd multipliers that mix 64 bits.
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
