@@ -10,11 +10,14 @@ from scriptorium.session import ship
 
 
 def merged(spans: DataFrame) -> DataFrame:
-    """spans (doc_id, start, end) with those that overlap or touch made one; empty ones go."""
+    """spans (doc_id, start, end) with those that overlap or touch made one; empty ones go.
+
+    Equal spans open an island once; the running sum takes them together, so no order among them is relied on.
+    """
     order = Window.partitionBy("doc_id").orderBy("start", "end")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     opens = spans.filter("start < end").withColumn("opens", F.when(F.col("start") > before, 1).when(before.isNull(), 1).otherwise(0))
-    island = opens.withColumn("island", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    island = opens.withColumn("island", F.sum("opens").over(order.rangeBetween(Window.unboundedPreceding, 0)))
     return island.groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("doc_id", "start", "end")
 
 

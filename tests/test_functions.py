@@ -124,6 +124,15 @@ def test_spans(spark, first, second):
     assert cover(spans.subtracted(a, b).collect()) == sorted(points(first) - points(second))
 
 
+def test_equal_spans_leave_no_order_open(spark):
+    """Equal spans are one island, and the running sum takes them together: rows in any order give the same islands."""
+    rows = [(d, s, e) for d in range(40) for s, e in ((0, 3), (5, 9), (5, 9), (5, 9), (20, 25), (20, 25))]
+    found = spans.merged(spark.createDataFrame(rows, "doc_id int, start int, end int"))
+    assert sorted(map(tuple, found.collect())) == [(d, s, e) for d in range(40) for s, e in ((0, 3), (5, 9), (20, 25))]
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert "sum(opens" in plan and "RangeFrame, unboundedpreceding$(), currentrow$()" in plan
+
+
 def test_nodes_are_lossless(spark):
     texts = ["", "\n\nx", "a" * 50 + " word\n\n\n" + "short\n \n" + "more prose " * 9 + "\n", "one"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
