@@ -1,9 +1,10 @@
 """Language-model scoring: add-one word counts as the base, and a hashed maximum-entropy model with class-factored softmax.
 
-A word's probability is that of its class after the words before it, times its own within the class. Classes come from the whole
+A word's probability is that of its class after the words before it, times its own within the class, after the words before it too:
+a class's words are the leaves of a tree, and each node has a softmax over its children. Classes come from the whole
 corpus: every word's count is kept by the group of its document, which is the signs of a few random projections of the document's
 words; frequent words spread alike over groups fall into one cluster, and a word's class is its cluster and its band of frequency; rarer words are one class, the end of a text is one. The
-class softmax has n-gram and skip features in hashed rows of weights; every partition of the training rows runs through gradient
+class softmax and those of the nodes have n-gram and skip features in hashed rows of weights; every partition of the training rows runs through gradient
 steps from shared weights, and the weights are averaged by how often each row of them was used. Counts cover all training rows:
 only the HEAD most frequent words (bounded in number and length) go to all workers, the counts of the rest meet their texts in a join.
 """
@@ -36,6 +37,8 @@ RARE, END = N_CLASSES - 2, N_CLASSES - 1
 #: fewer; each doubling of the tokens doubles them, up to MOST_ROWS times as many (26 MB of weights).
 ROWS = (8192, 8192, 8192, 16384)
 ROW_TOKENS, MOST_ROWS = 1 << 26, 8
+#: Children of a node in a class's tree of words, at most, and rows of weights of all nodes (a quarter for each kind of feature; they double as ROWS do).
+FAN, FAN_ROWS = 16, 1 << 16
 RARE_CODES = 4096
 STEP_TOKENS = 32_768
 RATE = 0.15
@@ -155,6 +158,8 @@ class Model:
     """ids of head words; log10 of base probability and of the probability within its class of each id; classes of ids; weights.
 
     Id 0 is the end. n, v: tokens and types of training; rare_n, rare_v: those of words outside the head.
+    With a tree (see with_words): nodes on the way to each id (-1: none) and the child taken there; logarithms of the children's shares
+    of each node's counts; weights of nodes. Without one, words have their shares of the class.
     """
 
     ids: dict[bytes, int]
@@ -167,6 +172,10 @@ class Model:
     rare_v: int
     bias: np.ndarray
     weights: np.ndarray
+    nodes: np.ndarray | None = None
+    turns: np.ndarray | None = None
+    shares: np.ndarray | None = None
+    fan_weights: np.ndarray | None = None
 
     def codes(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.DictionaryArray]:
         """Codes of all texts' tokens, each text followed by its end; where texts end; the words (no ends) as a dictionary array.
@@ -185,9 +194,8 @@ class Model:
         out[inner] = own[words.indices.to_numpy()] if len(known) else 0
         return out, ends, words
 
-    def rows(self, codes: np.ndarray, place: np.ndarray, at: int = 0, to: int | None = None) -> np.ndarray:
-        """Rows of weights that hold at the tokens from at to to; place: each token's number in its text."""
-        to = len(codes) if to is None else to
+    def hashes(self, codes: np.ndarray, place: np.ndarray, at: int, to: int) -> list[np.ndarray]:
+        """A hash of 24 bits of each feature of the tokens from at to to; place: each token's number in its text."""
         before = []
         for k in (1, 2, 3):
             shifted = np.zeros(to - at, np.int64)
@@ -195,8 +203,13 @@ class Model:
             shifted[low - at :] = codes[low - k : to - k] + 1
             shifted[place[at:to] < k] = 0
             before.append(shifted.astype(np.uint64))
-        mixed = lambda h, salt: (h * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)
-        hashed = [mixed(h, k) for k, h in enumerate(before)] + [mixed(before[0] * np.uint64(1 << 20) + before[1], 3)]
+        return [_mixed(h, k) for k, h in enumerate(before)] + [_mixed(before[0] * np.uint64(1 << 20) + before[1], 3)]
+
+    def rows(self, codes: np.ndarray, place: np.ndarray, at: int = 0, to: int | None = None) -> np.ndarray:
+        """Rows of weights that hold at the tokens from at to to; place: each token's number in its text."""
+        return self.class_rows(self.hashes(codes, place, at, len(codes) if to is None else to))
+
+    def class_rows(self, hashed: list[np.ndarray]) -> np.ndarray:
         sizes = [n * (len(self.weights) // sum(ROWS)) for n in ROWS]
         first = np.cumsum((0, *sizes[:-1]))
         return np.stack([h.astype(np.int64) % n + a for h, n, a in zip(hashed, sizes, first, strict=True)], axis=1)
@@ -206,12 +219,41 @@ class Model:
 
     def class_logs(self, rows: np.ndarray) -> np.ndarray:
         """Natural logarithms of class probabilities (float32)."""
-        z = np.take(self.weights, rows[:, 0], axis=0, mode="clip")  # rows are in range; to clip is the fastest mode
-        z += self.bias
-        for k in range(1, rows.shape[1]):
-            z += np.take(self.weights, rows[:, k], axis=0, mode="clip")
-        z -= z.max(axis=1, keepdims=True)
-        return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+        return _softmax_logs(self.weights, rows, self.bias)
+
+    def ways(self, codes: np.ndarray, hashed: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The choices within classes that lead to codes: token, node, child taken and rows of the nodes' weights of each."""
+        path = self.nodes[np.minimum(codes, len(self.nodes) - 1)]
+        path[codes >= len(self.nodes)] = -1
+        token, level = np.nonzero(path >= 0)
+        node, each = path[token, level], len(self.fan_weights) // len(hashed)
+        rows = np.stack([_mixed((h[token] << np.uint64(20)) + node.astype(np.uint64), k).astype(np.int64) % each + k * each for k, h in enumerate(hashed)], axis=1)
+        return token, node, self.turns[codes[token], level], rows
+
+    def node_logs(self, node: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Natural logarithms of the probabilities of each node's children (float32)."""
+        return _softmax_logs(self.fan_weights, rows, np.take(self.shares, node, axis=0))
+
+    def within_logs(self, codes: np.ndarray, hashed: list[np.ndarray]) -> np.ndarray:
+        """Natural logarithms of head words' probabilities within their classes, after the words before them; 0 for other words."""
+        if self.nodes is None:
+            return np.where(codes < len(self.within), self.within[np.minimum(codes, len(self.within) - 1)], 0) * np.log(10)
+        token, node, turn, rows = self.ways(codes, hashed)
+        return np.bincount(token, self.node_logs(node, rows)[np.arange(len(turn)), turn], len(codes))
+
+
+def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
+    return (h * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)
+
+
+def _softmax_logs(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    z = np.take(weights, rows[:, 0], axis=0, mode="clip")  # rows are in range; to clip is the fastest mode
+    z += bias
+    for k in range(1, rows.shape[1]):
+        z += np.take(weights, rows[:, k], axis=0, mode="clip")
+    z -= z.max(axis=1, keepdims=True)
+    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+    return z
 
 
 def n_rows(tokens: int) -> int:
@@ -267,26 +309,72 @@ def build_model(counts: DataFrame, head: int = HEAD) -> Model:
     return Model(ids, np.log10((c + 1) / (n + v + 1)), within, classes, int(n), int(v), rare_n, rare_v, np.log((mass + 1) / (n + N_CLASSES)).astype(np.float32), np.zeros((n_rows(n), N_CLASSES), np.float32))
 
 
-def gradient_steps(model: Model, weights: np.ndarray, squares: np.ndarray, used: np.ndarray, codes: np.ndarray, ends: np.ndarray) -> None:
-    """Adaptive gradient steps over the tokens, STEP_TOKENS at a time; changes weights, squares and used."""
-    place, own = places(ends), replace(model, weights=weights)
-    for k in range(0, len(codes), STEP_TOKENS):
-        t = model.targets(codes[k : k + STEP_TOKENS])
-        r = model.rows(codes, place, k, k + len(t))
-        slope = -np.exp(own.class_logs(r))
-        slope[np.arange(len(t)), t] += 1
-        for column in r.T:  # sums by row of weights: numbers that hold row and place sort faster than places by row
+def with_words(model: Model) -> Model:
+    """model with a tree for each class, whose words lie in it by frequency, and weights 0: words have their shares of the class until it is trained."""
+    ids, share = len(model.classes), 10.0**model.within
+    depth = 1
+    while FAN**depth < ids:
+        depth += 1
+    nodes, turns = np.full((ids, depth), -1, np.int64), np.zeros((ids, depth), np.int64)
+    tables, n = [np.ones((0, FAN))], 0
+    for k in np.unique(model.classes).tolist():
+        own = np.flatnonzero(model.classes == k)
+        size = 1
+        while size < len(own):
+            size *= FAN
+        for level in range(depth):
+            size //= FAN
+            if not size:
+                break
+            child = np.arange(len(own)) // size
+            node = child // FAN
+            choice = child[np.searchsorted(node, node, side="right") - 1] > node * FAN  # a node with one child decides nothing
+            nodes[own[choice], level], turns[own, level] = n + node[choice], child % FAN
+            tables.append(np.bincount(child, share[own], (node[-1] + 1) * FAN).reshape(-1, FAN))
+            n += len(tables[-1])
+    mass = np.concatenate(tables)
+    with np.errstate(divide="ignore"):
+        shares = np.maximum(np.log(mass) - np.log(mass.sum(axis=1, keepdims=True)), -1e4).astype(np.float32)  # -1e4: no such child
+    return replace(model, nodes=nodes, turns=turns, shares=shares, fan_weights=np.zeros((FAN_ROWS * (len(model.weights) // sum(ROWS)), FAN), np.float32))
+
+
+class _Steps:
+    """Weights that change by adaptive gradient steps, and how often each row of them was used."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights, self.squares, self.used = weights.copy(), np.zeros_like(weights), np.zeros(len(weights), np.int64)
+
+    def add(self, rows: np.ndarray, slope: np.ndarray) -> None:
+        """One step from the slopes of softmaxes whose weights are in rows."""
+        for column in rows.T if len(rows) else ():  # sums by row of weights: numbers that hold row and place sort faster than places by row
             both = np.sort(column << 20 | np.arange(len(column)))
             row, order = both >> 20, both & ((1 << 20) - 1)
             first = np.flatnonzero(np.diff(row, prepend=-1))
             touched = row[first]
             g = np.add.reduceat(np.take(slope, order, axis=0, mode="clip"), first, axis=0)
             n = np.diff(np.append(first, len(order)))
-            used[touched] += n
+            self.used[touched] += n
             g /= np.sqrt(n, dtype=np.float32)[:, None]
-            grown = squares[touched] + g * g
-            squares[touched] = grown
-            weights[touched] += np.float32(RATE) * g / np.sqrt(grown + np.float32(1))
+            grown = self.squares[touched] + g * g
+            self.squares[touched] = grown
+            self.weights[touched] += np.float32(RATE) * g / np.sqrt(grown + np.float32(1))
+
+
+def gradient_steps(model: Model, outer: _Steps, inner: _Steps | None, codes: np.ndarray, ends: np.ndarray) -> None:
+    """Adaptive gradient steps over the tokens, STEP_TOKENS at a time: of the class softmax (outer) and of the nodes' (inner)."""
+    place, own = places(ends), replace(model, weights=outer.weights, fan_weights=inner and inner.weights)
+    for k in range(0, len(codes), STEP_TOKENS):
+        part = codes[k : k + STEP_TOKENS]
+        t, hashed = model.targets(part), model.hashes(codes, place, k, k + len(part))
+        r = model.class_rows(hashed)
+        slope = -np.exp(own.class_logs(r))
+        slope[np.arange(len(t)), t] += 1
+        outer.add(r, slope)
+        if inner:
+            _, node, turn, r = own.ways(part, hashed)
+            slope = -np.exp(own.node_logs(node, r))
+            slope[np.arange(len(turn)), turn] += 1
+            inner.add(r, slope)
 
 
 _SHARE = pa.schema([("block", pa.int32()), ("used", pa.binary()), ("sums", pa.binary())])
@@ -301,32 +389,37 @@ def train(docs: DataFrame, model: Model, epochs: int = 1) -> Model:
 
         def steps(batches, shared=shared):
             model = shared.value
-            weights, squares, used = model.weights.copy(), np.zeros_like(model.weights), np.zeros(len(model.weights), np.int64)
+            outer, inner = _Steps(model.weights), None if model.nodes is None else _Steps(model.fan_weights)
             for b in batches:
                 for slab in slabs(b, 0):
-                    gradient_steps(model, weights, squares, used, *model.codes(slab.column(0).to_pylist())[:2])
-            if used.any():
-                sums = (weights * used[:, None]).astype(np.float32)
-                cut = range(0, len(weights), BLOCK)
-                yield batch(_SHARE, [[a // BLOCK for a in cut], [used[a : a + BLOCK].tobytes() for a in cut], [sums[a : a + BLOCK].tobytes() for a in cut]])
+                    gradient_steps(model, outer, inner, *model.codes(slab.column(0).to_pylist())[:2])
+            before = 0
+            for own in (outer, inner):
+                for a in range(0, len(own.used) if own else 0, BLOCK):
+                    if (used := own.used[a : a + BLOCK]).any():
+                        yield batch(_SHARE, [[before + a // BLOCK], [used.tobytes()], [(own.weights[a : a + BLOCK] * used[:, None]).astype(np.float32).tobytes()]])
+                before += -(-len(own.used) // BLOCK) if own else 0
 
         def added(batches):
             """Running sums by block: as much memory as the weights of these blocks, however many partitions there are."""
-            uses, sums = defaultdict(lambda: np.zeros(BLOCK, np.int64)), defaultdict(lambda: np.zeros(BLOCK * N_CLASSES))
+            uses, sums = defaultdict(lambda: np.zeros(BLOCK, np.int64)), {}
             for b in batches:
                 for k, u, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     uses[k] += np.frombuffer(u, np.int64)
-                    sums[k] += np.frombuffer(s, np.float32)
+                    s = np.frombuffer(s, np.float32)
+                    sums[k] = sums[k] + s if k in sums else s.astype(np.float64)
             if uses:
                 yield batch(_SHARE, [list(uses), [uses[k].tobytes() for k in uses], [sums[k].astype(np.float32).tobytes() for k in uses]])
 
         ddl = "block int, used binary, sums binary"
         found = rows.mapInArrow(tidy(steps), ddl).repartition("block").mapInArrow(tidy(added), ddl).collect()  # the rows of weights, once
-        weights = np.zeros_like(model.weights)
+        weights, fan = np.zeros_like(model.weights), None if model.nodes is None else np.zeros_like(model.fan_weights)
+        first = len(weights) // BLOCK
         for r in found:
+            of, block = (weights, r.block) if r.block < first else (fan, r.block - first)
             used = np.frombuffer(r.used, np.int64)
-            weights[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.sums, np.float32).reshape(BLOCK, N_CLASSES) / np.maximum(used, 1)[:, None]
-        model = replace(model, weights=weights)
+            of[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(r.sums, np.float32).reshape(BLOCK, -1) / np.maximum(used, 1)[:, None]
+        model = replace(model, weights=weights, fan_weights=fan)
     return model
 
 
@@ -350,11 +443,12 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
             codes, ends, words = model.codes(b.column(2).to_pylist())
             place, logs = places(ends), np.empty(len(codes))
             for k in range(0, len(codes), STEP_TOKENS):
-                target = model.targets(codes[k : k + STEP_TOKENS])
-                logs[k : k + len(target)] = model.class_logs(model.rows(codes, place, k, k + len(target)))[np.arange(len(target)), target]
+                part = codes[k : k + STEP_TOKENS]
+                target, hashed = model.targets(part), model.hashes(codes, place, k, k + len(part))
+                logs[k : k + len(part)] = model.class_logs(model.class_rows(hashed))[np.arange(len(part)), target] + model.within_logs(part, hashed)
             head = codes < len(model.base)
             at = np.minimum(codes, len(model.base) - 1)
-            total = np.add.reduceat(np.stack((np.where(head, model.base[at], 0), logs / np.log(10) + np.where(head, model.within[at], 0), head), axis=1), np.concatenate(([0], ends[:-1])), axis=0)
+            total = np.add.reduceat(np.stack((np.where(head, model.base[at], 0), logs / np.log(10), head), axis=1), np.concatenate(([0], ends[:-1])), axis=0)
             sizes = np.diff(ends, prepend=0)
             whole = [names, own, [b" %d" % r for r in own], np.zeros(len(own), np.int64), np.ones(len(own), np.int64), sizes, total[:, 2].astype(np.int64) - 1 + end_known, total[:, 0], total[:, 1]]
             yield batch(_SCORES, whole)
@@ -390,4 +484,4 @@ def score_corpus(docs: DataFrame, head: int = HEAD) -> DataFrame:
     """Learn from the training rows of docs and score all of them: see score()."""
     bound_batches(docs.sparkSession, TOKEN_ROWS)
     counts = materialize(count_words(docs), "counts")
-    return score(docs, counts, train(docs, build_model(counts, head)))
+    return score(docs, counts, train(docs, with_words(build_model(counts, head))))

@@ -481,6 +481,52 @@ def test_scores_by_brute_force(spark):
     assert np.allclose([found[k] for k in range(len(texts))], [brute(t) for t in texts], rtol=1e-4)
 
 
+def test_words_within_classes_by_brute_force(spark, monkeypatch):
+    """Of any context all head words of a class sum to one; they depend on the words before; a score is the sum of all choices, by loops."""
+    monkeypatch.setattr(lm, "FAN", 3)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(x for k in rng.integers(0, 60, n) for x in (f"a{k}", f"b{k}")) for n in rng.integers(0, 60, 80)] + ["", "A1 b1 unseen"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = lm.count_words(docs).cache()
+    plain = lm.build_model(counts, 200)
+    fresh = lm.with_words(plain)
+    codes, ends, _ = plain.codes([t.encode() for t in texts])
+    none = [np.zeros(len(codes), np.uint64)] * 4
+    assert np.allclose(fresh.within_logs(codes, none), plain.within_logs(codes, none), atol=1e-4)
+    model = lm.train(docs, fresh)
+    assert model.fan_weights.any() and len(model.ids) > 100
+    every = np.arange(len(model.classes))
+    seen = []
+    for before in ("", "a1", "a2", "b7 a7"):
+        words, ends, _ = model.codes([before.encode()])
+        hashed = [np.repeat(h[-1:], len(every)) for h in model.hashes(words, lm.places(ends), 0, len(words))]
+        p = np.exp(model.within_logs(every, hashed))
+        assert np.allclose([p[model.classes == k].sum() for k in np.unique(model.classes)], 1, atol=1e-4)
+        seen.append(p)
+    assert not np.allclose(seen[0], seen[1], atol=1e-3) and not np.allclose(seen[1], seen[2], atol=1e-3)
+    count = {bytes(r.word): r.c for r in counts.collect()}
+    salted = lambda h, salt: (h * 0x9E3779B97F4A7C15 + salt) * 0xD6E8FEB86659FD93 % (1 << 64) >> 40
+
+    def brute(text):
+        words, (own, ends, _) = [*text.lower().encode().split(), b""], model.codes([text.encode()])
+        hashed = model.hashes(own, lm.places(ends), 0, len(own))
+        classes = model.class_logs(model.class_rows(hashed)).astype(float)
+        total, each = 0.0, len(model.fan_weights) // 4
+        for i, (w, code) in enumerate(zip(words, own.tolist(), strict=True)):
+            total += classes[i, model.classes[code] if code < len(model.base) else lm.RARE]
+            if code >= len(model.base):
+                total += math.log((count.get(w, 0) + 1) / (model.rare_n + model.rare_v + 1))
+                continue
+            for node, turn in zip(model.nodes[code].tolist(), model.turns[code].tolist(), strict=True):
+                if node >= 0:
+                    z = model.shares[node].astype(float) + sum(model.fan_weights[salted((int(h[i]) << 20) + node, k) % each + k * each].astype(float) for k, h in enumerate(hashed))
+                    total += z[turn] - math.log(np.exp(z).sum())
+        return total / math.log(10)
+
+    found = {r.doc_id: r.score for r in lm.score(docs, counts, model).collect()}
+    assert np.allclose([found[k] for k in range(len(texts))], [brute(t) for t in texts], rtol=1e-4)
+
+
 def test_class_probabilities_sum_to_one():
     model = lm.Model({b"a": 1}, np.zeros(2), np.zeros(2), np.array([lm.END, 0]), 2, 2, 0, 0, np.zeros(lm.N_CLASSES, np.float32), np.random.default_rng(0).normal(size=(lm.n_rows(2), lm.N_CLASSES)).astype(np.float32))
     codes, ends, words = model.codes([b"A\t zz", b""])
