@@ -9,8 +9,8 @@ second tree finds the candidates, whose whole distance is then taken. The sample
 which links are found. A shard that holds more than SHARD_ROWS is dealt by hash into a grid of cells, each of which compares
 a share of the askers with a share of those at home.
 
-``one_of_each`` needs links at a similarity that distances of fingerprints don't tell sharply. It takes candidates by bands of
-min-wise hashes and then the exact similarity of the shingle sets among them.
+``one_of_each`` needs links at a similarity that distances of fingerprints don't tell sharply. Its candidates come from the same search
+over fingerprints of LANES lanes in many short blocks, then the exact similarity of the shingle sets decides among them.
 """
 
 from __future__ import annotations
@@ -31,8 +31,11 @@ BLOCKS = 2
 SEED = 42
 #: Near copies: sets of five-word shingles whose Jaccard similarity is at least share, as a fraction.
 NEAR_COPIES = {"words": 5, "share": (4, 5)}
-#: Sets become candidates if one of BANDS bands of BAND_ROWS min-wise hashes is equal: a pair at 0.8 is missed 7 times in 100,000.
-BANDS, BAND_ROWS = 24, 5
+#: Sets become candidates if their wide fingerprints differ in WIDE_RADIUS bits at most in one of WIDE_BLOCKS blocks (21 or 22 bits each), and in
+#: NEAR_CHECK at most of the 128 bits of the next two lanes: at 0.8, where 15 of 100 bits differ, no block is that near 8 times in 100,000.
+LANES, WIDE_BLOCKS, WIDE_RADIUS, NEAR_CHECK = 20, 60, 1, 40
+#: Fingerprints that a shard of a wide block is meant to hold, and rows of one from which it becomes a grid of cells.
+WIDE_SHARD, WIDE_ROWS = 1 << 18, 1 << 20
 #: Least size of the trees' sample, and its size for each shard.
 SAMPLE, SAMPLE_EACH = 20_000, 8
 SHARD_ROWS = 8_192
@@ -220,6 +223,24 @@ def thinned(edges: DataFrame) -> DataFrame:
     return edges.repartition(parts).mapInArrow(tidy(forest), "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _cells(placed: DataFrame, most: int) -> DataFrame:
+    """Rows (block, shard, fp, home, ...) with way, side and asks instead of home: every asker meets every one at home in one cell.
+
+    Every shard is a grid of cells: ways askers by sides at home, one by one unless it holds more than most.
+    """
+    sizes = placed.groupBy("block", "shard").agg(F.count("*").alias("n"), F.count_if("home").alias("m"))
+    big = sizes.filter((F.col("n") > most) | (F.col("m") > most)).select("block", "shard", F.ceil(F.col("n") / most).cast("int").alias("ways"), F.ceil(F.col("m") / most).cast("int").alias("sides"))
+    grid = placed.join(F.broadcast(big), ["block", "shard"], "left")  # at most blocks * MAX_SHARDS rows
+    one = lambda c: F.coalesce(c, F.lit(1))
+    ways, sides = one(F.col("ways")), F.greatest(F.lit(1), one(F.col("sides")))
+    way, side = F.pmod(F.xxhash64("fp"), ways).cast("int"), F.pmod(F.xxhash64("fp", F.lit(1)), sides).cast("int")
+    to = lambda n, at, asks: F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(at(k)[0].alias("way"), at(k)[1].alias("side"), F.lit(asks).alias("asks")))
+    asks = to(sides, lambda k: (way, k), True)
+    lives = to(ways, lambda k: (k, side), False)
+    kept = [c for c in placed.columns if c != "home"]
+    return grid.select(*kept, F.explode(F.concat(asks, F.when(F.col("home"), lives).otherwise(F.array().cast("array<struct<way:int,side:int,asks:boolean>>")))).alias("c")).select(*kept, "c.*")
+
+
 def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, block_radius: int | None = None) -> DataFrame:
     """Links (a, b) between different fingerprints of distinct (fp) that join all that link, directly or through others.
 
@@ -247,17 +268,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, block
                 yield batch(asked, [np.full(len(at), k, np.int32), shard.astype(np.int32), b.column(0).take(pa.array(at)), home[at] == shard])
 
     placed = materialize(distinct.mapInArrow(tidy(ask), "block int, shard int, fp binary, home boolean"), "asked")
-    # Every shard is a grid of cells: ways askers by sides at home, one by one unless it holds too many.
-    sizes = placed.groupBy("block", "shard").agg(F.count("*").alias("n"), F.count_if("home").alias("m"))
-    big = sizes.filter((F.col("n") > SHARD_ROWS) | (F.col("m") > SHARD_ROWS)).select("block", "shard", F.ceil(F.col("n") / SHARD_ROWS).cast("int").alias("ways"), F.ceil(F.col("m") / SHARD_ROWS).cast("int").alias("sides"))
-    grid = placed.join(F.broadcast(big), ["block", "shard"], "left")  # at most blocks * MAX_SHARDS rows
-    one = lambda c: F.coalesce(c, F.lit(1))
-    ways, sides = one(F.col("ways")), F.greatest(F.lit(1), one(F.col("sides")))
-    way, side = F.pmod(F.xxhash64("fp"), ways).cast("int"), F.pmod(F.xxhash64("fp", F.lit(1)), sides).cast("int")
-    to = lambda n, at, asks: F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(at(k)[0].alias("way"), at(k)[1].alias("side"), F.lit(asks).alias("asks")))
-    asks = to(sides, lambda k: (way, k), True)
-    lives = to(ways, lambda k: (k, side), False)
-    cells = grid.select("block", "shard", "fp", F.explode(F.concat(asks, F.when(F.col("home"), lives).otherwise(F.array().cast("array<struct<way:int,side:int,asks:boolean>>")))).alias("c")).select("block", "shard", "fp", "c.*")
+    cells = _cells(placed, SHARD_ROWS)
 
     def in_cell(pdf):
         import pandas as pd
@@ -339,17 +350,66 @@ def shingle_set(text: bytes, words: int) -> np.ndarray:
     return np.unique(np.fromiter((hash_of(line[a:b], SEED) for a, b in zip(starts, ends, strict=True)), np.uint64, len(starts)))
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """One key (int64) a band: sets with equal min-wise hashes in all rows of a band share it."""
-    odd = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    least = np.full(len(odd), np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(shingles), 4096):
-        np.minimum(least, (shingles[k : k + 4096, None] * odd).min(axis=0), out=least)
-    keys = np.zeros(BANDS, np.uint64)
-    for row in least.reshape(BANDS, BAND_ROWS).T:
-        keys = (keys ^ row) * np.uint64(0xD6E8FEB86659FD93)
-        keys ^= keys >> np.uint64(32)
-    return keys.view(np.int64)
+_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def wide_simhash(shingles: np.ndarray) -> bytes:
+    """The fingerprint of LANES lanes of a set of hashes: a bit where over half the hashes have it in that lane."""
+    ones = np.zeros(LANES * 64, np.int64)
+    for k in range(0, len(shingles), 255):  # so many ones fit a byte
+        h = shingles[k : k + 255, None] * _ODD
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+        ones += np.unpackbits(h.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(shingles)).tobytes()
+
+
+def wide_links(nodes: DataFrame) -> DataFrame:
+    """Links (a, b) between the first eight bytes of fp of nodes (fp, sim), which join all whose wide fingerprints sim are candidates.
+
+    As links, but a row carries its block, a check of two lanes and eight bytes of its name rather than the whole fingerprint.
+    """
+    n = nodes.count()
+    shards = min(MAX_SHARDS, max(1, n // WIDE_SHARD))
+    part = 0 if shards == 1 else min(1.0, 256 * shards / n)
+    drawn = nodes.filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(part * (1 << 30))).select("sim") if part else None  # one shard needs no tree
+    sample = unpacked(sorted(bytes(r.sim) for r in drawn.collect())) if part else np.zeros((0, LANES), np.uint64)
+    rng = np.random.default_rng(SEED)
+    trees = [ShardTree(np.sort(block_bits(sample, k, WIDE_BLOCKS)), shards, rng) for k in range(WIDE_BLOCKS)]
+    asked = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("fp", pa.int64()), ("bits", pa.int64()), ("check0", pa.int64()), ("check1", pa.int64()), ("home", pa.bool_())])
+
+    def ask(batches):
+        for b in batches:
+            values = unpacked(b.column(1).to_pylist())
+            name = np.array([int.from_bytes(x[:8], "big", signed=True) for x in b.column(0).to_pylist()], np.int64)
+            for k, tree in enumerate(trees if len(name) else []):
+                own, lane = block_bits(values, k, WIDE_BLOCKS), k * LANES // WIDE_BLOCKS
+                at, shard = tree.reach(own, WIDE_RADIUS)
+                home = np.zeros(len(values), np.int64)
+                here, lives = tree.reach(own, 0)
+                home[here] = lives
+                checks = [values[at, (lane + x) % LANES].view(np.int64) for x in (1, 2)]
+                yield batch(asked, [np.full(len(at), k, np.int32), shard.astype(np.int32), name[at], own[at].astype(np.int64), *checks, home[at] == shard])
+
+    ddl = "block int, shard int, fp long, bits long, check0 long, check1 long, home boolean"
+    cells = _cells(nodes.select("fp", "sim").mapInArrow(tidy(ask), ddl), WIDE_ROWS)
+
+    def in_cell(part: pa.Table) -> pa.Table:
+        name, bits, *checks = (part.column(c).to_numpy() for c in ("fp", "bits", "check0", "check1"))
+        asks = part.column("asks").to_numpy()
+        bits, check = bits.astype(np.uint64), np.stack(checks, axis=1).view(np.uint64)
+        home, asking = np.flatnonzero(~asks), np.flatnonzero(asks)
+        known, first, at = np.unique(name, return_index=True, return_inverse=True)
+        pairs = ((at[asking[x]], at[home[y]]) for x, y in near_pairs(bits[home], bits[asking], WIDE_RADIUS, np.random.default_rng(SEED)))
+        child, up = _tree(roots_within(check[first], NEAR_CHECK, pairs))
+        made = pa.table({c: pa.array([x.to_bytes(8, "big", signed=True) for x in known[at].tolist()], pa.binary()) for c, at in (("a", child), ("b", up))})
+        if part.nbytes > RELEASE_BYTES:
+            release()
+        return made
+
+    found = cells.groupBy("block", "shard", "way", "side").applyInArrow(in_cell, "a binary, b binary")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def similar_roots(sets: list[np.ndarray], share: tuple[int, int]) -> np.ndarray:
@@ -403,27 +463,25 @@ def similar_roots(sets: list[np.ndarray], share: tuple[int, int]) -> np.ndarray:
 def similar_groups(docs: DataFrame, words: int, share: tuple[int, int], share_shingles: int = SHARE_SHINGLES) -> DataFrame:
     """As groups, but rows are linked where the Jaccard similarity of their shingle sets is at least share.
 
-    Rows of equal sets are one node. Candidates are nodes that bands join, directly or through others. A group of them is dealt by
+    Rows of equal sets are one node. Candidates are nodes that wide fingerprints join (see wide_links), directly or through others. A group of them is dealt by
     hash into shares of about ``share_shingles`` shingles; each cell compares two shares (one, where there is no other), so that
     every two candidates meet, and sends a tree of links for each component it finds.
     """
     bound_batches(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("fp", pa.binary()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("fp", pa.binary()), ("size", pa.int64()), ("sim", pa.binary())])
 
     def hashed_rows(batches):
         for b in batches:
             sets = [shingle_set(x, words) for x in b.column(2).to_pylist()]
-            yield batch(schema, [b.column(0), b.column(1), [xxhash.xxh3_128_digest(x.tobytes()) for x in sets], [*map(len, sets)], [band_keys(x) for x in sets]])
+            yield batch(schema, [b.column(0), b.column(1), [xxhash.xxh3_128_digest(x.tobytes()) for x in sets], [*map(len, sets)], [wide_simhash(x) for x in sets]])
 
     text = F.coalesce("text", F.lit(""))
     named = docs.select("doc_id", F.xxhash64(text).alias("row"), text.cast("binary").alias("bytes"))
-    hashed = materialize(named.mapInArrow(tidy(hashed_rows), "doc_id long, row long, fp binary, size long, bands array<long>"), "sets")
+    hashed = materialize(named.mapInArrow(tidy(hashed_rows), "doc_id long, row long, fp binary, size long, sim binary"), "sets")
     first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")
-    nodes = materialize(hashed.groupBy("fp").agg(F.min(first).alias("least"), F.min("size").alias("size"), F.min("bands").alias("bands")), "nodes")
-    keys = nodes.select("fp", F.posexplode("bands").alias("band", "key"))
-    met = keys.groupBy("band", "key").agg(F.min("fp").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    edges = keys.join(met, ["band", "key"]).filter("fp != b").select(F.col("b").alias("a"), F.col("fp").alias("b")).distinct()
-    candidates = materialize(nodes.join(components(thinned(materialize(edges, "links"))), "fp"), "candidates")
+    nodes = materialize(hashed.groupBy("fp").agg(F.min(first).alias("least"), F.min("size").alias("size"), F.min("sim").alias("sim")), "nodes")
+    joined = components(thinned(materialize(wide_links(nodes), "links"))).withColumnRenamed("fp", "name")
+    candidates = materialize(nodes.drop("sim").withColumn("name", F.substring("fp", 1, 8)).join(joined, "name").drop("name"), "candidates")
     large = candidates.groupBy("label").agg(F.ceil(F.sum("size") / share_shingles).cast("int").alias("shares")).filter("shares > 1")
     own = F.pmod(F.xxhash64("fp"), F.col("shares")).cast("int")
     pair = lambda k: F.struct(F.least(own, k).alias("way"), F.greatest(own, k).alias("side"))
@@ -449,7 +507,7 @@ def similar_groups(docs: DataFrame, words: int, share: tuple[int, int], share_sh
     tagged = nodes.join(labels, "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     of = tagged.groupBy("label").agg(F.min("least").alias("of"))
     known = materialize(tagged.join(of, "label").select("fp", F.col("of.doc_id").alias("least_id"), F.col("of.row").alias("least_row")), "components")
-    return hashed.drop("bands", "size").join(known, "fp")
+    return hashed.drop("sim", "size").join(known, "fp")
 
 
 def one_of_each(docs: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:

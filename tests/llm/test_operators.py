@@ -134,6 +134,37 @@ def test_one_of_each_is_exact_at_the_bound(spark):
     assert kept == {2 * k for k in alike} | {2 * k + 1 for k in alike if not alike[k]} and len(set(alike.values())) == 2
 
 
+@pytest.mark.parametrize(("shard", "rows"), [(1 << 18, 1 << 20), (40, 30)])
+def test_wide_links(spark, monkeypatch, shard, rows):
+    """Candidates by wide fingerprints are all that brute force finds, in one cell a block as in many shards and cells."""
+    monkeypatch.setattr(simhash, "WIDE_SHARD", shard)
+    monkeypatch.setattr(simhash, "WIDE_ROWS", rows)
+    rng = np.random.default_rng(3)
+    sets = []
+    for _ in range(40):
+        own = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+        for cut in (0, 4, 7, 30):
+            sets.append(np.unique(np.concatenate((own[cut:], rng.integers(0, 1 << 63, cut, dtype=np.uint64)))))
+    fps, sims = [k.to_bytes(8, "big") + bytes(8) for k in range(len(sets))], [simhash.wide_simhash(x) for x in sets]
+    values = simhash.unpacked(sims)
+    blocks = np.stack([simhash.block_bits(values, k, simhash.WIDE_BLOCKS) for k in range(simhash.WIDE_BLOCKS)], axis=1)
+    lane = np.arange(simhash.WIDE_BLOCKS) * simhash.LANES // simhash.WIDE_BLOCKS
+    root = list(range(len(sets)))
+    for a in range(len(sets)):
+        near = np.bitwise_count(blocks[a] ^ blocks) <= simhash.WIDE_RADIUS
+        far = np.bitwise_count(values[a] ^ values).astype(int)
+        near &= far[:, (lane + 1) % simhash.LANES] + far[:, (lane + 2) % simhash.LANES] <= simhash.NEAR_CHECK
+        for b in np.flatnonzero(near.any(axis=1)).tolist():
+            root = [root[a] if r == root[b] else r for r in root]
+    frame = spark.createDataFrame(list(zip(map(bytearray, fps), map(bytearray, sims), strict=True)), "fp binary, sim binary")
+    found = list(range(len(sets)))
+    for r in simhash.wide_links(frame).collect():
+        a, b = int.from_bytes(r.a, "big"), int.from_bytes(r.b, "big")
+        found = [found[a] if x == found[b] else x for x in found]
+    parts = lambda of: {frozenset(k for k, r in enumerate(of) if r == one) for one in set(of)}
+    assert parts(found) == parts(root) and 40 <= len(parts(root)) < 120
+
+
 # --- pages ---
 
 
