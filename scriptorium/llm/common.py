@@ -60,11 +60,6 @@ def _file_system(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    fs, at = _file_system(spark, path)
-    fs.delete(at, True)
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: later jobs neither compute it again nor depend on lost executors."""
     path = scratch_path(df.sparkSession, label)

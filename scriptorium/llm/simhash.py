@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import batch, bound_batches, drop_path, materialize, release, scratch_path, tidy
+from scriptorium.llm.common import batch, bound_batches, materialize, release, tidy
 
 SHINGLE = 3
 RADIUS = 3
@@ -291,27 +291,25 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, block
 def components(edges: DataFrame) -> DataFrame:
     """fp and label (the least fp of its component) of every end of edges (a, b).
 
-    Each round takes the least label of the neighbours, then the label's own label, so that chains shorten by halves; rounds go
-    through tables in the shared folder, and only how many labels changed comes to the driver.
+    In each round every end takes its least neighbour, then that one's, and links move to what their ends have taken: those that
+    come to equal ends go, equal ones become one. What ends have taken is linked as they were, so the labels of the links that are left
+    are theirs too. A link meets labels once rather than in every round; rounds go through tables in the shared folder.
     """
     spark = edges.sparkSession
-    both = materialize(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    labels, previous = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("fp"), F.least("a", "m").alias("label")), None
-    path = scratch_path(spark, "labels")
-    labels.write.parquet(path)
-    while True:
-        labels = spark.read.schema("fp binary, label binary").parquet(path)
-        near = both.join(labels.select(F.col("fp").alias("b"), F.col("label").alias("near")), "b").groupBy("a").agg(F.min("near").alias("near"))
-        low = labels.join(near.withColumnRenamed("a", "fp"), "fp").select("fp", F.least("label", "near").alias("low"), "label")
-        jump = labels.select(F.col("fp").alias("low"), F.col("label").alias("above"))
-        stepped = low.join(jump, "low").select("fp", F.least("low", "above").alias("label"), (F.least("low", "above") != F.col("label")).cast("long").alias("moved"))
-        following = scratch_path(spark, "labels")
-        stepped.write.parquet(following)
-        moved = spark.read.parquet(following).agg(F.sum("moved")).first()[0]
-        previous, path = path, following
-        drop_path(spark, previous)
-        if not moved:
-            return spark.read.schema("fp binary, label binary").parquet(path)
+    left, taken = materialize(edges.select("a", "b"), "edges"), []
+    while not taken or not left.isEmpty():
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("fp"), F.least("a", "m").alias("low")), "least")
+        jump = least.select(F.col("fp").alias("low"), F.col("low").alias("label"))
+        labels = materialize(least.join(jump, "low").select("fp", "label"), "labels")
+        taken.append(labels)
+        end = lambda c, to, labels=labels: labels.select(F.col("fp").alias(c), F.col("label").alias(to))
+        moved = left.join(end("a", "x"), "a").join(end("b", "y"), "b").filter("x != y")
+        left = materialize(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+    found = taken.pop()
+    while taken:
+        found = taken.pop().join(found.select(F.col("fp").alias("label"), F.col("label").alias("last")), "label", "left").select("fp", F.coalesce("last", "label").alias("label"))
+    return materialize(found, "labels")
 
 
 def groups(docs: DataFrame, words: int = SHINGLE, lanes: int = 1, radius: int = RADIUS, blocks: int = BLOCKS, block_radius: int | None = None) -> DataFrame:

@@ -86,6 +86,37 @@ def test_near_pairs_are_whole():
     assert found == {(a, b) for a, b in zip(*np.nonzero(np.bitwise_count(home[:, None] ^ home) <= 3), strict=True)}
 
 
+def rows_of_joins(spark, since: int) -> int:
+    """Rows that joins made in all executions after the first ``since``."""
+    store, total = spark._jsparkSession.sharedState().statusStore(), 0
+    runs = store.executionsList().iterator()
+    while runs.hasNext():
+        k = runs.next().executionId()
+        values, nodes = (store.executionMetrics(k), store.planGraph(k).allNodes().iterator()) if k >= since else ({}, None)
+        while nodes and nodes.hasNext():
+            node = nodes.next()
+            metrics = node.metrics().iterator() if "Join" in node.name() else None
+            while metrics and metrics.hasNext():
+                if (m := metrics.next()).name() == "number of output rows" and (v := values.get(m.accumulatorId())).isDefined():
+                    total += int(v.get().replace(",", ""))
+    return total
+
+
+def test_links_meet_labels_once(spark):
+    """Many links within one large group, as each block gives its own, beside a chain, pairs and a loop: least labels; links aren't joined again in every round."""
+    rng = np.random.default_rng(6)
+    links = {(int(a), int(b)) for _ in range(15) for order in [rng.permutation(800)] for a, b in zip(order[1:], order[(np.arange(799) // 8)], strict=True)}
+    links |= {(3000 + int(a), 3000 + int(b)) for order in [rng.permutation(40)] for a, b in zip(order, order[1:], strict=False)} | {(4000 + k, 4000 + k + 1) for k in range(0, 40, 2)} | {(5000, 5000)}
+    name = lambda k: bytearray(k.to_bytes(8, "big"))
+    edges = spark.createDataFrame([(name(min(e)), name(max(e))) for e in links], "a binary, b binary").cache()
+    edges.count()
+    since = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    found = {int.from_bytes(r.fp, "big"): int.from_bytes(r.label, "big") for r in simhash.components(edges).collect()}
+    assert found == {k: 0 for k in range(800)} | {3000 + k: 3000 for k in range(40)} | {4000 + k: 4000 + k - k % 2 for k in range(40)} | {5000: 5000}
+    assert 0 < rows_of_joins(spark, since) < 3 * len(links)
+    assert simhash.components(edges.limit(0)).isEmpty()
+
+
 def test_one_of_each(spark):
     base = " ".join(f"w{k}" for k in range(400))
     rows = [(1, base), (2, base), (2, base), (3, base.replace("w7 ", "z ")), (4, " ".join(f"v{k}" for k in range(300))), (None, "alone at last"), (9, None), (8, "")]
