@@ -1,7 +1,7 @@
 """Language-model scoring: add-one word counts as the base, and a hashed maximum-entropy model with class-factored softmax.
 
 A word's probability is that of its class after the words before it, times its own within the class, after the words before it too:
-a class's words are the leaves of a tree, and each node has a softmax over its children. Classes come from the whole
+a class's words are the leaves of a Huffman tree, and each node has a softmax over its children. Classes come from the whole
 corpus: every word's count is kept by the group of its document, which is the signs of a few random projections of the document's
 words; frequent words spread alike over groups fall into one cluster, and a word's class is its cluster and its band of frequency; rarer words are one class, the end of a text is one. The
 class softmax and those of the nodes have n-gram and skip features in hashed rows of weights; every partition of the training rows runs through gradient
@@ -11,6 +11,7 @@ only the HEAD most frequent words (bounded in number and length) go to all worke
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -309,29 +310,48 @@ def build_model(counts: DataFrame, head: int = HEAD) -> Model:
     return Model(ids, np.log10((c + 1) / (n + v + 1)), within, classes, int(n), int(v), rare_n, rare_v, np.log((mass + 1) / (n + N_CLASSES)).astype(np.float32), np.zeros((n_rows(n), N_CLASSES), np.float32))
 
 
+def _merged(mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parents and turns of a tree over words of so much mass: the least ones meet in a node of up to FAN children until one is left (Huffman).
+
+    Words come first, nodes after them; the last node is the root, without a parent (-1).
+    """
+    heap = [(m, k) for k, m in enumerate(mass.tolist())]
+    heapq.heapify(heap)
+    above, turn, take = [-1] * len(heap), [0] * len(heap), (len(heap) - 2) % (FAN - 1) + 2  # only the first node may have fewer than FAN
+    while len(heap) > 1:
+        least = [heapq.heappop(heap) for _ in range(take)]
+        for t, (_, k) in enumerate(least):
+            above[k], turn[k] = len(above), t
+        heapq.heappush(heap, (sum(m for m, _ in least), len(above)))
+        above.append(-1)
+        turn.append(0)
+        take = FAN
+    return np.array(above, np.int64), np.array(turn, np.int64)
+
+
 def with_words(model: Model) -> Model:
-    """model with a tree for each class, whose words lie in it by frequency, and weights 0: words have their shares of the class until it is trained."""
-    ids, share = len(model.classes), 10.0**model.within
-    depth = 1
-    while FAN**depth < ids:
-        depth += 1
-    nodes, turns = np.full((ids, depth), -1, np.int64), np.zeros((ids, depth), np.int64)
+    """model with a tree for each class, in which frequent words have few nodes on their way, and weights 0: words have their shares of the class until it is trained."""
+    share, ways = 10.0**model.within, []
     tables, n = [np.ones((0, FAN))], 0
     for k in np.unique(model.classes).tolist():
-        own = np.flatnonzero(model.classes == k)
-        size = 1
-        while size < len(own):
-            size *= FAN
-        for level in range(depth):
-            size //= FAN
-            if not size:
-                break
-            child = np.arange(len(own)) // size
-            node = child // FAN
-            choice = child[np.searchsorted(node, node, side="right") - 1] > node * FAN  # a node with one child decides nothing
-            nodes[own[choice], level], turns[own, level] = n + node[choice], child % FAN
-            tables.append(np.bincount(child, share[own], (node[-1] + 1) * FAN).reshape(-1, FAN))
-            n += len(tables[-1])
+        word = np.flatnonzero(model.classes == k)
+        above, turn = _merged(share[word])
+        mass = np.append(share[word], np.zeros(len(above) - len(word)))
+        table = np.zeros((len(above) - len(word), FAN))
+        for child in range(len(above) - 1):  # children come before their nodes
+            mass[above[child]] += mass[child]
+            table[above[child] - len(word), turn[child]] = mass[child]
+        at, level, shift = np.arange(len(word)), 0, n - len(word)
+        while len(word := word[inner := above[at] >= 0]):
+            at = at[inner]
+            ways.append((level, word, above[at] + shift, turn[at]))
+            at, level = above[at], level + 1
+        tables.append(table)
+        n += len(table)
+    depth = 1 + max((level for level, *_ in ways), default=0)
+    nodes, turns = np.full((len(model.classes), depth), -1, np.int64), np.zeros((len(model.classes), depth), np.int64)
+    for level, word, node, taken in ways:
+        nodes[word, level], turns[word, level] = node, taken
     mass = np.concatenate(tables)
     with np.errstate(divide="ignore"):
         shares = np.maximum(np.log(mass) - np.log(mass.sum(axis=1, keepdims=True)), -1e4).astype(np.float32)  # -1e4: no such child

@@ -589,6 +589,24 @@ def test_words_within_classes_by_brute_force(spark, monkeypatch):
     assert np.allclose([found[k] for k in range(len(texts))], [brute(t) for t in texts], rtol=1e-4)
 
 
+def test_frequent_words_have_short_ways():
+    """The mean number of choices within a class, by frequency, is at most one above the entropy in digits of FAN, and below that of a tree of equal depth."""
+    rng = np.random.default_rng(2)
+    c = np.sort(rng.zipf(1.3, 3000).clip(1, 10**6))[::-1].astype(float)
+    classes = np.append(lm.END, rng.integers(0, 2, len(c)))
+    mass = np.bincount(classes[1:], c)
+    share = np.append(1, c / mass[classes[1:]])
+    model = lm.with_words(lm.Model({}, np.zeros(3001), np.log10(share), classes, 9, 9, 0, 0, np.zeros(lm.N_CLASSES, np.float32), np.zeros((lm.n_rows(2), lm.N_CLASSES), np.float32)))
+    steps = (model.nodes >= 0).sum(axis=1)
+    assert steps[0] == 0
+    for k in (0, 1):
+        own = np.flatnonzero(classes == k)
+        assert (share[own] * steps[own]).sum() <= 1 - (share[own] * np.log(share[own])).sum() / np.log(lm.FAN) and (share[own] * steps[own]).sum() < 2
+        ways = {tuple(sorted((n, t) for n, t in zip(model.nodes[w].tolist(), model.turns[w].tolist(), strict=True) if n >= 0)) for w in own}
+        assert len(ways) == len(own)
+    assert np.allclose(model.within_logs(np.arange(3001), [np.zeros(3001, np.uint64)] * 4), np.log(share), atol=1e-3)
+
+
 def test_class_probabilities_sum_to_one():
     model = lm.Model({b"a": 1}, np.zeros(2), np.zeros(2), np.array([lm.END, 0]), 2, 2, 0, 0, np.zeros(lm.N_CLASSES, np.float32), np.random.default_rng(0).normal(size=(lm.n_rows(2), lm.N_CLASSES)).astype(np.float32))
     codes, ends, words = model.codes([b"A\t zz", b""])
