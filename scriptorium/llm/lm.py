@@ -4,8 +4,8 @@ A word's probability is that of its class after the words before it, times its o
 a class's words are the leaves of a Huffman tree, and each node has a softmax over its children. Classes come from the whole
 corpus: every word's count is kept by the group of its document, which is the signs of a few random projections of the document's
 words; frequent words spread alike over groups fall into one cluster, and a word's class is its cluster and its band of frequency; rarer words are one class, the end of a text is one. The
-class softmax and those of the nodes have n-gram and skip features in hashed rows of weights; every partition of the training rows runs through gradient
-steps from shared weights, and the weights are averaged by how often each row of them was used. Counts cover all training rows:
+class softmax and those of the nodes have n-gram and skip features in hashed rows of weights; every task runs through gradient
+steps over its training rows from shared weights, and the weights are averaged by how often each row of them was used. Counts cover all training rows:
 only the HEAD most frequent words (bounded in number and length) go to all workers, the counts of the rest meet their texts in a join.
 """
 
@@ -42,6 +42,8 @@ ROW_TOKENS, MOST_ROWS = 1 << 26, 8
 FAN, FAN_ROWS = 16, 1 << 16
 RARE_CODES = 4096
 STEP_TOKENS = 32_768
+#: Training tokens of one task, about: each task sends its weights once, so that what they shuffle follows the tokens, not the number of files' parts.
+TASK_TOKENS = 1 << 24
 RATE = 0.15
 BLOCK = 256
 #: Bytes of text that a worker looks at together; a longer text is alone.
@@ -213,7 +215,7 @@ class Model:
     def class_rows(self, hashed: list[np.ndarray]) -> np.ndarray:
         sizes = [n * (len(self.weights) // sum(ROWS)) for n in ROWS]
         first = np.cumsum((0, *sizes[:-1]))
-        return np.stack([h.astype(np.int64) % n + a for h, n, a in zip(hashed, sizes, first, strict=True)], axis=1)
+        return np.stack([(h & np.uint64(n - 1)).astype(np.int64) + a for h, n, a in zip(hashed, sizes, first, strict=True)]).T  # sizes are powers of two
 
     def targets(self, codes: np.ndarray) -> np.ndarray:
         return np.where(codes < len(self.classes), self.classes[np.minimum(codes, len(self.classes) - 1)], RARE)
@@ -228,7 +230,8 @@ class Model:
         path[codes >= len(self.nodes)] = -1
         token, level = np.nonzero(path >= 0)
         node, each = path[token, level], len(self.fan_weights) // len(hashed)
-        rows = np.stack([_mixed((h[token] << np.uint64(20)) + node.astype(np.uint64), k).astype(np.int64) % each + k * each for k, h in enumerate(hashed)], axis=1)
+        own, last = node.astype(np.uint64), np.uint64(each - 1)  # each is a power of two
+        rows = np.stack([(_mixed((h[token] << np.uint64(20)) + own, k) & last).astype(np.int64) + k * each for k, h in enumerate(hashed)]).T
         return token, node, self.turns[codes[token], level], rows
 
     def node_logs(self, node: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -240,23 +243,50 @@ class Model:
         if self.nodes is None:
             return np.where(codes < len(self.within), self.within[np.minimum(codes, len(self.within) - 1)], 0) * np.log(10)
         token, node, turn, rows = self.ways(codes, hashed)
-        return np.bincount(token, self.node_logs(node, rows)[np.arange(len(turn)), turn], len(codes))
+        return np.bincount(token, _taken_logs(self.fan_weights, rows, np.take(self.shares, node, axis=0), turn), len(codes))
 
 
 def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
     return (h * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)
 
 
-def _softmax_logs(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
+def _softmax(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exponents, their exponentials and each row's sum of those; rows of exponents are shifted only where a sum could leave float32."""
     z = np.take(weights, rows[:, 0], axis=0, mode="clip")  # rows are in range; to clip is the fastest mode
     z += bias
     for k in range(1, rows.shape[1]):
         z += np.take(weights, rows[:, k], axis=0, mode="clip")
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+    ones = np.ones(z.shape[1], np.float32)
+    with np.errstate(over="ignore", invalid="ignore"):
+        e = np.exp(z)
+        sums = e @ ones
+    if len(sums) and not (sums.min() > 1e-20 and sums.max() < 1e20):
+        z -= z.max(axis=1, keepdims=True)
+        e = np.exp(z)
+        sums = e @ ones
+    return z, e, sums
+
+
+def _softmax_logs(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    z, _, sums = _softmax(weights, rows, bias)
+    z -= np.log(sums)[:, None]
     return z
 
 
+def _taken_logs(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray, taken: np.ndarray) -> np.ndarray:
+    """The logarithm of one probability of each row."""
+    z, _, sums = _softmax(weights, rows, bias)
+    return z[np.arange(len(taken)), taken] - np.log(sums)
+
+
+def _slopes(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray, taken: np.ndarray) -> np.ndarray:
+    """By how much the logarithm of the probability of what was taken grows with each exponent."""
+    _, slope, sums = _softmax(weights, rows, bias)
+    slope /= -sums[:, None]
+    slope[np.arange(len(taken)), taken] += 1
+    return slope
+
+
 def n_rows(tokens: int) -> int:
     """Rows of weights for so many training tokens."""
     scale = 1
@@ -358,6 +388,33 @@ def with_words(model: Model) -> Model:
     return replace(model, nodes=nodes, turns=turns, shares=shares, fan_weights=np.zeros((FAN_ROWS * (len(model.weights) // sum(ROWS)), FAN), np.float32))
 
 
+def sums_by_row(column: np.ndarray, slope: np.ndarray, short: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows named in column, how often each is, and the sum of its slopes; rows that are named more than once come first.
+
+    Most rows are named a few times only: the first slopes of all rows are added up together, then the second ones, and so on up to
+    ``short``; what is left of the others is added row by row.
+    """
+    both = np.sort(column << 20 | np.arange(len(column)))  # numbers that hold row and place sort faster than places by row
+    row, order = both >> 20, both & ((1 << 20) - 1)
+    first = np.flatnonzero(np.diff(row, prepend=-1))
+    n = np.diff(np.append(first, len(order)))
+    bar = np.maximum(short + 1 - n, 0).astype(np.uint8)
+    falling = np.argsort(bar, kind="stable")
+    first, n = first[falling], n[falling]
+    longer = np.cumsum(np.bincount(bar, minlength=short + 1))[::-1]  # of each number of slopes, from 0: how many rows have more
+    sums = np.take(slope, order[first], axis=0, mode="clip")
+    for k in range(1, short):
+        if not (m := longer[k]):
+            break
+        sums[:m] += np.take(slope, order[first[:m] + k], axis=0, mode="clip")
+    if m := longer[short]:
+        left = n[:m] - short
+        start = np.cumsum(left) - left
+        at = np.repeat(first[:m] + short - start, left) + np.arange(left.sum())
+        sums[:m] += np.add.reduceat(np.take(slope, order[at], axis=0, mode="clip"), start, axis=0)
+    return row[first], n, sums
+
+
 class _Steps:
     """Weights that change by adaptive gradient steps, and how often each row of them was used."""
 
@@ -366,18 +423,19 @@ class _Steps:
 
     def add(self, rows: np.ndarray, slope: np.ndarray) -> None:
         """One step from the slopes of softmaxes whose weights are in rows."""
-        for column in rows.T if len(rows) else ():  # sums by row of weights: numbers that hold row and place sort faster than places by row
-            both = np.sort(column << 20 | np.arange(len(column)))
-            row, order = both >> 20, both & ((1 << 20) - 1)
-            first = np.flatnonzero(np.diff(row, prepend=-1))
-            touched = row[first]
-            g = np.add.reduceat(np.take(slope, order, axis=0, mode="clip"), first, axis=0)
-            n = np.diff(np.append(first, len(order)))
+        for column in rows.T if len(rows) else ():
+            touched, n, g = sums_by_row(column, slope)
             self.used[touched] += n
-            g /= np.sqrt(n, dtype=np.float32)[:, None]
-            grown = self.squares[touched] + g * g
+            more = int((n > 1).sum())  # they come first
+            g[:more] /= np.sqrt(n[:more], dtype=np.float32)[:, None]
+            grown = np.take(self.squares, touched, axis=0, mode="clip")
+            grown += g * g
             self.squares[touched] = grown
-            self.weights[touched] += np.float32(RATE) * g / np.sqrt(grown + np.float32(1))
+            grown += np.float32(1)
+            g *= np.float32(RATE)
+            g /= np.sqrt(grown, out=grown)
+            g += np.take(self.weights, touched, axis=0, mode="clip")
+            self.weights[touched] = g
 
 
 def gradient_steps(model: Model, outer: _Steps, inner: _Steps | None, codes: np.ndarray, ends: np.ndarray) -> None:
@@ -387,23 +445,25 @@ def gradient_steps(model: Model, outer: _Steps, inner: _Steps | None, codes: np.
         part = codes[k : k + STEP_TOKENS]
         t, hashed = model.targets(part), model.hashes(codes, place, k, k + len(part))
         r = model.class_rows(hashed)
-        slope = -np.exp(own.class_logs(r))
-        slope[np.arange(len(t)), t] += 1
-        outer.add(r, slope)
+        outer.add(r, _slopes(own.weights, r, own.bias, t))
         if inner:
             _, node, turn, r = own.ways(part, hashed)
-            slope = -np.exp(own.node_logs(node, r))
-            slope[np.arange(len(turn)), turn] += 1
-            inner.add(r, slope)
+            inner.add(r, _slopes(own.fan_weights, r, np.take(own.shares, node, axis=0), turn))
 
 
 _SHARE = pa.schema([("block", pa.int32()), ("used", pa.binary()), ("sums", pa.binary())])
 
 
+def training_tasks(rows: DataFrame, tokens: int) -> DataFrame:
+    """rows in as few partitions as give each about TASK_TOKENS, and every core equally many of them; never more than they have."""
+    cores = max(1, rows.sparkSession.sparkContext.defaultParallelism)
+    return rows.coalesce(cores * max(1, -(-tokens // (TASK_TOKENS * cores))))
+
+
 def train(docs: DataFrame, model: Model, epochs: int = 1) -> Model:
-    """model with trained weights: in each epoch every partition steps through its rows, then weights are averaged by use."""
+    """model with trained weights: in each epoch every task steps through its rows, then weights are averaged by use."""
     spark = docs.sparkSession
-    rows = _training(docs).select(F.col("text").cast("binary"))
+    rows = training_tasks(_training(docs).select(F.col("text").cast("binary")), model.n)
     for _ in range(epochs):
         shared = spark.sparkContext.broadcast(model)
 
@@ -465,7 +525,7 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
             for k in range(0, len(codes), STEP_TOKENS):
                 part = codes[k : k + STEP_TOKENS]
                 target, hashed = model.targets(part), model.hashes(codes, place, k, k + len(part))
-                logs[k : k + len(part)] = model.class_logs(model.class_rows(hashed))[np.arange(len(part)), target] + model.within_logs(part, hashed)
+                logs[k : k + len(part)] = _taken_logs(model.weights, model.class_rows(hashed), model.bias, target) + model.within_logs(part, hashed)
             head = codes < len(model.base)
             at = np.minimum(codes, len(model.base) - 1)
             total = np.add.reduceat(np.stack((np.where(head, model.base[at], 0), logs / np.log(10), head), axis=1), np.concatenate(([0], ends[:-1])), axis=0)

@@ -607,6 +607,41 @@ def test_frequent_words_have_short_ways():
     assert np.allclose(model.within_logs(np.arange(3001), [np.zeros(3001, np.uint64)] * 4), np.log(share), atol=1e-3)
 
 
+@pytest.mark.parametrize("named", [1, 7, 3000])
+def test_lm_sums_of_slopes_by_row(named):
+    rng = np.random.default_rng(named)
+    column, slope = (rng.random(5000) ** 4 * named).astype(np.int64), rng.normal(size=(5000, 20)).astype(np.float32)
+    rows, n, sums = lm.sums_by_row(column, slope)
+    want = np.zeros((named, 20))
+    np.add.at(want, column, slope)
+    assert sorted(rows.tolist()) == np.unique(column).tolist() and (n == np.bincount(column)[rows]).all()
+    assert np.allclose(sums, want[rows], atol=1e-3) and n[: (n > 1).sum()].min(initial=2) > 1
+
+
+def test_lm_softmax_of_any_size():
+    """Exponents beyond what float32 can raise are shifted first."""
+    for top in (0, 200, -200):
+        weights = np.array([[top, top - 1, top - 2]], np.float32)
+        rows, bias = np.zeros((2, 1), np.int64), np.zeros((2, 3), np.float32)
+        want = np.array([0, -1, -2]) - np.log(1 + np.exp(-1) + np.exp(-2))
+        assert np.allclose(lm._softmax_logs(weights, rows, bias), want, atol=1e-4)
+        assert np.allclose(lm._taken_logs(weights, rows, bias, np.array([2, 0])), want[[2, 0]], atol=1e-4)
+        assert np.allclose(lm._slopes(weights, rows, bias, np.array([2, 0])), np.eye(3)[[2, 0]] - np.exp(want), atol=1e-4)
+
+
+def test_lm_training_sends_weights_by_tokens_not_by_parts(spark, monkeypatch):
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('some words of text ', id % 9) AS text").repartition(40)
+    cores = spark.sparkContext.defaultParallelism
+    counts = lm.count_words(docs)
+    model = lm.build_model(counts, 20)
+    tasks = []
+    monkeypatch.setattr(lm, "training_tasks", lambda rows, n, own=lm.training_tasks: tasks.append(own(rows, n)) or tasks[-1])
+    assert np.isfinite(lm.train(docs, model).weights).all()
+    assert tasks[0].rdd.getNumPartitions() == min(40, cores) and tasks[0].count() == lm._training(docs).count()
+    monkeypatch.setattr(lm, "TASK_TOKENS", 1)
+    assert lm.training_tasks(docs.select("text"), 10**6).rdd.getNumPartitions() == 40
+
+
 def test_class_probabilities_sum_to_one():
     model = lm.Model({b"a": 1}, np.zeros(2), np.zeros(2), np.array([lm.END, 0]), 2, 2, 0, 0, np.zeros(lm.N_CLASSES, np.float32), np.random.default_rng(0).normal(size=(lm.n_rows(2), lm.N_CLASSES)).astype(np.float32))
     codes, ends, words = model.codes([b"A\t zz", b""])
