@@ -347,8 +347,9 @@ merged AS (SELECT doc_id, min(s) AS s, max(e) AS e FROM islands GROUP BY doc_id,
 
 
 def line_spans(spark, sf_dir, shift: int = 0):
+    """Spans of lineitem; a broken quantity counts as the nearest whole number, a half as the even one, as SQL casts it."""
     start = (F.col("l_partkey") % 1000 + shift).cast("int")
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), start.alias("start"), (start + F.col("l_quantity").cast("int")).alias("end"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), start.alias("start"), (start + F.rint("l_quantity").cast("int")).alias("end"))
 
 
 @query(f'WITH {_SPANS}, {_MERGED.format("spans")} SELECT doc_id, s AS "start", e AS "end" FROM merged')
