@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,6 +98,17 @@ def tidy(function: Callable) -> Callable:
     return wrapped
 
 
+def slabs(b: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Runs of a batch's rows whose texts have ``most`` bytes together, or one longer text, so that a worker's memory doesn't follow the batch."""
+    ends = np.cumsum(pc.binary_length(b.column(column)).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < b.num_rows:
+        base = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
+        yield b.slice(at, to - at)
+        at = to
+
+
 def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 

@@ -20,10 +20,10 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.llm import common
 from scriptorium.llm.common import TOKEN_ROWS, batch, bound_batches, held_remainder, materialize, texts_of, tidy
 
 HEAD = 100_000
@@ -72,13 +72,7 @@ def _training(docs: DataFrame) -> DataFrame:
 
 def slabs(b: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     """Runs of a batch's rows whose texts have SLAB_BYTES together, so that a worker's memory doesn't follow the batch."""
-    ends = np.cumsum(pc.binary_length(b.column(column)).to_numpy(zero_copy_only=False), dtype=np.int64)
-    at = 0
-    while at < b.num_rows:
-        base = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, base + SLAB_BYTES, side="right")))
-        yield b.slice(at, to - at)
-        at = to
+    return common.slabs(b, column, SLAB_BYTES)
 
 
 # --- counts ---

@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import TOKEN_ROWS, batch, bound_batches, materialize, texts_of, tidy
+from scriptorium.llm.common import TOKEN_ROWS, batch, bound_batches, materialize, slabs, texts_of, tidy
 
 BLOCK_PIECES = 16_384
 #: A sequence at least so full is final in the rounds before the last.
 SEALED = 0.998
 ROUNDS = 3
+#: Bytes of text that are encoded together: the pieces of new units take many times as much memory.
+SLAB_BYTES = 2 << 20
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("row", pa.int64())])
 
@@ -158,7 +160,7 @@ def pieces_of(docs: DataFrame, encoder: Callable[[], Callable], end_id: int = 1,
 
     def pieces(batches):
         encode = encoder()
-        for b in batches:
+        for b in (slab for whole in batches for slab in slabs(whole, 1, SLAB_BYTES)):
             rows = []
             for name, row, ids in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), encode(b.column(1)), strict=True):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")

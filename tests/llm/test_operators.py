@@ -358,6 +358,21 @@ def test_packing_of_nothing(spark):
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and not out.count()
 
 
+def test_packing_encodes_few_bytes_at_once(spark):
+    texts = ["a " * 50_000] * 50 + ["b " * 1_500_000, "c"]  # 5 MB, then one long text
+
+    def counting():
+        def encode(column):
+            sizes = [len(t) for t in column.to_pylist()]
+            assert len(sizes) == 1 or sum(sizes) <= 2 << 20
+            return [np.array([n], "<u4") for n in sizes]
+
+        return encode
+
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").coalesce(1)
+    assert sorted((r.doc_id, r.length) for r in packing.pieces_of(docs, counting).collect()) == [(k, 2) for k in range(len(texts))]
+
+
 def test_local_search_empties_a_bin():
     lengths = [60, 50, 40, 30, 20]
     bins = [[0, 3], [1, 4], [2]]  # 90, 70, 40 of 100
