@@ -66,6 +66,11 @@ def words_column(texts: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray]:
     return words, np.diff(np.searchsorted(ends, text_ends), prepend=0)
 
 
+def listed(words: pa.DictionaryArray) -> list[bytes]:
+    """The dictionary's words; by numpy, as to_pylist() makes a scalar of each first."""
+    return words.dictionary.to_numpy(zero_copy_only=False).tolist()
+
+
 def _training(docs: DataFrame) -> DataFrame:
     return texts_of(docs).filter(held_remainder("doc_id", 7) != 2)
 
@@ -114,7 +119,7 @@ def count_words(docs: DataFrame, most: int = 150_000) -> DataFrame:
         for whole in batches:
             for b in slabs(whole, 0):
                 words, sizes = words_column(b.column(0).to_pylist())
-                known, own = words.dictionary.to_pylist(), words.indices.to_numpy().astype(np.int64)
+                known, own = listed(words), words.indices.to_numpy().astype(np.int64)
                 hashes = np.fromiter(map(crc, known), np.int64, len(known))
                 text = np.repeat(np.arange(len(sizes)), sizes)
                 group = np.zeros(len(sizes), np.int64)
@@ -180,7 +185,7 @@ class Model:
         Words outside the head get a hash's code.
         """
         words, counts = words_column(texts)
-        known, n = words.dictionary.to_pylist(), len(self.base)
+        known, n = listed(words), len(self.base)
         own = np.fromiter(map(self.ids.get, known, repeat(-1)), np.int64, len(known))
         rare = np.flatnonzero(own < 0).tolist()
         own[rare] = [n + zlib.crc32(known[k]) % RARE_CODES for k in rare]
@@ -222,11 +227,13 @@ class Model:
         """The choices within classes that lead to codes: token, node, child taken and rows of the nodes' weights of each."""
         path = self.nodes[np.minimum(codes, len(self.nodes) - 1)]
         path[codes >= len(self.nodes)] = -1
-        token, level = np.nonzero(path >= 0)
-        node, each = path[token, level], len(self.fan_weights) // len(hashed)
+        depth, path = path.shape[1], path.reshape(-1)  # numbers of cells: one dimension is faster than two
+        cell = np.flatnonzero(path >= 0)
+        token = cell // depth
+        node, each = path[cell], len(self.fan_weights) // len(hashed)
         own, last = node.astype(np.uint64), np.uint64(each - 1)  # each is a power of two
         rows = np.stack([(_mixed((h[token] << np.uint64(20)) + own, k) & last).astype(np.int64) + k * each for k, h in enumerate(hashed)]).T
-        return token, node, self.turns[codes[token], level], rows
+        return token, node, self.turns.reshape(-1)[codes[token] * depth + cell - token * depth], rows
 
     def node_logs(self, node: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Natural logarithms of the probabilities of each node's children (float32)."""
@@ -270,14 +277,14 @@ def _softmax_logs(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np
 def _taken_logs(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray, taken: np.ndarray) -> np.ndarray:
     """The logarithm of one probability of each row."""
     z, _, sums = _softmax(weights, rows, bias)
-    return z[np.arange(len(taken)), taken] - np.log(sums)
+    return z.reshape(-1)[np.arange(len(taken)) * z.shape[1] + taken] - np.log(sums)
 
 
 def _slopes(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray, taken: np.ndarray) -> np.ndarray:
     """By how much the logarithm of the probability of what was taken grows with each exponent."""
     _, slope, sums = _softmax(weights, rows, bias)
     slope /= -sums[:, None]
-    slope[np.arange(len(taken)), taken] += 1
+    slope.reshape(-1)[np.arange(len(taken)) * slope.shape[1] + taken] += 1
     return slope
 
 
@@ -409,6 +416,12 @@ def sums_by_row(column: np.ndarray, slope: np.ndarray, short: int = 12) -> tuple
     return row[first], n, sums
 
 
+def put_rows(table: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """table[at] = rows, each row copied as one value."""
+    whole = np.dtype((np.void, table.itemsize * table.shape[1]))
+    np.put(table.reshape(-1).view(whole), at, np.ascontiguousarray(rows).reshape(-1).view(whole), mode="clip")
+
+
 class _Steps:
     """Weights that change by adaptive gradient steps, and how often each row of them was used."""
 
@@ -424,12 +437,12 @@ class _Steps:
             g[:more] /= np.sqrt(n[:more], dtype=np.float32)[:, None]
             grown = np.take(self.squares, touched, axis=0, mode="clip")
             grown += g * g
-            self.squares[touched] = grown
+            put_rows(self.squares, touched, grown)
             grown += np.float32(1)
             g *= np.float32(RATE)
             g /= np.sqrt(grown, out=grown)
             g += np.take(self.weights, touched, axis=0, mode="clip")
-            self.weights[touched] = g
+            put_rows(self.weights, touched, g)
 
 
 def gradient_steps(model: Model, outer: _Steps, inner: _Steps | None, codes: np.ndarray, ends: np.ndarray) -> None:

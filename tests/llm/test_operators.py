@@ -673,6 +673,21 @@ def test_head_has_all_words_above_a_count(spark):
     assert lm.head_of(counts, 600).count() == 600 and lm.head_of(counts, 50).count() > 40
 
 
+def test_rows_are_put_and_words_listed_whole():
+    rng = np.random.default_rng(5)
+    for width in (16, 20):
+        table, at, rows = np.zeros((50, width), np.float32), rng.permutation(50)[:20], rng.normal(size=(40, width)).astype(np.float32)[::2]
+        want = table.copy()
+        want[at] = rows
+        lm.put_rows(table, at, rows)
+        assert (table == want).all()
+        lm.put_rows(table, at[:0], rows[:0])
+        assert (table == want).all()
+    words, _ = lm.words_column([b"a B a", "\u00e9\0 b".encode(), b""])
+    assert lm.listed(words) == words.dictionary.to_pylist() == [b"a", b"b", "\u00e9\0".encode()]
+    assert lm.listed(lm.words_column([b" "])[0]) == []
+
+
 def test_slabs_and_steps_change_no_score(spark, sf_dir, monkeypatch):
     """Rows of weights and scores don't depend on how a worker cuts its texts."""
     rng = np.random.default_rng(1)
