@@ -16,7 +16,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from itertools import repeat
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -45,23 +45,30 @@ STEP_TOKENS = 32_768
 #: Training tokens of one task, about: each task sends its weights once, so that what they shuffle follows the tokens, not the number of files' parts.
 TASK_TOKENS = 1 << 24
 RATE = 0.15
+#: Rows of weights that are worked on together, so that what is computed of them stays in a core's cache.
+NEAR_ROWS = 4096
 BLOCK = 256
 #: Bytes of text that a worker looks at together; a longer text is alone.
 SLAB_BYTES = 2 << 20
 
 
-def words_column(texts: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray]:
-    """All words of texts, one text after the other, each distinct word once in the dictionary; the number of words of each text."""
-    raw = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
-    blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
-    last = blank.copy()  # the first blank after a word ends it; other blanks go
-    last[1:] &= ~blank[:-1]
-    last[:1] = False
-    low = raw + ((raw >= 65) & (raw <= 90)).astype(np.uint8) * np.uint8(32)
-    data = low[~blank]
-    ends = np.flatnonzero(last)
-    places = np.append(0, ends - np.cumsum(blank)[ends] + 1).astype(np.int32)
-    words = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(places), pa.py_buffer(data)]).dictionary_encode()
+_BLANKS = b"\t\n\v\f\r "
+_LOWER = bytes(range(256)).lower()
+
+
+def words_column(texts: list[bytes], known: pa.Array | None = None) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """All words of texts, one text after the other, each distinct word once in the dictionary; the number of words of each text.
+
+    known: distinct words with which the dictionary begins, so that they needn't be looked up.
+    """
+    joined = b" ".join([*texts, b""])
+    raw = np.frombuffer(joined, np.uint8)
+    blank = np.flatnonzero((raw == 32) | (raw - np.uint8(9) < 5))
+    first = np.flatnonzero(np.diff(blank, prepend=-1) > 1)  # the first blank after a word ends it; other blanks go
+    ends = blank[first]
+    places = np.append(0, ends - first).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(places), pa.py_buffer(joined.translate(_LOWER, _BLANKS))])
+    words = words.dictionary_encode() if known is None else pa.concat_arrays([known, words]).dictionary_encode().slice(len(known))
     text_ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
     return words, np.diff(np.searchsorted(ends, text_ends), prepend=0)
 
@@ -160,7 +167,7 @@ class Model:
     """ids of head words; log10 of base probability and of the probability within its class of each id; classes of ids; weights.
 
     Id 0 is the end. n, v: tokens and types of training; rare_n, rare_v: those of words outside the head.
-    With a tree (see with_words): nodes on the way to each id (-1: none) and the child taken there; logarithms of the children's shares
+    With a tree (see with_words): nodes on the way to each id (-1: none), their number, and the child taken at each; logarithms of the children's shares
     of each node's counts; weights of nodes. Without one, words have their shares of the class.
     """
 
@@ -175,25 +182,30 @@ class Model:
     bias: np.ndarray
     weights: np.ndarray
     nodes: np.ndarray | None = None
+    lengths: np.ndarray | None = None
     turns: np.ndarray | None = None
     shares: np.ndarray | None = None
     fan_weights: np.ndarray | None = None
 
+    @cached_property
+    def head(self) -> pa.Array:
+        """Head words in the order of their ids, from 1."""
+        return pa.array(list(self.ids), pa.binary())
+
     def codes(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.DictionaryArray]:
         """Codes of all texts' tokens, each text followed by its end; where texts end; the words (no ends) as a dictionary array.
 
         Words outside the head get a hash's code.
         """
-        words, counts = words_column(texts)
-        known, n = listed(words), len(self.base)
-        own = np.fromiter(map(self.ids.get, known, repeat(-1)), np.int64, len(known))
-        rare = np.flatnonzero(own < 0).tolist()
-        own[rare] = [n + zlib.crc32(known[k]) % RARE_CODES for k in rare]
+        words, counts = words_column(texts, self.head)
+        rare = words.dictionary.slice(len(self.head)).to_numpy(zero_copy_only=False).tolist()
+        own = np.arange(1, len(words.dictionary) + 1)
+        own[len(self.head) :] = [len(self.base) + zlib.crc32(w) % RARE_CODES for w in rare]
         ends = np.cumsum(counts + 1)
         out = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)
         inner = np.ones(len(out), bool)
         inner[ends - 1] = False
-        out[inner] = own[words.indices.to_numpy()] if len(known) else 0
+        out[inner] = own[words.indices.to_numpy()]
         return out, ends, words
 
     def hashes(self, codes: np.ndarray, place: np.ndarray, at: int, to: int) -> list[np.ndarray]:
@@ -211,8 +223,15 @@ class Model:
         """Rows of weights that hold at the tokens from at to to; place: each token's number in its text."""
         return self.class_rows(self.hashes(codes, place, at, len(codes) if to is None else to))
 
+    def class_sizes(self) -> list[int]:
+        """Rows of weights of each feature of classes."""
+        return [n * (len(self.weights) // sum(ROWS)) for n in ROWS]
+
+    def node_sizes(self) -> list[int]:
+        return [len(self.fan_weights) // len(ROWS)] * len(ROWS)
+
     def class_rows(self, hashed: list[np.ndarray]) -> np.ndarray:
-        sizes = [n * (len(self.weights) // sum(ROWS)) for n in ROWS]
+        sizes = self.class_sizes()
         first = np.cumsum((0, *sizes[:-1]))
         return np.stack([(h & np.uint64(n - 1)).astype(np.int64) + a for h, n, a in zip(hashed, sizes, first, strict=True)]).T  # sizes are powers of two
 
@@ -225,15 +244,21 @@ class Model:
 
     def ways(self, codes: np.ndarray, hashed: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The choices within classes that lead to codes: token, node, child taken and rows of the nodes' weights of each."""
-        path = self.nodes[np.minimum(codes, len(self.nodes) - 1)]
-        path[codes >= len(self.nodes)] = -1
-        depth, path = path.shape[1], path.reshape(-1)  # numbers of cells: one dimension is faster than two
-        cell = np.flatnonzero(path >= 0)
-        token = cell // depth
-        node, each = path[cell], len(self.fan_weights) // len(hashed)
-        own, last = node.astype(np.uint64), np.uint64(each - 1)  # each is a power of two
-        rows = np.stack([(_mixed((h[token] << np.uint64(20)) + own, k) & last).astype(np.int64) + k * each for k, h in enumerate(hashed)]).T
-        return token, node, self.turns.reshape(-1)[codes[token] * depth + cell - token * depth], rows
+        n, depth = self.nodes.shape
+        length = np.where(codes < n, np.take(self.lengths, codes, mode="clip"), 0)
+        token, ends = np.repeat(np.arange(len(codes)), length), np.cumsum(length)
+        cell = np.arange(len(token)) + np.take(codes * depth - ends + length, token)  # a word's choices come first in its row
+        node, turn = np.take(self.nodes, cell, mode="clip"), np.take(self.turns, cell, mode="clip")
+        each = len(self.fan_weights) // len(hashed)  # a power of two
+        own, rows = node.astype(np.uint64) * _MIX, np.empty((len(hashed), len(token)), np.uint64)
+        for k, h in enumerate(hashed):  # _mixed((h << 20) + node, k) of each choice, with the product of h taken once for each token
+            np.take((h << np.uint64(20)) * _MIX + np.uint64(k), token, out=rows[k], mode="clip")
+            rows[k] += own
+            rows[k] *= _MIXED
+            rows[k] >>= np.uint64(40)
+            rows[k] &= np.uint64(each - 1)
+            rows[k] += np.uint64(k * each)
+        return token, node, turn, rows.view(np.int64).T
 
     def node_logs(self, node: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Natural logarithms of the probabilities of each node's children (float32)."""
@@ -244,17 +269,23 @@ class Model:
         if self.nodes is None:
             return np.where(codes < len(self.within), self.within[np.minimum(codes, len(self.within) - 1)], 0) * np.log(10)
         token, node, turn, rows = self.ways(codes, hashed)
-        return np.bincount(token, _taken_logs(self.fan_weights, rows, np.take(self.shares, node, axis=0), turn), len(codes))
+        return np.bincount(token, _taken_logs(self.fan_weights, rows, self.shares, turn, node), len(codes))
+
+
+_MIX, _MIXED = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
-    return (h * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)
+    return (h * _MIX + np.uint64(salt)) * _MIXED >> np.uint64(40)
+
 
+def _softmax(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exponents, their exponentials and each row's sum of those; rows of exponents are shifted only where a sum could leave float32.
 
-def _softmax(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Exponents, their exponentials and each row's sum of those; rows of exponents are shifted only where a sum could leave float32."""
+    of: which row of bias is added to each; without it, bias itself is.
+    """
     z = np.take(weights, rows[:, 0], axis=0, mode="clip")  # rows are in range; to clip is the fastest mode
-    z += bias
+    z += bias if of is None else np.take(bias, of, axis=0, mode="clip")
     for k in range(1, rows.shape[1]):
         z += np.take(weights, rows[:, k], axis=0, mode="clip")
     ones = np.ones(z.shape[1], np.float32)
@@ -274,18 +305,30 @@ def _softmax_logs(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np
     return z
 
 
-def _taken_logs(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray, taken: np.ndarray) -> np.ndarray:
+def _near(rows: np.ndarray, bias: np.ndarray, of: np.ndarray | None) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """rows, and what of bias and of goes with them, NEAR_ROWS at a time."""
+    for a in range(0, len(rows), NEAR_ROWS):
+        own = slice(a, a + NEAR_ROWS)
+        yield own, rows[own], bias[own] if of is None and bias.ndim > 1 else bias, None if of is None else of[own]
+
+
+def _taken_logs(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray, taken: np.ndarray, of: np.ndarray | None = None) -> np.ndarray:
     """The logarithm of one probability of each row."""
-    z, _, sums = _softmax(weights, rows, bias)
-    return z.reshape(-1)[np.arange(len(taken)) * z.shape[1] + taken] - np.log(sums)
+    logs = np.empty(len(rows), np.float32)
+    for own, *part in _near(rows, bias, of):
+        z, _, sums = _softmax(weights, *part)
+        np.subtract(z.reshape(-1)[np.arange(len(z)) * z.shape[1] + taken[own]], np.log(sums), out=logs[own])
+    return logs
 
 
-def _slopes(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray, taken: np.ndarray) -> np.ndarray:
+def _slopes(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray, taken: np.ndarray, of: np.ndarray | None = None) -> np.ndarray:
     """By how much the logarithm of the probability of what was taken grows with each exponent."""
-    _, slope, sums = _softmax(weights, rows, bias)
-    slope /= -sums[:, None]
-    slope.reshape(-1)[np.arange(len(taken)) * slope.shape[1] + taken] += 1
-    return slope
+    slopes = np.empty((len(rows), weights.shape[1]), np.float32)
+    for own, *part in _near(rows, bias, of):
+        _, e, sums = _softmax(weights, *part)
+        np.divide(e, -sums[:, None], out=slopes[own])
+    slopes.reshape(-1)[np.arange(len(taken)) * slopes.shape[1] + taken] += 1
+    return slopes
 
 
 def n_rows(tokens: int) -> int:
@@ -386,7 +429,7 @@ def with_words(model: Model) -> Model:
     mass = np.concatenate(tables)
     with np.errstate(divide="ignore"):
         shares = np.maximum(np.log(mass) - np.log(mass.sum(axis=1, keepdims=True)), -1e4).astype(np.float32)  # -1e4: no such child
-    return replace(model, nodes=nodes, turns=turns, shares=shares, fan_weights=np.zeros((FAN_ROWS * (len(model.weights) // sum(ROWS)), FAN), np.float32))
+    return replace(model, nodes=nodes, lengths=(nodes >= 0).sum(axis=1), turns=turns, shares=shares, fan_weights=np.zeros((FAN_ROWS * (len(model.weights) // sum(ROWS)), FAN), np.float32))
 
 
 def sums_by_row(column: np.ndarray, slope: np.ndarray, short: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -422,27 +465,54 @@ def put_rows(table: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     np.put(table.reshape(-1).view(whole), at, np.ascontiguousarray(rows).reshape(-1).view(whole), mode="clip")
 
 
+def aligned(table: np.ndarray) -> np.ndarray:
+    """A copy of table that begins at a cache line."""
+    room = np.empty(table.nbytes + 64, np.uint8)
+    a = -room.ctypes.data % 64
+    out = room[a : a + table.nbytes].view(table.dtype).reshape(table.shape)
+    out[:] = table
+    return out
+
+
 class _Steps:
-    """Weights that change by adaptive gradient steps, and how often each row of them was used."""
+    """Weights that change by adaptive gradient steps, and how often each row of them was used; sizes: rows of each feature."""
 
-    def __init__(self, weights: np.ndarray):
-        self.weights, self.squares, self.used = weights.copy(), np.zeros_like(weights), np.zeros(len(weights), np.int64)
+    def __init__(self, weights: np.ndarray, sizes: list[int]):
+        self.weights, self.squares, self.used, self.sizes = aligned(weights), aligned(np.zeros_like(weights)), np.zeros(len(weights), np.int64), sizes
+        self.sums = aligned(np.zeros_like(weights[: max(sizes)]))
 
     def add(self, rows: np.ndarray, slope: np.ndarray) -> None:
-        """One step from the slopes of softmaxes whose weights are in rows."""
-        for column in rows.T if len(rows) else ():
+        """One step from the slopes of softmaxes whose weights are in rows, a feature a column."""
+        first = 0
+        for column, size in zip(rows.T, self.sizes, strict=True) if len(rows) else ():
             touched, n, g = sums_by_row(column, slope)
             self.used[touched] += n
             more = int((n > 1).sum())  # they come first
             g[:more] /= np.sqrt(n[:more], dtype=np.float32)[:, None]
-            grown = np.take(self.squares, touched, axis=0, mode="clip")
-            grown += g * g
-            put_rows(self.squares, touched, grown)
-            grown += np.float32(1)
-            g *= np.float32(RATE)
-            g /= np.sqrt(grown, out=grown)
-            g += np.take(self.weights, touched, axis=0, mode="clip")
-            put_rows(self.weights, touched, g)
+            if 3 * len(touched) > size:  # all rows of the feature in turn take less time than those; the others' slopes are 0
+                put_rows(self.sums, touched - first, g)
+                for k in range(first, first + size, NEAR_ROWS):
+                    to = min(k + NEAR_ROWS, first + size)
+                    g, squares = self.sums[k - first : to - first], self.squares[k:to]
+                    squares += g * g
+                    self.weights[k:to] += _step(g, squares)
+                    g[:] = 0
+            else:
+                for k in range(0, len(touched), NEAR_ROWS):
+                    at, part = touched[k : k + NEAR_ROWS], g[k : k + NEAR_ROWS]
+                    squares = np.take(self.squares, at, axis=0, mode="clip")
+                    squares += part * part
+                    put_rows(self.squares, at, squares)
+                    put_rows(self.weights, at, np.take(self.weights, at, axis=0, mode="clip") + _step(part, squares))
+            first += size
+
+
+def _step(g: np.ndarray, squares: np.ndarray) -> np.ndarray:
+    """By how much weights change; g is used up."""
+    g *= np.float32(RATE)
+    root = squares + np.float32(1)
+    g /= np.sqrt(root, out=root)
+    return g
 
 
 def gradient_steps(model: Model, outer: _Steps, inner: _Steps | None, codes: np.ndarray, ends: np.ndarray) -> None:
@@ -455,7 +525,7 @@ def gradient_steps(model: Model, outer: _Steps, inner: _Steps | None, codes: np.
         outer.add(r, _slopes(own.weights, r, own.bias, t))
         if inner:
             _, node, turn, r = own.ways(part, hashed)
-            inner.add(r, _slopes(own.fan_weights, r, np.take(own.shares, node, axis=0), turn))
+            inner.add(r, _slopes(own.fan_weights, r, own.shares, turn, node))
 
 
 _SHARE = pa.schema([("block", pa.int32()), ("used", pa.binary()), ("sums", pa.binary())])
@@ -476,7 +546,7 @@ def train(docs: DataFrame, model: Model, epochs: int = 1) -> Model:
 
         def steps(batches, shared=shared):
             model = shared.value
-            outer, inner = _Steps(model.weights), None if model.nodes is None else _Steps(model.fan_weights)
+            outer, inner = _Steps(model.weights, model.class_sizes()), None if model.nodes is None else _Steps(model.fan_weights, model.node_sizes())
             for b in batches:
                 for slab in slabs(b, 0):
                     gradient_steps(model, outer, inner, *model.codes(slab.column(0).to_pylist())[:2])

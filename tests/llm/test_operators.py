@@ -622,6 +622,58 @@ def test_frequent_words_have_short_ways():
     assert np.allclose(model.within_logs(np.arange(3001), [np.zeros(3001, np.uint64)] * 4), np.log(share), atol=1e-3)
 
 
+@pytest.mark.parametrize("named", [3, 900, 20_000])
+def test_lm_steps_over_all_rows_or_some(named):
+    """A feature most of whose rows are touched changes row after row, another row by row: with equal results, feature by feature."""
+    rng = np.random.default_rng(named)
+    sizes, weights = [256, 32_768], rng.normal(size=(33_024, 20)).astype(np.float32)
+    steps = lm._Steps(weights, sizes)
+    want, squares, used = weights.astype(float), np.zeros(weights.shape), np.zeros(len(weights), int)
+    for _ in range(3):
+        rows = np.stack([rng.integers(0, min(named, 256), 30_000), 256 + rng.integers(0, named, 30_000)]).T
+        slope = rng.normal(size=(30_000, 20)).astype(np.float32)
+        steps.add(rows, slope)
+        for column in rows.T:
+            n, g = np.bincount(column, minlength=len(weights)), np.zeros(weights.shape)
+            np.add.at(g, column, slope)
+            g /= np.sqrt(np.maximum(n, 1))[:, None]
+            used, squares = used + n, squares + g * g
+            want += lm.RATE * g / np.sqrt(1 + squares)
+    assert (steps.used == used).all() and np.allclose(steps.weights, want, atol=1e-4) and np.allclose(steps.squares, squares, rtol=1e-3, atol=1e-4)
+    assert not steps.sums.any() and steps.weights.ctypes.data % 64 == 0
+    steps.add(np.zeros((0, 2), np.int64), np.zeros((0, 20), np.float32))
+    assert (steps.used == used).all()
+
+
+def test_lm_codes_of_words_that_are_known():
+    texts = [b"b  A\x0bb c\n", b"", b" \t ", "\u00e9 a\0 B\x7f A".encode()]
+    ids = {b"a": 1, b"nowhere": 2, b"b": 3}
+    model = lm.Model(ids, np.zeros(4), np.zeros(4), np.array([lm.END, 0, 0, 0]), 9, 9, 0, 0, np.zeros(lm.N_CLASSES, np.float32), np.zeros((lm.n_rows(2), lm.N_CLASSES), np.float32))
+    split = [t.lower().split() for t in texts]
+    for own in (model, lm.replace(model, ids={})):
+        codes, ends, words = own.codes(texts)
+        want = [[*(own.ids.get(w, 4 + zlib.crc32(w) % lm.RARE_CODES) for w in ws), 0] for ws in split]
+        assert codes.tolist() == sum(want, []) and ends.tolist() == np.cumsum([len(w) for w in want]).tolist()
+        assert words.to_pylist() == sum(split, []) and words.dictionary.to_pylist()[: len(own.ids)] == list(own.ids)
+        assert own.codes([])[0].tolist() == [] and own.codes([b""])[0].tolist() == [0]
+
+
+def test_lm_ways_through_the_tree():
+    """Only the choices that a word has, each with its node, the child taken and the hashed rows of its features."""
+    rng = np.random.default_rng(1)
+    c = rng.integers(1, 50, 400).astype(float)
+    model = lm.with_words(lm.Model({}, np.zeros(401), np.log10(np.append(1, c / c.sum())), np.append(lm.END, np.zeros(400, int)), 9, 9, 0, 0, np.zeros(lm.N_CLASSES, np.float32), np.zeros((lm.n_rows(2), lm.N_CLASSES), np.float32)))
+    codes, hashed = rng.integers(0, 450, 1000), [rng.integers(0, 1 << 24, 1000).astype(np.uint64) for _ in range(4)]
+    each, want = len(model.fan_weights) // 4, []
+    for t, code in enumerate(codes.tolist()):
+        for level in range(model.nodes.shape[1] if code <= 400 else 0):
+            if (node := int(model.nodes[code, level])) >= 0:
+                rows = [int(lm._mixed((h[t : t + 1] << np.uint64(20)) + np.uint64(node), k)[0]) % each + k * each for k, h in enumerate(hashed)]
+                want.append((t, node, int(model.turns[code, level]), *rows))
+    token, node, turn, rows = model.ways(codes, hashed)
+    assert list(zip(token.tolist(), node.tolist(), turn.tolist(), *rows.T.tolist(), strict=True)) == want and want
+
+
 @pytest.mark.parametrize("named", [1, 7, 3000])
 def test_lm_sums_of_slopes_by_row(named):
     rng = np.random.default_rng(named)
